@@ -51,7 +51,7 @@ def dominant_frequency(df: DataFrame, key: str, ts: str, signal: Column, period:
         n = len(x)
         if n < 2:
             return pd.DataFrame({key: pdf[key].head(1), "frequency": [np.nan]})
-        best = float(np.argmax(np.abs(np.fft.fft(x))[1:]) + 1)
+        best = float(np.argmax(np.abs(np.fft.rfft(x))[1:]) + 1)  # the upper half mirrors the lower
         steps = np.arange(n) / n
         value = lambda k: -abs(np.sum(np.exp(-2j * np.pi * k * steps) * x) / n)
         if refine:

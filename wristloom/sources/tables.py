@@ -26,7 +26,7 @@ def sensor_csv(spark: SparkSession, path: str, start_row: int = 1, columns: tupl
     a file is read whole by one task; else Spark splits uncompressed files.
     """
     if start_row > 0 or columns[0] < 0:
-        one = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.split("value", "\r?\n").alias("ls"))
+        one = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\r?\n").alias("ls"))
         lines = one.select("path", F.posexplode("ls").alias("i", "value")).where((F.col("i") >= start_row) & (F.col("value") != ""))
     else:
         lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.lit(0).alias("i"), "value")
