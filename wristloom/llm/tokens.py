@@ -9,6 +9,7 @@ only chunks it has not seen go through the tokenizers library.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -20,8 +21,25 @@ END_ID = 2
 
 #: Python splits at these, the tokenizer does not.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A chunk of Latin letters and then ASCII signs: two pre-tokens, whatever stands around it.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: A sign before a stop or comma is in one pre-token with it; after letters and digits a new one begins.
+_SIGN_BEFORE = re.compile(r"[.,](?<=[^\w\s].|_.)")
+_SPECIAL = "<|"
+
+
+def _chunks(text: str) -> list[str]:
+    """Chunks that the tokenizer would cut apart as well, as alike as may be: lower case, stops and commas apart."""
+    if _SPECIAL not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # up to U+00FF, letter by letter in any library
+        except UnicodeEncodeError:
+            pass
+    if _SIGN_BEFORE.search(text) is None:
+        text = text.replace(".", " .").replace(",", " ,")
+    return text.split()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,7 +56,7 @@ class CachedEncoder:
     half, and chunks that are still in use move back.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.cache_words = cache_words
@@ -58,23 +76,20 @@ class CachedEncoder:
         head = head.lower()
         if not head.isascii():
             head = head.encode().decode("latin-1").translate(self.hidden)
-        return np.array([x.id for x in self.model.tokenize(head)], dtype="<u4").tobytes()
+        ids = [x.id for x in self.model.tokenize(head)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes | None:
-        found = self.young.get(chunk) or self.old.get(chunk)
-        if found is None and (m := _PLAIN.fullmatch(chunk)):
+        """The ids of a chunk of Latin letters, signs after them or not; None for any other."""
+        if chunk.isalpha() and (chunk.isascii() or _LATIN.fullmatch(chunk)):
+            return self._letters(chunk)
+        if m := _PLAIN.fullmatch(chunk):
             head, tail = m.groups()
-            if tail or head != head.lower():
-                found = self._add(head.lower(), self._chunk(head.lower()))
-                if tail:
-                    found += self._add(tail, self.young.get(tail) or self._whole([tail])[0])
-            else:
-                found = self._letters(head)
-        return found
-
-    def _add(self, chunk: str, ids: bytes) -> bytes:
-        self.young[chunk] = ids
-        return ids
+            for x in (head, tail):
+                if x not in self.young:
+                    self.young[x] = self._letters(x) if x is head else self._whole([x])[0]
+            return self.young[head] + self.young[tail]
+        return None
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         split, odd = [], []
@@ -83,20 +98,21 @@ class CachedEncoder:
                 odd.append((k, text))
                 split.append([])
             else:
-                split.append(text.split())
+                split.append(_chunks(text))
         if len(self.young) > self.cache_words:
             self.old, self.young = self.young, {}
-        missing = set().union(*split).difference(self.young)
-        rest = []
-        for chunk in missing:
-            ids = self._chunk(chunk)
+        young, old, rest = self.young, self.old, []
+        for chunk in set().union(*split).difference(young):
+            ids = old.get(chunk)
+            if ids is None:
+                ids = self._chunk(chunk)
             if ids is None:
                 rest.append(chunk)
             else:
-                self.young[chunk] = ids
+                young[chunk] = ids
         for chunk, ids in zip(rest, self._whole(rest) if rest else [], strict=True):
-            self.young[chunk] = ids
-        get = self.young.__getitem__
+            young[chunk] = ids
+        get = young.__getitem__
         out = [b"".join(map(get, x)) for x in split]
         for k, text in odd:
             out[k] = self._whole([text])[0]
