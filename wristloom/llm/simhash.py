@@ -7,8 +7,13 @@ Fingerprints within `radius` bits are found by multi-index hashing (Norouzi, Pun
 The 64 bits are split into segments.  If radius = q * segments + r, two such fingerprints differ in at
 most q bits in one of the first r + 1 segments, or in at most q - 1 bits in one of the others; so each
 fingerprint probes the small Hamming ball around each of its segments, and meets in the segment tables
-every fingerprint that it can link to.  Of the two ends of a link it is enough that one probes: flips
-are made at zero bits only when a ball has radius one.
+every fingerprint that it can link to.  Of the two ends of a link it is enough that one probes: single
+flips are made at zero bits only.
+
+A segment alone is a coarse key: the fingerprints that share it by chance grow with the square of
+their number.  Where d bits of a segment differ, at most radius - d of the other bits do, so if these are cut into
+radius - d + 1 parts, one part is equal.  Tables are therefore keyed by a segment and one part of the
+rest, some 26 to 28 bits with four segments, 30 with three.
 
 Only components are asked for, so not every pair of a bucket is compared:
 
@@ -31,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, slices, written
 from .components import components
 
 SEED = 42
@@ -59,11 +64,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed 64-bit long) of docs (doc_id, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(task, "doc_id long, fp long")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), task, "doc_id long, fp long")
 
 
 def segments_of(count: int) -> list[tuple[int, int]]:
@@ -72,64 +77,75 @@ def segments_of(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _balls(fp: Column, radius: int, count: int) -> Column:
-    """An array of (segment, key) that a fingerprint probes besides its own segments."""
+def _rest(fp: Column, at: int, width: int) -> Column:
+    """The bits of fp outside a segment, closed up."""
+    low = fp.bitwiseAND(F.lit((1 << at) - 1)) if at else F.lit(0).cast("long")
+    high = F.shiftrightunsigned(fp, at + width) if at + width < 64 else F.lit(0).cast("long")
+    return F.shiftleft(high, at).bitwiseOR(low)
+
+
+def _buckets(fp: Column, radius: int, count: int) -> tuple[Column, Column]:
+    """(array of buckets that fp is stored in, array of buckets that it probes besides); buckets are longs.
+
+    A bucket is a kind (segment, flips and part), the segment's bits and the part's bits.
+    """
     q, r = divmod(radius, count)
-    probes = []
+    stored, probes, kind = [], [], 0
     for k, (at, width) in enumerate(segments_of(count)):
         key = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
-        depth = q if k <= r else q - 1
-        for d in range(1, depth + 1):
-            for flips in combinations(range(width), d):
-                mask = sum(1 << b for b in flips)
-                probe = F.struct(F.lit(k).alias("segment"), key.bitwiseXOR(F.lit(mask)).alias("key"))
-                # with one flip, the end that has a zero there probes the other
-                probes.append(F.when(key.bitwiseAND(F.lit(mask)) == 0, probe) if d == 1 else probe)
-    return F.array_compact(F.array(*probes)) if probes else F.array().cast("array<struct<segment:int,key:bigint>>")
+        rest = _rest(fp, at, width)
+        for d in range((q if k <= r else q - 1) + 1):
+            n = radius - d + 1
+            edges = [(64 - width) * p // n for p in range(n + 1)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+                tail = F.shiftleft(part, width).bitwiseOR(F.lit(kind << 56))
+                stored.append(tail.bitwiseOR(key))
+                for flips in combinations(range(width), d) if d else ():
+                    mask = sum(1 << x for x in flips)
+                    probe = tail.bitwiseOR(key.bitwiseXOR(F.lit(mask)))
+                    probes.append(F.when(key.bitwiseAND(F.lit(mask)) == 0, probe) if d == 1 else probe)
+                kind += 1
+    return F.array(*stored), F.array_compact(F.array(*probes)) if probes else F.array().cast("array<bigint>")
 
 
 def near(a: Column, b: Column, radius: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= radius
 
 
-def near_components(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
+def near_components(fps: DataFrame, radius: int = 4, segments: int = 4) -> DataFrame:
     """(fp, component) for distinct fingerprints fps (fp, node): the least node of those reachable.
 
-    Exact for any number of segments.  More segments make fewer probes and fuller buckets: a segment should
-    have about as many bits as the logarithm of the number of fingerprints; 3 serve up to some hundred
-    millions.
+    Exact for any number of segments.  Fewer segments make more probes and emptier buckets: 4 serve up to
+    some tens of millions of fingerprints, 3 beyond.
     """
     known = written(fps.select("fp", "node"), "fingerprints")
-    table = F.array(*(F.struct(F.lit(k).alias("segment"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for k, (at, width) in enumerate(segments_of(segments))))
-    stored = known.select("fp", "node", F.explode(table).alias("p"), F.lit(True).alias("stored"))
-    probing = known.select("fp", "node", F.explode(_balls(F.col("fp"), radius, segments)).alias("p"), F.lit(False).alias("stored"))
-    entries = stored.union(probing).select("p.segment", "p.key", "fp", "node", "stored")
+    stored, probes = _buckets(F.col("fp"), radius, segments)
+    entries = known.select("fp", F.explode(stored).alias("bucket"), F.lit(True).alias("stored")).union(known.select("fp", F.explode(probes).alias("bucket"), F.lit(False).alias("stored")))
     # a bucket matters if somebody else than its only member meets it
-    here = ["segment", "key"]
-    heads = entries.groupBy(here).agg(
-        F.min(F.when(F.col("stored"), F.struct("fp", "node"))).alias("head"), F.min("fp").alias("low"), F.max("fp").alias("high")
-    ).where("head IS NOT NULL AND low <> high").select(*here, F.col("head.fp").alias("head_fp"), F.col("head.node").alias("head_node"))
-    met = written(entries.join(heads, here), "buckets")
-    linked = met.where((F.col("fp") != F.col("head_fp")) & near(F.col("fp"), F.col("head_fp"), radius))
-    first = components(linked.select(F.col("node").alias("a"), F.col("head_node").alias("b")))
-
-    label = written(known.join(first, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label")), "labels")
-    members = met.drop("head_fp", "head_node").join(label, ["fp", "node"])
-    sizes = members.groupBy(*here, "label").agg(F.count("*").alias("n"), F.max("stored").alias("any_stored"))
-    mixed = sizes.groupBy(here).agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-    rest = written(members.join(mixed.select(*here, "main"), here), "mixed-buckets")
-    left = rest.where("label <> main").select(*here, F.col("fp").alias("fp_a"), F.col("label").alias("a"), F.col("stored").alias("stored_a"), "main")
-    right = rest.select(*here, F.col("fp").alias("fp_b"), F.col("label").alias("b"), F.col("stored").alias("stored_b"))
+    heads = entries.groupBy("bucket").agg(F.min(F.when(F.col("stored"), F.col("fp"))).alias("head"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    met = written(entries.join(heads.where("head IS NOT NULL AND low <> high").select("bucket", "head"), "bucket"), "buckets")
+    linked = met.where((F.col("fp") != F.col("head")) & near(F.col("fp"), F.col("head"), radius))
+    first = components(linked.select(F.col("fp").alias("a"), F.col("head").alias("b")))
+
+    label = written(known.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("label")), "labels")
+    members = met.join(label.select("fp", "label"), "fp").select("bucket", "fp", "label", "stored")
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
+    rest = written(members.join(mixed.select("bucket", "main"), "bucket"), "mixed-buckets")
+    left = rest.where("label <> main").select("bucket", F.col("fp").alias("fp_a"), F.col("label").alias("a"), F.col("stored").alias("stored_a"))
+    right = rest.select("bucket", F.col("fp").alias("fp_b"), F.col("label").alias("b"), F.col("stored").alias("stored_b"))
     across = left.join(right, [
-        left.segment == right.segment, left.key == right.key, F.col("a") != F.col("b"),
-        F.col("stored_a") | F.col("stored_b"), near(F.col("fp_a"), F.col("fp_b"), radius),
+        left.bucket == right.bucket, F.col("a") != F.col("b"), F.col("stored_a") | F.col("stored_b"), near(F.col("fp_a"), F.col("fp_b"), radius),
     ])
-    second = components(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    joined = label.join(second.withColumnRenamed("node", "label"), "label", "left")
-    return joined.select("fp", F.coalesce("component", "label").alias("component"))
+    second = components(across.select("a", "b"))
+    joined = label.join(second.withColumnRenamed("node", "label"), "label", "left").select("fp", "node", F.coalesce("component", "label").alias("root"))
+    joined = written(joined, "roots")
+    least = joined.groupBy("root").agg(F.min("node").alias("component"))
+    return joined.join(least, "root").select("fp", "component")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, segments: int = 4) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that is reachable over links of at most `radius` differing bits,
