@@ -62,9 +62,9 @@ def _sampled(rows: DataFrame, rate: float, **how) -> DataFrame:
     names = {f"_llm_{d}": d for d in DIMENSIONS}
     cells = rows.groupBy(*(F.col(a).alias(b) for a, b in names.items())).agg(F.sum("_llm_tokens").alias("tokens"))
     raked = rake(written(cells, "cells"), **how)
-    everything = raked.agg(F.sum("tokens").alias("all_tokens"))
+    everything = raked.agg(F.sum("tokens").alias("all_tokens"), F.lit(1).alias("one"))  # one row, on a constant key
     p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("weight") * F.col("all_tokens") / F.col("tokens"))).otherwise(1.0)
-    cell = raked.crossJoin(F.broadcast(everything)).select(  # one row
+    cell = raked.withColumn("one", F.lit(1)).join(F.broadcast(everything), "one").select(
         *(F.col(b).alias(f"{a}_c") for a, b in names.items()), F.col("weight").alias("_llm_weight"), F.round(p, 9).alias("_llm_p")
     )
     found = rows.join(written(cell, "probabilities"), [F.col(a) == F.col(f"{a}_c") for a in names]).drop(*(f"{a}_c" for a in names))

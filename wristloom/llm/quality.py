@@ -120,7 +120,8 @@ def thresholds(sketch: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
             limit = F.when(F.col("stat") == stat, own).otherwise(limit)
         row = fence.groupBy(*keys).agg(F.max("total").alias("n"), *(F.max(F.when(F.col("stat") == s, limit)).alias(s) for s in RULES))
         row = row.select(*keys, F.when(F.col("n") >= least if keys else F.lit(True), F.struct(*RULES)).alias(level))
-        found = row if found is None else found.join(row, keys) if keys else found.crossJoin(F.broadcast(row))  # one row
+        # the last level is one row, whose limits stand on a constant key
+        found = row if found is None else found.join(row, keys) if keys else found.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one")
     best = F.coalesce(*levels)
     return found.select("lang", "source", *(best[s].alias(s) for s in RULES))
 
@@ -131,7 +132,8 @@ def judged(stats: DataFrame) -> DataFrame:
     names = {s: f"_llm_{s}" for s in RULES}
     limits = limits.select(F.col("lang").alias("_llm_lang"), F.col("source").alias("_llm_source"), *(F.col(s).alias(n) for s, n in names.items()))
     rows = stats.join(limits, [F.coalesce("lang", F.lit("")) == F.col("_llm_lang"), F.coalesce("source", F.lit("")) == F.col("_llm_source")])
-    ok, values = ~base_failed(), _values()
+    # a value is held against a limit as its bucket, as the sketch has it
+    ok, values = ~base_failed(), {k: _bucket(v) for k, v in _values().items()}
     for stat, (side, _, _) in RULES.items():
         ok = ok & ((values[stat] <= F.col(names[stat])) if side == "above" else (values[stat] >= F.col(names[stat])))
     return rows.withColumn("_llm_kept", ok).drop("_llm_lang", "_llm_source", *names.values())
@@ -164,7 +166,8 @@ def quality_sql(least: int = LEAST_DOCUMENTS) -> str:
     limits = ", ".join(f"max({sides[side].format(times, bound)}) FILTER (WHERE stat = '{s}') AS {s}" for s, (side, times, bound) in RULES.items())
     names = list(RULES)
     pick = ", ".join(f"CASE WHEN a.n >= {least} THEN a.{s} WHEN b.n >= {least} THEN b.{s} ELSE c.{s} END AS lim_{s}" for s in names)
-    fails = " AND ".join(f"v_{s} {'<=' if RULES[s][0] == 'above' else '>='} lim_{s}" for s in names)
+    bucket = lambda v: f"(CASE WHEN {v} < 64 THEN {v} ELSE ({v} >> (length(bin({v})) - 6)) << (length(bin({v})) - 6) END)"
+    fails = " AND ".join(f"{bucket(f'v_{s}')} {'<=' if RULES[s][0] == 'above' else '>='} lim_{s}" for s in names)
 
     def level(name: str, keys: str) -> str:
         group = f"{keys}, " if keys else ""
@@ -199,7 +202,7 @@ def quality_sql(least: int = LEAST_DOCUMENTS) -> str:
              (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM stats),
     long AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS stat, v_{s} AS v FROM vals" for s in names)}),
     sketch AS (
-      SELECT lang, source, stat, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bucket, count(*) AS n
+      SELECT lang, source, stat, {bucket("v")} AS bucket, count(*) AS n
       FROM long GROUP BY ALL),
     {level("a", "lang, source")}, {level("b", "lang")}, {level("c", "")},
     lim AS (SELECT a.lang, a.source, {pick} FROM a JOIN b USING (lang), c)
