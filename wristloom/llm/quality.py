@@ -24,6 +24,9 @@ RULES = {
 }
 #: A sketch of fewer documents gives way to that of its language, and then of all.
 LEAST_DOCUMENTS = 200
+#: A mean word length is judged from this many words on; a few words may all be short.
+LEAST_WORDS = 20
+MEANS = ("long_words", "short_words")
 WINDOW = 5
 
 
@@ -135,7 +138,8 @@ def judged(stats: DataFrame) -> DataFrame:
     # a value is held against a limit as its bucket, as the sketch has it
     ok, values = ~base_failed(), {k: _bucket(v) for k, v in _values().items()}
     for stat, (side, _, _) in RULES.items():
-        ok = ok & ((values[stat] <= F.col(names[stat])) if side == "above" else (values[stat] >= F.col(names[stat])))
+        fine = (values[stat] <= F.col(names[stat])) if side == "above" else (values[stat] >= F.col(names[stat]))
+        ok = ok & (fine | (F.col("_llm_q.n_words") < LEAST_WORDS) if stat in MEANS else fine)
     return rows.withColumn("_llm_kept", ok).drop("_llm_lang", "_llm_source", *names.values())
 
 
@@ -167,7 +171,8 @@ def quality_sql(least: int = LEAST_DOCUMENTS) -> str:
     names = list(RULES)
     pick = ", ".join(f"CASE WHEN a.n >= {least} THEN a.{s} WHEN b.n >= {least} THEN b.{s} ELSE c.{s} END AS lim_{s}" for s in names)
     bucket = lambda v: f"(CASE WHEN {v} < 64 THEN {v} ELSE ({v} >> (length(bin({v})) - 6)) << (length(bin({v})) - 6) END)"
-    fails = " AND ".join(f"{bucket(f'v_{s}')} {'<=' if RULES[s][0] == 'above' else '>='} lim_{s}" for s in names)
+    few = lambda s: f" OR n_words < {LEAST_WORDS}" if s in MEANS else ""
+    fails = " AND ".join(f"({bucket(f'v_{s}')} {'<=' if RULES[s][0] == 'above' else '>='} lim_{s}{few(s)})" for s in names)
 
     def level(name: str, keys: str) -> str:
         group = f"{keys}, " if keys else ""
