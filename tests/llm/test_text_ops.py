@@ -219,12 +219,12 @@ def test_packing_rows(odd, empty, tokenizer):
 # ---------------------------------------------------------------- SimHash
 
 
-def brute_fingerprint(text, shingle):
+def brute_fingerprint(text, shingle, seed=42):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     if not words:
         return 0
     grams = [" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))]
-    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), seed) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -277,10 +277,45 @@ def test_multi_index_hashing_finds_all(spark, radius, segments):
     assert got == {signed(fp): c for (_, fp), c in zip(nodes, brute_components(nodes, radius), strict=True)}
 
 
+def test_wide_links(spark):
+    """Components of 128-bit fingerprints against all pairs; links of few bits are all met."""
+    r = np.random.default_rng(3)
+    fps = set()
+    for _ in range(30):
+        c = int.from_bytes(r.bytes(16), "little")
+        fps.add(c)
+        for _ in range(8):
+            x = c
+            for b in r.choice(128, r.choice([2, 9, 14, 40]), replace=False):
+                x ^= 1 << int(b)
+            fps.add(x)
+    nodes = list(enumerate(sorted(fps)))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(k, signed(fp & (2**64 - 1)), signed(fp >> 64)) for k, fp in nodes], "node long, hi long, lo long")
+    got = {x["node"]: x["component"] for x in simhash.wide_near_components(df, radius=15).collect()}
+    assert got == dict(zip([k for k, _ in nodes], brute_components(nodes, 15), strict=True))
+
+
+def test_wide_similarity(spark):
+    """Copies at a shingle similarity of 0.8 and more are found, other texts of the same words are not."""
+    r = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(300)]
+    docs = []
+    for k in range(40):
+        base = list(r.choice(words, 400))
+        copy = list(base)
+        for at in r.choice(400, 5, replace=False):
+            copy[at] = "edited"
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    got = simhash.wide_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r["component_id"] in (r["doc_id"], r["doc_id"] - 1) for r in got)
+    assert sum(r["component_id"] != r["doc_id"] for r in got) >= 38
+
+
 def test_one_of_each(odd):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
-    found = simhash.near_duplicates(odd).groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c")
+    found = simhash.wide_near_duplicates(odd).groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c")
     gone = {r["doc_id"] for r in found.collect()}
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in plain(odd) if d not in gone)
 
