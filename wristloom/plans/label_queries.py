@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import forest, hmm, labels, signal  # noqa: F401
+from ..operators import forest, hmm, labels
 from .tables import table, tidy
 
 QUERIES, SQL = {}, {}
