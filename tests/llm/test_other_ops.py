@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.duck import connected, rows
 from tests.llm.test_text_ops import SCHEMA, brute_components, brute_fingerprint, brute_lines
-from wristloom.llm import chroma, langid, mixing, packing, quality, queries, urls
+from wristloom.llm import chroma, langid, mixing, packing, quality, queries, simhash, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -185,7 +185,7 @@ def test_pipeline_against_brute_force(spark):
     docs = {r[0]: r for r in con.execute("SELECT doc_id, text, lang, source FROM documents").fetchall() if r[0] in kept}
     texts = {x[0]: x[4] for x in brute_lines([(d, r[1]) for d, r in sorted(docs.items())])}
     order = sorted(texts)
-    first = brute_components([(d, brute_fingerprint(texts[d], 5) << 64 | brute_fingerprint(texts[d], 5, 43)) for d in order], 20)
+    first = brute_components([(d, brute_fingerprint(texts[d], 5) << 64 | brute_fingerprint(texts[d], 5, 43)) for d in order], simhash.WIDE_RADIUS)
     left = [d for d, c in zip(order, first, strict=True) if d == c]
     import pyarrow as pa
 
