@@ -45,8 +45,8 @@ def clamped(raw: Column, fixed: Column, before: Column, limit: float) -> Column:
 
 def hann(signal: Column) -> Column:
     """An array times the Hann window of its length."""
-    n = F.size(signal)
-    return F.transform(signal, lambda v, i: v * (0.5 - 0.5 * F.cos(2 * math.pi * i / (n - 1))))
+    # a lambda's variable holds the array, so that its length is not worked out for each element
+    return F.transform(F.array(signal), lambda s: F.transform(s, lambda v, i: v * (0.5 - 0.5 * F.cos(2 * math.pi * i / (F.size(s) - 1)))))[0]
 
 
 def unit(*axes: Column) -> list[Column]:

@@ -140,15 +140,24 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
 
 
+def _with(value, f):
+    """f of a value that is computed once, as a lambda's variable: expressions in lambdas are not shared otherwise."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _spectrum(spark, sf_dir):
-    """vec_id, k, f and power of the Hann-windowed signal without its mean, by plain sums over sample and bin."""
-    s = _vectors(spark, sf_dir)
+    """vec_id, k, f and power of the Hann-windowed signal without its mean: sums within each row, no shuffle."""
+    s = _vectors(spark, sf_dir).withColumn("n", F.size("v"))
     mean = F.aggregate("v", F.lit(0.0), lambda a, v: a + v) / F.size("v")
-    s = s.withColumn("m", mean).withColumn("w", vx.hann(F.transform("v", lambda v: v - F.col("m")))).withColumn("n", F.size("v"))
-    p = s.select("vec_id", "n", F.posexplode("w").alias("t", "x")).withColumn("k", F.explode(F.sequence(F.lit(0), F.expr("n div 2 - 1"))))
-    a = 2 * math.pi * F.col("k") * F.col("t") / F.col("n")
-    g = p.groupBy("vec_id", "k", "n").agg(F.sum(F.col("x") * F.cos(a)).alias("re"), F.sum(F.col("x") * F.sin(a)).alias("im"))
-    return g.select("vec_id", "k", (F.col("k") * 16.0 / F.col("n")).alias("f"), ((F.col("re") ** 2 + F.col("im") ** 2) / F.col("n") ** 2).alias("p"), "n")
+    window = _with(mean, lambda m: vx.hann(F.transform("v", lambda v: v - m)))
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+
+    def part(w, k, wave):
+        return F.aggregate(places, F.lit(0.0), lambda a, t: a + F.get(w, t) * wave(2 * math.pi * k * t / F.col("n")))
+
+    bins = F.sequence(F.lit(0), F.expr("n div 2 - 1").cast("int"))
+    p = _with(window, lambda w: F.transform(bins, lambda k: (part(w, k, F.cos) ** 2 + part(w, k, F.sin) ** 2) / (F.col("n") * F.col("n"))))
+    return s.select("vec_id", "n", F.posexplode(p).alias("k", "p")).select("vec_id", "k", (F.col("k") * 16.0 / F.col("n")).alias("f"), "p", "n")
 
 
 SPECTRUM = """s AS (SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings),
