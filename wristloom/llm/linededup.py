@@ -42,7 +42,8 @@ def _cut(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     drops = written(hit.groupBy("doc_id", "_llm_text").agg(F.collect_set("pos").alias("_llm_drop")), "dropped-lines")
     drops = drops.withColumnRenamed("doc_id", "_llm_doc")
     wide = docs.select("*", own)
-    joined = wide.join(drops.withColumnRenamed("_llm_text", "_llm_of"), (F.col("doc_id") == F.col("_llm_doc")) & (F.col("_llm_text") == F.col("_llm_of")), "left")
+    # one strategy at every size: the positions grow with the documents, so they are never broadcast
+    joined = wide.join(drops.withColumnRenamed("_llm_text", "_llm_of").hint("merge"), (F.col("doc_id") == F.col("_llm_doc")) & (F.col("_llm_text") == F.col("_llm_of")), "left")
     return joined.drop("_llm_text", "_llm_doc", "_llm_of").withColumn("_llm_lines", _lines(F.col("text")))
 
 
