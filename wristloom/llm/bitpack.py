@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import mapped, shared_path, slices, written
 from .tokens import END_ID, WORD_BPE, encoder
 
 MAGIC = b"TIDBITS1"
@@ -174,7 +174,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
         writer = None
         where = TaskContext.get()
         shard, file = where.partitionId(), f"shard-{where.partitionId():06d}-{where.taskAttemptId()}.tid"
-        for batch in batches:
+        for batch in slices(batches):
             if writer is None:
                 files.create_dir(folder, recursive=True)
                 writer = ShardWriter(files.open_output_stream(f"{folder}/{file}"), bits)
@@ -187,7 +187,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = written(ordered.mapInArrow(task, "shard long, file string, n_docs long, n_ids long"), "shards")
+    shards = written(mapped(ordered, task, "shard long, file string, n_docs long, n_ids long"), "shards")
     # one row per file, so one task can sum them
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
@@ -207,7 +207,7 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.select("file", "start", "shard").repartition("shard")
-    return spread.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(spread, task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_files(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = END_ID, path: str | None = None) -> DataFrame:

@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 PIECES = "piece_bpe_32k.model"
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -140,7 +142,7 @@ class Model:
 class Scorer:
     """Log probabilities of words in every language, cached for at most cache_words of them."""
 
-    def __init__(self, model: Model, cache_words: int = 300_000):
+    def __init__(self, model: Model, cache_words: int = 150_000):
         self.model, self.trie, self.cache_words = model, Trie(model.pieces), cache_words
         self._clear()
 
@@ -232,4 +234,4 @@ def predict(docs: DataFrame, model: Model, batch_texts: int = 256) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     source = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(task, "doc_id long, held_out boolean, lang_pred string, score double")
+    return mapped(source, task, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, slices, written
 from .tokens import END_ID, WORD_BPE, encoder
 
 CAPACITY = 4096
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = END_ID, cap
         tail = np.array([end_id], dtype="<u4").tobytes()
         counts: dict[int, int] = {}
         me = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1).to_pylist()), strict=True):
                 ids = memoryview(ids + tail)
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = END_ID, cap
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(task, ", ".join(f"{n} long" for n in names))
+    return mapped(source, task, ", ".join(f"{n} long" for n in names))
 
 
 def first_fit(left: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, mapped
 
 #: (verdict, host, path): a rule fits its host and all its subdomains, where the path starts with its own.
 BASE_RULES = (
@@ -125,7 +125,7 @@ def glob_verdicts(pages: DataFrame, globs=GLOB_RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, verdict], [*batch.schema.names, "glob_verdict"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return pages.mapInArrow(task, f"{fields}, glob_verdict string")
+    return mapped(pages, task, f"{fields}, glob_verdict string")
 
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
