@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.duck import connected, rows
-from tests.llm.test_text_ops import SCHEMA, brute_components, brute_fingerprint, brute_lines
+from tests.llm.test_text_ops import SCHEMA, brute_components, brute_fingerprint, brute_lines, met_in_a_table
 from wristloom.llm import chroma, langid, mixing, packing, quality, queries, simhash, urls
 
 SF = "/root/testdata/sf0.001"
@@ -92,6 +92,13 @@ def test_chroma_aligns(spark):
     assert chroma.align(media(spark).limit(0)).count() == 0
 
 
+def test_aligned_sums_up_the_pairs(spark):
+    df = media(spark)
+    rows_ = {(r["rec_id"], r["class_id"], r["n_queries"], r["best_query"], r["offset"]) for r in chroma.aligned(df).collect()}
+    assert rows_ == {(0, 0, 1, 0, 0), (7, 0, 1, 0, 0), (8, 8, 1, 0, 0), (9, 9, 1, 0, -6), (100, 100, 1, 100, 0), (101, 101, 0, None, None), (102, None, 0, None, None), (103, None, 0, None, None), (104, None, 0, None, None), (None, None, 0, None, None)}
+    assert chroma.aligned(df).count() == df.count() and chroma.aligned(df.limit(0)).count() == 0
+
+
 def test_chroma_against_all_pairs(spark):
     """The inverted index finds every pair that brute force over all offsets finds with enough votes."""
     df = media(spark)
@@ -185,7 +192,7 @@ def test_pipeline_against_brute_force(spark):
     docs = {r[0]: r for r in con.execute("SELECT doc_id, text, lang, source FROM documents").fetchall() if r[0] in kept}
     texts = {x[0]: x[4] for x in brute_lines([(d, r[1]) for d, r in sorted(docs.items())])}
     order = sorted(texts)
-    first = brute_components([(d, brute_fingerprint(texts[d], 5) << 64 | brute_fingerprint(texts[d], 5, 43)) for d in order], simhash.WIDE_RADIUS)
+    first = brute_components([(d, brute_fingerprint(texts[d], 5) | brute_fingerprint(texts[d], 5, 43) << 64) for d in order], simhash.WIDE_RADIUS, met_in_a_table)
     left = [d for d, c in zip(order, first, strict=True) if d == c]
     import pyarrow as pa
 

@@ -228,8 +228,8 @@ def brute_fingerprint(text, shingle, seed=42):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(nodes, radius):
-    """nodes: (id, fingerprint) to the least id reachable."""
+def brute_components(nodes, radius, met=lambda x: True):
+    """nodes: (id, fingerprint) to the least id reachable over links of radius bits whose differing bits `met` takes."""
     parent = {k: k for k in range(len(nodes))}
 
     def find(k):
@@ -238,7 +238,8 @@ def brute_components(nodes, radius):
         return k
 
     for i, j in itertools.combinations(range(len(nodes)), 2):
-        if (nodes[i][1] ^ nodes[j][1]).bit_count() <= radius:
+        x = nodes[i][1] ^ nodes[j][1]
+        if x.bit_count() <= radius and met(x):
             a, b = find(i), find(j)
             parent[max(a, b)] = min(a, b)
     least = defaultdict(list)
@@ -277,6 +278,11 @@ def test_multi_index_hashing_finds_all(spark, radius, segments):
     assert got == {signed(fp): c for (_, fp), c in zip(nodes, brute_components(nodes, radius), strict=True)}
 
 
+def met_in_a_table(x):
+    """Whether two 128-bit fingerprints that differ in the bits x agree on the key of some table."""
+    return not all(any(x >> int(b) & 1 for b in table) for table in simhash.table_bits())
+
+
 def test_wide_links(spark):
     """Components of 128-bit fingerprints against all pairs; links of few bits are all met."""
     r = np.random.default_rng(3)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 RATE = 4000
 FRAME, HOP = 512, 256
@@ -101,7 +101,7 @@ def fingerprints(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm")
                 out.append(fingerprint(chroma(signal)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rec_id", "fp"])
 
-    return media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(pcm_col).alias("pcm")).mapInArrow(task, "rec_id long, fp binary")
+    return mapped(media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(pcm_col).alias("pcm")), task, "rec_id long, fp binary")
 
 
 def _integers(classes: DataFrame, name: str) -> DataFrame:
@@ -112,6 +112,24 @@ def _integers(classes: DataFrame, name: str) -> DataFrame:
     return at.select(name, F.expr("substring(fp, 4 * pos + 1, 4)").alias("value"), "pos")
 
 
+def _class_pairs(media: DataFrame, id_col: str, pcm_col: str, every: int, min_votes: int, max_error: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(prints, classes, asked, pairs): pairs are of a query class and a class that it aligns with, its own included."""
+    prints = written(fingerprints(media, id_col, pcm_col), "chroma-prints")
+    known = prints.where("rec_id IS NOT NULL AND octet_length(fp) > 0")
+    classes = written(known.groupBy("fp").agg(F.min("rec_id").alias("match_id"), F.count("*").alias("class_size")), "chroma-classes")
+    asking = known.where(F.col("rec_id") % every == 0).groupBy("fp").agg(F.collect_set("rec_id").alias("query_ids"))
+    asked = written(classes.select("fp", F.col("match_id").alias("query")).join(asking, "fp"), "chroma-queries")
+    left = _integers(asked.withColumnRenamed("query", "match_id"), "query").withColumnRenamed("pos", "query_pos")
+    # an integer that recurs in a recording is one entry per position; votes are summed map-side
+    votes = left.join(_integers(classes, "match_id"), "value").where("query <> match_id").groupBy("query", "match_id", (F.col("pos") - F.col("query_pos")).alias("offset")).agg(F.count("*").alias("votes"))
+    rank = F.row_number().over(Window.partitionBy("query", "match_id").orderBy(F.desc("votes"), F.abs("offset"), "offset"))
+    best = votes.where(F.col("votes") >= min_votes).withColumn("rank", rank).where("rank = 1").drop("rank")
+    pairs = best.join(asked.select("query", F.col("fp").alias("query_fp")), "query").join(classes.select("match_id", "fp"), "match_id")
+    near = _errors(pairs).where(F.col("bit_error") <= max_error)
+    own = asked.select("query", F.col("query").alias("match_id"), F.lit(0).alias("offset"), (F.octet_length("fp") / 4).cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
+    return prints, classes, asked, near.unionByName(own)
+
+
 def align(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", every: int = 100, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> DataFrame:
     """Aligns the recordings whose id `every` divides with all recordings.
 
@@ -121,22 +139,31 @@ def align(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", every:
     (null or short audio) align with nothing, null ids are never queries and count for no class; repeated
     rows count once each in class_size.
     """
-    prints = written(fingerprints(media, id_col, pcm_col), "chroma-prints").where("rec_id IS NOT NULL AND octet_length(fp) > 0")
-    classes = written(prints.groupBy("fp").agg(F.min("rec_id").alias("match_id"), F.count("*").alias("class_size")), "chroma-classes")
-    asking = prints.where(F.col("rec_id") % every == 0).select("rec_id", "fp")
-    asked = written(classes.join(asking.groupBy("fp").agg(F.collect_set("rec_id").alias("query_ids")), "fp"), "chroma-queries")
-    left = _integers(asked, "query").withColumnRenamed("pos", "query_pos")
-    # an integer that recurs in a recording is one entry per position; votes are summed map-side
-    votes = left.join(_integers(classes, "match_id"), "value").where("query <> match_id").groupBy("query", "match_id", (F.col("pos") - F.col("query_pos")).alias("offset")).agg(F.count("*").alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("query", "match_id").orderBy(F.desc("votes"), F.abs("offset"), "offset"))
-    best = votes.where(F.col("votes") >= min_votes).withColumn("rank", rank).where("rank = 1").drop("rank")
-    pairs = best.join(asked.select(F.col("match_id").alias("query"), F.col("fp").alias("query_fp")), "query").join(classes.select("match_id", "fp"), "match_id")
-    near = _errors(pairs).where(F.col("bit_error") <= max_error)
-    own = asked.select(F.col("match_id").alias("query"), "match_id", F.lit(0).alias("offset"), (F.octet_length("fp") / 4).cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
-    found = near.unionByName(own).join(classes.select("match_id", "class_size"), "match_id").join(asked.select(F.col("match_id").alias("query"), F.explode("query_ids").alias("query_id")), "query")
+    _, classes, asked, pairs = _class_pairs(media, id_col, pcm_col, every, min_votes, max_error)
+    found = pairs.join(classes.select("match_id", "class_size"), "match_id").join(asked.select("query", F.explode("query_ids").alias("query_id")), "query")
     return found.select("query_id", "match_id", "class_size", F.col("offset").cast("long").alias("offset"), "votes", F.round("bit_error", 6).alias("bit_error"))
 
 
+def aligned(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", every: int = 100, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> DataFrame:
+    """One row per row of media: its class, and what align() finds for it, without a row for every pair.
+
+    rec_id, class_id (the least id with its fingerprint), n_queries (how many queries it aligns with, itself among
+    them if it is one), and of the query that aligns best, by bit errors and then id: best_query, offset, bit_error.  Nulls
+    where there is no fingerprint, or no query.
+    """
+    prints, classes, asked, pairs = _class_pairs(media, id_col, pcm_col, every, min_votes, max_error)
+    who = asked.select("query", F.size("query_ids").cast("long").alias("n"), F.array_min("query_ids").alias("best_query"))
+    best = F.struct(F.round("bit_error", 6).alias("bit_error"), "best_query", F.col("offset").cast("long").alias("offset"))
+    each = pairs.join(who, "query").groupBy("match_id").agg(F.sum("n").alias("n_queries"), F.min(best).alias("best"))
+    found = classes.join(each, "match_id", "left").withColumnRenamed("fp", "class_fp")
+    rows = prints.join(found, prints.fp == F.col("class_fp"), "left")
+    inside = F.col("rec_id").isNotNull()
+    return rows.select(
+        "rec_id", F.when(inside, F.col("match_id")).alias("class_id"), F.when(inside, F.coalesce("n_queries", F.lit(0))).otherwise(0).cast("long").alias("n_queries"),
+        *(F.when(inside, F.col(f"best.{c}")).alias(c) for c in ("best_query", "offset", "bit_error")),
+    )
+
+
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
     """Share of differing bits of two fingerprints where b, shifted by offset, overlaps a."""
     i, j = max(0, -offset), max(0, offset)
@@ -154,7 +181,7 @@ def _errors(pairs: DataFrame) -> DataFrame:
             errors = pa.array([bit_error(read(a), read(b), d) for a, b, d in rows], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), errors], [*names, "bit_error"])
 
-    return pairs.mapInArrow(task, "query long, match_id long, offset int, votes long, bit_error double")
+    return mapped(pairs, task, "query long, match_id long, offset int, votes long, bit_error double")
 
 
 def sonify(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -174,4 +201,4 @@ def sonify(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 pcm = [scale[k].reshape(-1).astype("<i2").tobytes() for k in notes]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pcm, pa.binary())], ["rec_id", "pcm"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("rec_id"), F.col(vector_col).alias("v")).mapInArrow(task, "rec_id long, pcm binary")
+    return mapped(vectors.select(F.col(id_col).cast("long").alias("rec_id"), F.col(vector_col).alias("v")), task, "rec_id long, pcm binary")

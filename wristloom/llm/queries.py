@@ -37,7 +37,7 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chroma.align(chroma.sonify(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    return chroma.aligned(chroma.sonify(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
