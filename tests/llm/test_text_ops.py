@@ -318,6 +318,68 @@ def test_wide_similarity(spark):
     assert sum(r["component_id"] != r["doc_id"] for r in got) >= 38
 
 
+def brute_shingles(text, shingle=5):
+    words = text.lower().split()
+    return {" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+
+
+def edited_texts(edits, pairs, seed, length=400):
+    """Pairs of texts (2k, 2k + 1) that differ in so many words."""
+    r = np.random.default_rng(seed)
+    docs = []
+    for k in range(pairs):
+        base = [f"w{x}" for x in r.integers(0, 3000, length)]
+        copy = list(base)
+        for at in r.choice(length // 10, edits, replace=False):
+            copy[int(at) * 10 + 2] = f"edit{k}"
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    return docs
+
+
+def similarity(a, b):
+    a, b = brute_shingles(a), brute_shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_every_pair_at_the_threshold_is_linked(spark):
+    """No pair just above 0.8 is lost."""
+    docs = edited_texts(8, 200, 21)
+    assert all(0.8 <= similarity(docs[k][1], docs[k + 1][1]) < 0.83 for k in range(0, 400, 2))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.wide_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in docs}
+
+
+def test_similar_components_against_all_pairs(spark):
+    """Families of chained edits, around the threshold, against all pairs."""
+    r = np.random.default_rng(5)
+    docs = []
+    for f in range(12):
+        texts = [[f"w{x}" for x in r.integers(0, 3000, 120)]]
+        for _ in range(14):
+            copy = list(texts[int(r.integers(0, len(texts)))])
+            for at in r.choice(120, int(r.integers(1, 6)), replace=False):
+                copy[int(at)] = f"e{int(r.integers(0, 10**6))}"
+            texts.append(copy)
+        docs += [(100 * f + k, " ".join(t)) for k, t in enumerate(texts)]
+    r.shuffle(docs)
+    docs = [(int(d), t) for d, t in docs]
+    sets, parent = [brute_shingles(t) for _, t in docs], list(range(len(docs)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            parent[find(i)] = find(j)
+    least = {}
+    for k, (d, _) in enumerate(docs):
+        least[find(k)] = min(d, least.get(find(k), d))
+    got = {x["doc_id"]: x["component_id"] for x in simhash.wide_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: least[find(k)] for k, (d, _) in enumerate(docs)} and len(set(got.values())) > 12
+
+
 def test_one_of_each(odd):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns

@@ -226,30 +226,164 @@ def wide_near_components(known: DataFrame, radius: int = WIDE_RADIUS) -> DataFra
     return joined.select("node", F.coalesce("component", "label").alias("component"))
 
 
-def wide_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """doc_id and component_id of every row of docs, as near_duplicates has them, by 128-bit fingerprints.
+# ---------------------------------------------------------------- links by shingle similarity
 
-    Documents of a Jaccard similarity of 0.8 (cosine 0.89) differ in 19 of 128 bits on average, give or take 4; a radius
-    of 23 takes most of them, and some of 0.7.
+#: A link is a Jaccard similarity of the sets of shingles of LINK[0] / LINK[1] or more.
+LINK = (4, 5)
+#: MinHash bands: of a pair at 0.8, all BANDS differ with a chance of (1 - 0.8 ** ROWS) ** BANDS = 9e-12.
+BANDS, ROWS = 64, 5
+#: One bit of every minimum makes a sketch.  A pair at 0.8 differs in 32 of 320 bits on average, in more than 70 with a chance under 1e-9.
+SKETCH_WORDS, SKETCH_MISSES = BANDS * ROWS // 64, 70
+#: Pairs of one document that are verified in one task.
+PAIRS_AT_ONCE = 256
+
+
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; none without words.  Words are those of fingerprint()."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    parts = [words[k : max(1, len(words) - shingle + 1) + k] for k in range(shingle)] if len(words) > shingle else [[w] for w in words]
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*parts, strict=True)], dtype=np.uint64))
+
+
+def _odd(label: str, n: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f"{label}:{k}") | 1 for k in range(n)], dtype=np.uint64)
+
+
+def bands_and_sketch(found: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(a bucket for each band, the sketch) of a shingle_set, as signed longs."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), at_once):
+        np.minimum(least, (_MINHASH[:, None] * found[at : at + at_once]).min(axis=1), out=least)
+    mixed = (least * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) + _BAND
+    sketch = np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    return (mixed ^ mixed >> np.uint64(31)).view(np.int64), sketch
+
+
+_MINHASH, _MIX, _BAND = _odd("minhash", BANDS * ROWS), _odd("mix", BANDS * ROWS), _odd("band", BANDS)
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Sizes and sketches of the columns that begin with a and b do not rule out a link."""
+    small, large = F.least(f"{a}_size", f"{b}_size"), F.greatest(f"{a}_size", f"{b}_size")
+    return (small * LINK[1] >= large * LINK[0]) & (_misses(a, b) <= SKETCH_MISSES)
+
+
+def _misses(a: str, b: str) -> Column:
+    out = F.lit(0)
+    for k in range(SKETCH_WORDS):
+        out = out + F.bit_count(F.col(f"{a}_s{k}").bitwiseXOR(F.col(f"{b}_s{k}")))
+    return out
+
+
+def _side(x: str, *others: str) -> list[Column]:
+    return [F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("size", *(f"s{k}" for k in range(SKETCH_WORDS)), *others))]
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, x: str) -> DataFrame:
+    """pairs with the set of column x as {x}_set; a node of many pairs is dealt out over many tasks."""
+    other = "b" if x == "a" else "a"
+    parts = pairs.groupBy(x).agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).cast("long").alias("_parts"))
+    dealt = pairs.join(parts, x).withColumn("_part", F.pmod(F.xxhash64(other), "_parts")).drop("_parts")
+    copies = sets.join(parts.withColumnRenamed(x, "node"), "node").select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
+    return dealt.join(copies, [x, "_part"]).drop("_part")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sets (node, set) have a similarity of LINK or more, counted exactly."""
+    both = _with_sets(_with_sets(pairs.select("a", "b"), sets, "a"), sets, "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    union = F.size("a_set") + F.size("b_set") - common
+    return both.where(common * LINK[1] >= union * LINK[0]).select("a", "b")
+
+
+def similar_components(known: DataFrame, sets_of) -> DataFrame:
+    """(node, component) of known (node, bands, size, s0, s1, ...), distinct shingle sets: links of LINK and more.
+
+    Pairs that share the bucket of a band are candidates.  Each node is first held against one smallest and one
+    largest node of its buckets, those of the nearest sketches; then all candidates across the components that are
+    left are held against each other, so no link between two components goes unseen.  sets_of(nodes) gives (node, set).
+    """
+    traits = known.drop("bands")
+    by = Window.partitionBy("bucket")
+    entries = known.select("node", F.explode("bands").alias("bucket"))
+    met = entries.select("bucket", "node", F.min("node").over(by).alias("head"), F.max("node").over(by).alias("last")).where("head <> last")
+    met = written(met, "similar-buckets")
+    sets = written(sets_of(met.select("node").distinct()), "similar-sets")
+
+    def nearest(end: str) -> DataFrame:
+        pairs = met.where(F.col("node") != F.col(end)).select(F.col("node").alias("a"), F.col(end).alias("b")).distinct()
+        pairs = pairs.join(traits.select(_side("a")), "a").join(traits.select(_side("b")), "b").where(_may_link("a", "b"))
+        return pairs.groupBy("a").agg(F.min_by("b", F.struct(_misses("a", "b").alias("n"), "b")).alias("b"))
+
+    tried = written(nearest("head").union(nearest("last")).distinct(), "similar-tried")
+    first = components(linked_pairs(tried, sets))
+    label = written(traits.join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "similar-labels")
+    members = met.select("bucket", "node").join(label.select("node", "label"), "node")
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
+    rest = written(members.drop("label").join(mixed.select("bucket", "main"), "bucket").join(label, "node"), "similar-mixed")
+    left = rest.where("label <> main").select(F.col("bucket").alias("at"), *_side("a", "label"))
+    right = rest.select("bucket", "main", *_side("b", "label"))
+    # of two nodes outside the main component, the smaller stands on the left
+    once = (F.col("b_label") == F.col("main")) | (F.col("a") < F.col("b"))
+    across = left.join(right, [F.col("at") == F.col("bucket"), F.col("a_label") != F.col("b_label"), once, _may_link("a", "b")])
+    pairs = written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-across")
+    names = label.select("node", "label")
+    found = linked_pairs(pairs, sets).join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b")
+    second = components(found.select("la", "lb"), "la", "lb")
+    joined = names.join(second.withColumnRenamed("node", "label"), "label", "left")
+    return joined.select("node", F.coalesce("component", "label").alias("component"))
+
+
+def wide_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id and component_id of every row of docs, as near_duplicates has them, with links by shingle similarity.
+
+    Two rows are linked if the Jaccard similarity of their sets of shingles is LINK or more: candidates come from MinHash
+    bands, and every link is counted exactly.  Rows without words are copies of each other.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            both = np.array([fingerprint(t, shingle, WIDE_SEEDS) for t in batch.column(1).to_pylist()], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "hi", "lo"])
-
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            keys = np.array([(h >> 64, h & (1 << 64) - 1) for h in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            both = [bands_and_sketch(s) for s in sets]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([b for b, _ in both])))
+            sketch = np.array([s for _, s in both])
+            columns = [batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), bands, pa.array(np.array([len(s) for s in sets], dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH_WORDS)], ["doc_id", "hi", "lo", "bands", "size", *words])
+
+    def set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            keys = np.array([(h >> 64, h & (1 << 64) - 1) for h in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+            values = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["hi", "lo", "set"])
+
+    words = [f"s{k}" for k in range(SKETCH_WORDS)]
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = written(mapped(source, task, "doc_id long, hi long, lo long"), "wide-prints")
-    groups = written(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).where("least IS NOT NULL"), "wide-groups")
-    # rows of one doc_id may have several fingerprints: a node is a hash of its own
-    node = F.xxhash64("hi", "lo")
-    found = wide_near_components(groups.select(node.alias("node"), "hi", "lo"), radius).join(groups.select(node.alias("node"), "hi", "lo", "least"), "node")
+    schema = "doc_id long, hi long, lo long, bands array<long>, size long, " + ", ".join(f"{w} long" for w in words)
+    prints = written(mapped(source, task, schema), "wide-prints")
+    traits = ["bands", "size", *words]
+    # rows of one doc_id may have several sets: a node is a hash of its own
+    groups = prints.where("doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in traits))
+    groups = written(groups.withColumn("node", F.xxhash64("hi", "lo")), "wide-groups")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = written(groups.select("node", "hi", "lo", "least").join(nodes, "node"), "similar-nodes")
+        texts = source.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+        sets = mapped(texts, set_task, "hi long, lo long, set array<long>").join(wanted.select("node", "hi", "lo"), ["hi", "lo"])
+        return sets.groupBy("node").agg(F.first("set").alias("set"))
+
+    found = similar_components(groups.select("node", *traits), sets_of).join(groups.select("node", "hi", "lo", "least"), "node")
     least = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(found.join(least, "component").select("hi", "lo", "component_id"), ["hi", "lo"], "left").select("doc_id", "component_id")
+    return prints.select("doc_id", "hi", "lo").join(found.join(least, "component").select("hi", "lo", "component_id"), ["hi", "lo"], "left").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs (doc_id, text, ...) without near copies of a document with a smaller doc_id, by wide fingerprints.
+    """The rows of docs (doc_id, text, ...) without near copies of a document with a smaller doc_id, as wide_near_duplicates finds them.
 
     Of rows that share a doc_id, all stay or go; rows with a null doc_id stay.  The columns are those of docs.
     """
