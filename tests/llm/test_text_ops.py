@@ -349,6 +349,14 @@ def test_every_pair_at_the_threshold_is_linked(spark):
     assert got == {d: d // 2 * 2 for d, _ in docs}
 
 
+def test_no_pair_below_the_threshold_is_linked(spark):
+    """Texts at 0.7 to 0.8, many of them within the radius of the wide fingerprints, stay apart."""
+    docs = edited_texts(12, 200, 22)
+    assert all(0.7 < similarity(docs[k][1], docs[k + 1][1]) < 0.8 for k in range(0, 400, 2))
+    got = simhash.wide_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+
+
 def test_similar_components_against_all_pairs(spark):
     """Families of chained edits, around the threshold, against all pairs."""
     r = np.random.default_rng(5)
