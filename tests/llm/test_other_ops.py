@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.duck import connected, rows
-from tests.llm.test_text_ops import SCHEMA, brute_components, brute_fingerprint, brute_lines, met_in_a_table
-from wristloom.llm import chroma, langid, mixing, packing, quality, queries, simhash, urls
+from tests.llm.test_text_ops import SCHEMA, brute_lines, brute_similar
+from wristloom.llm import chroma, langid, mixing, packing, quality, queries, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -192,8 +192,7 @@ def test_pipeline_against_brute_force(spark):
     docs = {r[0]: r for r in con.execute("SELECT doc_id, text, lang, source FROM documents").fetchall() if r[0] in kept}
     texts = {x[0]: x[4] for x in brute_lines([(d, r[1]) for d, r in sorted(docs.items())])}
     order = sorted(texts)
-    first = brute_components([(d, brute_fingerprint(texts[d], 5) | brute_fingerprint(texts[d], 5, 43) << 64) for d in order], simhash.WIDE_RADIUS, met_in_a_table)
-    left = [d for d, c in zip(order, first, strict=True) if d == c]
+    left = [d for d, c in brute_similar([(d, texts[d]) for d in order]).items() if d == c]
     import pyarrow as pa
 
     mem = duckdb.connect()

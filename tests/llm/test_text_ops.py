@@ -228,8 +228,8 @@ def brute_fingerprint(text, shingle, seed=42):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(nodes, radius, met=lambda x: True):
-    """nodes: (id, fingerprint) to the least id reachable over links of radius bits whose differing bits `met` takes."""
+def brute_components(nodes, radius):
+    """nodes: (id, fingerprint) to the least id reachable over links of radius bits."""
     parent = {k: k for k in range(len(nodes))}
 
     def find(k):
@@ -238,8 +238,7 @@ def brute_components(nodes, radius, met=lambda x: True):
         return k
 
     for i, j in itertools.combinations(range(len(nodes)), 2):
-        x = nodes[i][1] ^ nodes[j][1]
-        if x.bit_count() <= radius and met(x):
+        if (nodes[i][1] ^ nodes[j][1]).bit_count() <= radius:
             a, b = find(i), find(j)
             parent[max(a, b)] = min(a, b)
     least = defaultdict(list)
@@ -278,31 +277,7 @@ def test_multi_index_hashing_finds_all(spark, radius, segments):
     assert got == {signed(fp): c for (_, fp), c in zip(nodes, brute_components(nodes, radius), strict=True)}
 
 
-def met_in_a_table(x):
-    """Whether two 128-bit fingerprints that differ in the bits x agree on the key of some table."""
-    return not all(any(x >> int(b) & 1 for b in table) for table in simhash.table_bits())
-
-
-def test_wide_links(spark):
-    """Components of 128-bit fingerprints against all pairs; links of few bits are all met."""
-    r = np.random.default_rng(3)
-    fps = set()
-    for _ in range(30):
-        c = int.from_bytes(r.bytes(16), "little")
-        fps.add(c)
-        for _ in range(8):
-            x = c
-            for b in r.choice(128, r.choice([2, 9, 14, 40]), replace=False):
-                x ^= 1 << int(b)
-            fps.add(x)
-    nodes = list(enumerate(sorted(fps)))
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    df = spark.createDataFrame([(k, signed(fp & (2**64 - 1)), signed(fp >> 64)) for k, fp in nodes], "node long, hi long, lo long")
-    got = {x["node"]: x["component"] for x in simhash.wide_near_components(df, radius=15).collect()}
-    assert got == dict(zip([k for k, _ in nodes], brute_components(nodes, 15), strict=True))
-
-
-def test_wide_similarity(spark):
+def test_edited_copies(spark):
     """Copies at a shingle similarity of 0.8 and more are found, other texts of the same words are not."""
     r = np.random.default_rng(8)
     words = [f"w{k}" for k in range(300)]
@@ -313,13 +288,13 @@ def test_wide_similarity(spark):
         for at in r.choice(400, 5, replace=False):
             copy[at] = "edited"
         docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
-    got = simhash.wide_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = simhash.similar_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert all(r["component_id"] in (r["doc_id"], r["doc_id"] - 1) for r in got)
     assert sum(r["component_id"] != r["doc_id"] for r in got) >= 38
 
 
 def brute_shingles(text, shingle=5):
-    words = text.lower().split()
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     return {" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
 
 
@@ -345,7 +320,7 @@ def test_every_pair_at_the_threshold_is_linked(spark):
     """No pair just above 0.8 is lost."""
     docs = edited_texts(8, 200, 21)
     assert all(0.8 <= similarity(docs[k][1], docs[k + 1][1]) < 0.83 for k in range(0, 400, 2))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.wide_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {d: d // 2 * 2 for d, _ in docs}
 
 
@@ -353,24 +328,12 @@ def test_no_pair_below_the_threshold_is_linked(spark):
     """Texts at 0.7 to 0.8, many of them within the radius of the wide fingerprints, stay apart."""
     docs = edited_texts(12, 200, 22)
     assert all(0.7 < similarity(docs[k][1], docs[k + 1][1]) < 0.8 for k in range(0, 400, 2))
-    got = simhash.wide_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = simhash.similar_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert all(r["component_id"] == r["doc_id"] for r in got)
 
 
-def test_similar_components_against_all_pairs(spark):
-    """Families of chained edits, around the threshold, against all pairs."""
-    r = np.random.default_rng(5)
-    docs = []
-    for f in range(12):
-        texts = [[f"w{x}" for x in r.integers(0, 3000, 120)]]
-        for _ in range(14):
-            copy = list(texts[int(r.integers(0, len(texts)))])
-            for at in r.choice(120, int(r.integers(1, 6)), replace=False):
-                copy[int(at)] = f"e{int(r.integers(0, 10**6))}"
-            texts.append(copy)
-        docs += [(100 * f + k, " ".join(t)) for k, t in enumerate(texts)]
-    r.shuffle(docs)
-    docs = [(int(d), t) for d, t in docs]
+def brute_similar(docs):
+    """(doc_id, text) to the least doc_id reachable over links of a similarity of 0.8 and more."""
     sets, parent = [brute_shingles(t) for _, t in docs], list(range(len(docs)))
 
     def find(k):
@@ -384,14 +347,59 @@ def test_similar_components_against_all_pairs(spark):
     least = {}
     for k, (d, _) in enumerate(docs):
         least[find(k)] = min(d, least.get(find(k), d))
-    got = {x["doc_id"]: x["component_id"] for x in simhash.wide_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {d: least[find(k)] for k, (d, _) in enumerate(docs)} and len(set(got.values())) > 12
+    return {d: least[find(k)] for k, (d, _) in enumerate(docs)}
+
+
+@pytest.mark.parametrize("cell", [simhash.CELL, 8])
+def test_similar_components_against_all_pairs(spark, monkeypatch, cell):
+    """Families of chained edits, around the threshold, against all pairs; buckets in one cell and in many."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    r = np.random.default_rng(5)
+    docs = []
+    for f in range(12):
+        texts = [[f"w{x}" for x in r.integers(0, 3000, 120)]]
+        for _ in range(14):
+            copy = list(texts[int(r.integers(0, len(texts)))])
+            for at in r.choice(120, int(r.integers(1, 6)), replace=False):
+                copy[int(at)] = f"e{int(r.integers(0, 10**6))}"
+            texts.append(copy)
+        docs += [(100 * f + k, " ".join(t)) for k, t in enumerate(texts)]
+    r.shuffle(docs)
+    docs = [(int(d), t) for d, t in docs]
+    want = brute_similar(docs)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and len(set(got.values())) > 12
+
+
+def test_majority_of_samples():
+    """A segment's bits are the majority of its voters' bits."""
+    found = simhash.shingle_set(" ".join(f"w{k}" for k in range(50)))
+    with np.errstate(over="ignore"):
+        least = np.array([min(int(h) * int(m) % 2**64 for h in found) for m in simhash._SAMPLE], dtype=np.uint64)
+        x = least * simhash._VOTE
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    want = [sum(1 << b for b in range(64) if sum(int(v) >> b & 1 for v in x[at : at + simhash.VOTERS]) > 2) for at in range(0, len(x), simhash.VOTERS)]
+    assert simhash.sampled_fingerprint(found).tolist() == want
+
+
+def test_similar_rows(odd, empty):
+    got = simhash.similar_duplicates(odd).collect()
+    known = [(d, t) for d, t in plain(odd) if d is not None]
+    assert len(got) == odd.count() and simhash.similar_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+    least = {r["doc_id"]: r["component_id"] for r in got if Counter(d for d, _ in known)[r["doc_id"]] == 1}
+    for d, t in known:
+        for e, u in known:
+            a, b = brute_shingles(t or ""), brute_shingles(u or "")
+            if d in least and e in least and 5 * len(a & b) >= 4 * len(a | b):
+                assert least[d] == least[e]
 
 
 def test_one_of_each(odd):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
-    found = simhash.wide_near_duplicates(odd).groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c")
+    found = simhash.similar_duplicates(odd).groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c")
     gone = {r["doc_id"] for r in found.collect()}
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in plain(odd) if d not in gone)
 

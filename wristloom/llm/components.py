@@ -20,11 +20,14 @@ def _star(arcs: DataFrame, keep) -> DataFrame:
     return moved.where("a <> b")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of an edge; component is its smallest reachable node."""
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of an edge; component is its smallest reachable node.
+
+    Rounds go on until one changes nothing; their number grows with the logarithm of the longest path.
+    """
     now = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     previous = None
-    for _ in range(max_rounds):
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # large star: larger neighbours of u go to its least neighbour
         large = _star(both, lambda v, u: v > u).distinct()
@@ -37,7 +40,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if state == previous:
             break
         previous = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -165,77 +165,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, segments
     return prints.join(found, "fp", "left").select("doc_id", hexed, F.col("component").alias("component_id"))
 
 
-
-# ---------------------------------------------------------------- wide fingerprints
-
-#: Two seeds make 128 bits.
-WIDE_SEEDS = (SEED, SEED + 1)
-TABLES, KEY_BITS = 192, 24
-WIDE_RADIUS = 23
-
-
-def table_bits() -> np.ndarray:
-    """TABLES x KEY_BITS: the bits of 128 that key each table, drawn by a hash."""
-    return np.array([sorted(range(128), key=lambda b: xxhash.xxh64_intdigest(f"{t}:{b}"))[:KEY_BITS] for t in range(TABLES)])
-
-
-def wide_near_components(known: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(node, component) of known (node, hi, lo), distinct 128-bit fingerprints: links of at most radius bits.
-
-    Every table is keyed by 24 bits of its own; two fingerprints are compared if some table has them in one bucket.
-    A link of 12 bits is met with a chance of 1 - 1e-6, one of 16 of 0.997, one of 20 of 0.9, one of 23 of 0.6.  Buckets are joined as in
-    near_components: first with their least node, then across the components that are left.
-    """
-    known = written(known.select("node", "hi", "lo"), "wide-fingerprints")
-    chosen, weights = table_bits(), 1 << np.arange(KEY_BITS, dtype=np.int64)
-    kinds = np.arange(TABLES, dtype=np.int64) << KEY_BITS
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
-            node, hi, lo = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            bits = np.unpackbits(np.stack([hi, lo], axis=1).astype("<i8").view(np.uint8), axis=1, bitorder="little")
-            bucket = bits[:, chosen] @ weights | kinds
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, TABLES)), pa.array(bucket.reshape(-1))], ["node", "bucket"])
-
-    entries = mapped(known, task, "node long, bucket long")
-    by = Window.partitionBy("bucket")
-    met = entries.select("bucket", "node", F.min("node").over(by).alias("head"), F.max("node").over(by).alias("last")).where("head <> last").drop("last")
-    met = written(met, "wide-buckets")
-
-    def named(x: str) -> DataFrame:
-        return known.select(F.col("node").alias(x), F.col("hi").alias(f"{x}_hi"), F.col("lo").alias(f"{x}_lo"))
-
-    def close(a: str, b: str) -> Column:
-        return F.bit_count(F.col(f"{a}_hi").bitwiseXOR(F.col(f"{b}_hi"))) + F.bit_count(F.col(f"{a}_lo").bitwiseXOR(F.col(f"{b}_lo"))) <= radius
-
-    pairs = met.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    first = components(pairs.join(named("a"), "a").join(named("b"), "b").where(close("a", "b")).select("a", "b"))
-    label = written(known.join(first, "node", "left").select("node", "hi", "lo", F.coalesce("component", "node").alias("label")), "wide-labels")
-    members = met.select("bucket", "node").join(label.select("node", "label"), "node")
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-    rest = written(members.join(mixed.select("bucket", "main"), "bucket").join(known, "node"), "wide-mixed")
-
-    def side(x: str) -> list[Column]:
-        return [F.col("bucket").alias(f"{x}_bucket"), F.col("label").alias(x), F.col("hi").alias(f"{x}_hi"), F.col("lo").alias(f"{x}_lo")]
-
-    left, right = rest.where("label <> main").select(side("a")), rest.select(side("b"))
-    across = left.join(right, [F.col("a_bucket") == F.col("b_bucket"), F.col("a") != F.col("b"), close("a", "b")])
-    second = components(across.select("a", "b"))
-    joined = label.join(second.withColumnRenamed("node", "label"), "label", "left")
-    return joined.select("node", F.coalesce("component", "label").alias("component"))
-
-
 # ---------------------------------------------------------------- links by shingle similarity
 
 #: A link is a Jaccard similarity of the sets of shingles of LINK[0] / LINK[1] or more.
 LINK = (4, 5)
-#: MinHash bands: of a pair at 0.8, all BANDS differ with a chance of (1 - 0.8 ** ROWS) ** BANDS = 9e-12.
-BANDS, ROWS = 64, 5
-#: One bit of every minimum makes a sketch.  A pair at 0.8 differs in 32 of 320 bits on average, in more than 70 with a chance under 1e-9.
-SKETCH_WORDS, SKETCH_MISSES = BANDS * ROWS // 64, 70
-#: Pairs of one document that are verified in one task.
-PAIRS_AT_ONCE = 256
+#: Segments of a sampled fingerprint, of 64 bits each, and the sampled shingles that vote in each.
+SEGMENTS, VOTERS = 64, 5
+#: Differing bits, of 64 * SEGMENTS, up to which a pair is counted exactly.  Pairs at 0.8 differ in 642 on average, with a
+#: standard deviation of 66 (measured); most pairs below 0.65 differ in more.
+DISTANCE = 930
+#: Entries of a bucket that are compared in one cell, and pairs of one document that are verified in one task.
+CELL, PAIRS_AT_ONCE = 1024, 256
 
 
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
@@ -251,34 +191,118 @@ def _odd(label: str, n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"{label}:{k}") | 1 for k in range(n)], dtype=np.uint64)
 
 
-def bands_and_sketch(found: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(a bucket for each band, the sketch) of a shingle_set, as signed longs."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+_SAMPLE, _VOTE = _odd("sample", SEGMENTS * VOTERS), _odd("vote", SEGMENTS * VOTERS)
+
+
+def sampled_fingerprint(found: np.ndarray, at_once: int = 256) -> np.ndarray:
+    """The segments of a shingle_set's fingerprint, as 64-bit words.
+
+    A bit of a segment is what more than half of its VOTERS have there: hashes of those shingles that are least in as many
+    orders of all shingles.  Texts with the same samples have the same segment.
+    """
+    least = np.full(SEGMENTS * VOTERS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(found), at_once):
-        np.minimum(least, (_MINHASH[:, None] * found[at : at + at_once]).min(axis=1), out=least)
-    mixed = (least * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) + _BAND
-    sketch = np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-    return (mixed ^ mixed >> np.uint64(31)).view(np.int64), sketch
+        np.minimum(least, (_SAMPLE[:, None] * found[at : at + at_once]).min(axis=1), out=least)
+    x = least * _VOTE
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    a, b, c, d, e = x.reshape(SEGMENTS, VOTERS).T
+    one, two = a ^ b ^ c, (a & b) | (c & (a | b))  # a + b + c = one + 2 * two, bit by bit
+    odd, more = one ^ d ^ e, (one & d) | (e & (one | d))
+    return (two & more) | ((two ^ more) & odd)
+
+
+def _fixed(values: np.ndarray) -> pa.Array:
+    """Rows of numbers as binary values."""
+    rows = np.ascontiguousarray(values)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.itemsize * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """What _fixed made, as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), SEGMENTS)
+
+
+def _alike(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be linked at all."""
+    return np.minimum(size_a, size_b) * LINK[1] >= np.maximum(size_a, size_b) * LINK[0]
+
 
+def _near_heads(pairs: DataFrame) -> DataFrame:
+    """Those pairs (a, b, with sizes and fingerprints) that may be linked."""
 
-_MINHASH, _MIX, _BAND = _odd("minhash", BANDS * ROWS), _odd("mix", BANDS * ROWS), _odd("band", BANDS)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            a, b, size_a, size_b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            apart = np.bitwise_count(_words(batch.column(4)) ^ _words(batch.column(5))).sum(axis=1)
+            ok = _alike(size_a, size_b) & (apart <= DISTANCE)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
+    return mapped(pairs.select("a", "b", "a_size", "b_size", "a_fp", "b_fp"), task, "a long, b long")
 
-def _may_link(a: str, b: str) -> Column:
-    """Sizes and sketches of the columns that begin with a and b do not rule out a link."""
-    small, large = F.least(f"{a}_size", f"{b}_size"), F.greatest(f"{a}_size", f"{b}_size")
-    return (small * LINK[1] >= large * LINK[0]) & (_misses(a, b) <= SKETCH_MISSES)
 
+def _near_in_cells(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (bucket, cell, block, node, label, size, fp) that share a cell and may be linked.
 
-def _misses(a: str, b: str) -> Column:
-    out = F.lit(0)
-    for k in range(SKETCH_WORDS):
-        out = out + F.bit_count(F.col(f"{a}_s{k}").bitwiseXOR(F.col(f"{b}_s{k}")))
-    return out
+    Rows come sorted by bucket and cell, and a cell's rows are held at a time.  Rows of two blocks are compared across
+    them, those of one block with each other.  A pair is named in the first segment that it has in common, and nowhere else.
+    """
 
+    def compare(bucket: int, block: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        apart = block.min() != block.max()
+        left = np.flatnonzero(block == block.min()) if apart else np.arange(len(node) - 1)
+        for at in range(0, len(left), 32):
+            i = left[at : at + 32]
+            j = np.flatnonzero(block != block.min()) if apart else np.arange(i[0] + 1, len(node))
+            ok = (label[i][:, None] != label[j]) & _alike(size[i][:, None], size[j]) & (apart | (i[:, None] < j))
+            r, c = np.nonzero(ok)
+            for k in range(0, len(r), 1 << 14):
+                x, y = i[r[k : k + (1 << 14)]], j[c[k : k + (1 << 14)]]
+                other = fp[x] ^ fp[y]
+                near = (np.bitwise_count(other).sum(axis=1) <= DISTANCE) & ((other == 0).argmax(axis=1) == bucket & (SEGMENTS - 1))
+                yield node[x[near]], node[y[near]]
 
-def _side(x: str, *others: str) -> list[Column]:
-    return [F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("size", *(f"s{k}" for k in range(SKETCH_WORDS)), *others))]
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            bucket, cell, block, node, label, size = (table.column(k).to_numpy() for k in range(6))
+            fp = _words(table.column(6).combine_chunks()) if table.num_rows else np.zeros((0, SEGMENTS), np.uint64)
+            edges = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1), len(bucket)]
+            out = [p for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for p in compare(int(bucket[a]), *(x[a:b] for x in (block, node, label, size, fp)))]
+            ends = [np.concatenate([np.zeros(0, np.int64), *(p[k] for p in out)]) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], ["a", "b"])
+
+        for batch in batches:
+            bucket, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(bucket):
+                continue
+            # rows of the last cell wait for the next batch
+            last = int(np.flatnonzero((bucket != bucket[-1]) | (cell != cell[-1])).max(initial=-1)) + 1
+            if last:
+                yield found([*held, batch.slice(0, last)])
+                held = []
+            elif held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (bucket[0], cell[0]):
+                yield found(held)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield found(held)
+
+    return mapped(rows.select("bucket", "cell", "block", "node", "label", "size", "fp"), task, "a long, b long")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """rows (bucket, size_of_bucket, node, ...) in cells of about CELL rows at most: a large bucket's rows are dealt into
+    blocks, and every two blocks are a cell."""
+    blocks = F.when(F.col("size_of_bucket") <= CELL, F.lit(1)).otherwise(F.ceil(F.col("size_of_bucket") * 2 / CELL)).cast("long")
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("*", other).withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, x: str) -> DataFrame:
@@ -299,77 +323,79 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_components(known: DataFrame, sets_of) -> DataFrame:
-    """(node, component) of known (node, bands, size, s0, s1, ...), distinct shingle sets: links of LINK and more.
+    """(node, component) of known (node, size, fp), distinct shingle sets: links of LINK and more.
 
-    Pairs that share the bucket of a band are candidates.  Each node is first held against one smallest and one
-    largest node of its buckets, those of the nearest sketches; then all candidates across the components that are
-    left are held against each other, so no link between two components goes unseen.  sets_of(nodes) gives (node, set).
+    Segment k of a fingerprint is looked up in table k; the entries of a bucket have the segment in common.  First every
+    entry is held against the least and the greatest node of its bucket, in linear work, and near copies, which crowd
+    into buckets, become components.  Then the entries of a bucket are held against each other across components, so no
+    link between two components goes unseen.  A candidate's complete fingerprints are compared, and where they are within
+    DISTANCE its links are counted exactly.  sets_of(nodes) gives (node, set).
     """
-    traits = known.drop("bands")
-    by = Window.partitionBy("bucket")
-    entries = known.select("node", F.explode("bands").alias("bucket"))
-    met = entries.select("bucket", "node", F.min("node").over(by).alias("head"), F.max("node").over(by).alias("last")).where("head <> last")
-    met = written(met, "similar-buckets")
+    traits = known.drop("buckets")
+    entries = known.select("node", F.explode("buckets").alias("bucket"))
+    heads = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size_of_bucket")).where("low <> high")
+    met = written(entries.join(heads, "bucket"), "similar-buckets")
     sets = written(sets_of(met.select("node").distinct()), "similar-sets")
 
-    def nearest(end: str) -> DataFrame:
-        pairs = met.where(F.col("node") != F.col(end)).select(F.col("node").alias("a"), F.col(end).alias("b")).distinct()
-        pairs = pairs.join(traits.select(_side("a")), "a").join(traits.select(_side("b")), "b").where(_may_link("a", "b"))
-        return pairs.groupBy("a").agg(F.min_by("b", F.struct(_misses("a", "b").alias("n"), "b")).alias("b"))
+    def named(x: str) -> DataFrame:
+        return traits.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("fp").alias(f"{x}_fp"))
 
-    tried = written(nearest("head").union(nearest("last")).distinct(), "similar-tried")
-    first = components(linked_pairs(tried, sets))
+    pairs = [met.where(F.col("node") != F.col(end)).select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b")) for end in ("low", "high")]
+    pairs = pairs[0].union(pairs[1]).distinct().join(named("a"), "a").join(named("b"), "b")
+    first = components(linked_pairs(written(_near_heads(pairs), "similar-heads"), sets))
     label = written(traits.join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "similar-labels")
-    members = met.select("bucket", "node").join(label.select("node", "label"), "node")
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-    rest = written(members.drop("label").join(mixed.select("bucket", "main"), "bucket").join(label, "node"), "similar-mixed")
-    left = rest.where("label <> main").select(F.col("bucket").alias("at"), *_side("a", "label"))
-    right = rest.select("bucket", "main", *_side("b", "label"))
-    # of two nodes outside the main component, the smaller stands on the left
-    once = (F.col("b_label") == F.col("main")) | (F.col("a") < F.col("b"))
-    across = left.join(right, [F.col("at") == F.col("bucket"), F.col("a_label") != F.col("b_label"), once, _may_link("a", "b")])
-    pairs = written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-across")
+
+    members = met.select("bucket", "size_of_bucket", "node").join(label.select("node", "label"), "node")
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
+    rest = members.drop("label").join(mixed, "bucket").join(label, "node")
+    across = written(_near_in_cells(_cells(rest)), "similar-across")
     names = label.select("node", "label")
-    found = linked_pairs(pairs, sets).join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b")
+    found = linked_pairs(across, sets).join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b")
     second = components(found.select("la", "lb"), "la", "lb")
     joined = names.join(second.withColumnRenamed("node", "label"), "label", "left")
     return joined.select("node", F.coalesce("component", "label").alias("component"))
 
 
-def wide_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def similar_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id and component_id of every row of docs, as near_duplicates has them, with links by shingle similarity.
 
-    Two rows are linked if the Jaccard similarity of their sets of shingles is LINK or more: candidates come from MinHash
-    bands, and every link is counted exactly.  Rows without words are copies of each other.
+    Two rows are linked if the Jaccard similarity of their sets of shingles is LINK or more.  A plain fingerprint differs in 15 %
+    of its bits at 0.8, and no small ball of a selective segment holds that, so segments take their votes from samples: at 0.8 one
+    segment is equal with a chance of 0.33, and none of 64 with one of 9e-12.  Every link is counted exactly.
+
+    Rows without words, null ones too, are copies of each other.  Rows with a null doc_id take the component of
+    their copies, or null, and link nothing.  Repeated rows give repeated results; no rows give none; other columns are not read.
     """
 
+    def keyed(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        sets = [shingle_set(t, shingle) for t in texts]
+        both = [(h >> 64, h & (1 << 64) - 1) for h in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)]
+        return sets, np.array(both, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+
+    def lists(values: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)))
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            keys = np.array([(h >> 64, h & (1 << 64) - 1) for h in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            both = [bands_and_sketch(s) for s in sets]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([b for b, _ in both])))
-            sketch = np.array([s for _, s in both])
-            columns = [batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), bands, pa.array(np.array([len(s) for s in sets], dtype=np.int64))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH_WORDS)], ["doc_id", "hi", "lo", "bands", "size", *words])
+            sets, keys = keyed(batch.column(1).to_pylist())
+            fp = np.array([sampled_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, SEGMENTS)
+            # a bucket is its segment, with the last bits giving way to the table's number
+            buckets = (fp & ~np.uint64(SEGMENTS - 1)) | np.arange(SEGMENTS, dtype=np.uint64)
+            columns = [batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists(list(buckets)), pa.array(np.array([len(s) for s in sets], dtype=np.int64)), _fixed(fp)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hi", "lo", "buckets", "size", "fp"])
 
     def set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
-            keys = np.array([(h >> 64, h & (1 << 64) - 1) for h in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-            values = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["hi", "lo", "set"])
+            sets, keys = keyed(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists(sets)], ["hi", "lo", "set"])
 
-    words = [f"s{k}" for k in range(SKETCH_WORDS)]
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, hi long, lo long, bands array<long>, size long, " + ", ".join(f"{w} long" for w in words)
-    prints = written(mapped(source, task, schema), "wide-prints")
-    traits = ["bands", "size", *words]
+    prints = written(mapped(source, task, "doc_id long, hi long, lo long, buckets array<long>, size long, fp binary"), "similar-prints")
     # rows of one doc_id may have several sets: a node is a hash of its own
+    traits = ("buckets", "size", "fp")
     groups = prints.where("doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in traits))
-    groups = written(groups.withColumn("node", F.xxhash64("hi", "lo")), "wide-groups")
+    groups = written(groups.withColumn("node", F.xxhash64("hi", "lo")), "similar-groups")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = written(groups.select("node", "hi", "lo", "least").join(nodes, "node"), "similar-nodes")
@@ -379,15 +405,16 @@ def wide_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     found = similar_components(groups.select("node", *traits), sets_of).join(groups.select("node", "hi", "lo", "least"), "node")
     least = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "hi", "lo").join(found.join(least, "component").select("hi", "lo", "component_id"), ["hi", "lo"], "left").select("doc_id", "component_id")
+    found = written(found.join(least, "component").select("hi", "lo", "component_id"), "similar-found")
+    return prints.select("doc_id", "hi", "lo").join(found, ["hi", "lo"], "left").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs (doc_id, text, ...) without near copies of a document with a smaller doc_id, as wide_near_duplicates finds them.
+    """The rows of docs (doc_id, text, ...) without near copies of a document with a smaller doc_id, as similar_duplicates finds them.
 
     Of rows that share a doc_id, all stay or go; rows with a null doc_id stay.  The columns are those of docs.
     """
-    found = wide_near_duplicates(docs.select("doc_id", "text"), **how)
+    found = similar_duplicates(docs.select("doc_id", "text"), **how)
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("_llm_first")).where("doc_id <> _llm_first")
     gone = written(gone.select(F.col("doc_id").alias("_llm_gone")), "near-copies")
     return docs.join(gone, F.col("doc_id") == F.col("_llm_gone"), "left_anti")
