@@ -146,6 +146,22 @@ def test_cached_encoder_is_exact(odd, tokenizer):
     assert encoder().encode(texts) == want and [x for t in texts for x in small.encode([t])] == want
 
 
+def test_cached_encoder_on_all_letters(tokenizer):
+    """Every code point of the basic plane and some beyond, beside stops, commas, capitals and signs."""
+    mine = encoder()
+    texts = ["İYİ, GÜNLER.", "EDİLDİ.", "TÜRKİYE GENELİ.", "I\u0307. i\u0307, A\u030a.", "\u0958. \ufb1d, \u0344.", "ΑΣ. ΑΣ, Σ.", "x\u0345.y"]
+    points = [c for c in [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x10400, 0x10450), *range(0x1F300, 0x1F320)]]
+    for at in range(0, len(points), 16):
+        texts += ["".join(f"a{chr(c)}.B {chr(c)}, {chr(c)}x" for c in points[at : at + 16])]
+    texts += [f"{chr(c)}. A{chr(c)}, b" for c in points]
+    r = np.random.default_rng(11)
+    some = list("aB.,  İıſßΣé\u0307\u0301'!-_²½1") + [chr(int(c)) for c in r.choice(points, 200)]
+    texts += ["".join(r.choice(some, 24)) for _ in range(30_000)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = mine.encode(texts)
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 16, 17, 31, 32])
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
 def test_pack_round_trip(bits, n):

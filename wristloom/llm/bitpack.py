@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -201,16 +202,21 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 with files.open_input_file(f"{folder}/{row['file']}") as source:
-                    rows = [(doc, row["start"] + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, at, ids in ShardReader(source).documents()]
-                for k in range(0, len(rows), 20_000):
-                    columns = zip(*rows[k : k + 20_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    rows = ((doc, row["start"] + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, at, ids in ShardReader(source).documents())
+                    while part := list(islice(rows, 20_000)):
+                        columns = zip(*part, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("file", "start", "shard").repartition("shard")
+    # a task for each file: a given number of partitions is not merged at run time
+    spread = manifest.select("file", "start", "shard").repartition(max(1, manifest.count()))
     return mapped(spread, task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_files(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """Writes docs' ids to files in the shared folder, or under path, and reads them back."""
+    """Writes docs' ids to files in the shared folder, or under path, and reads them back: a row per row of docs.
+
+    A null or empty text has the end id alone; a null doc_id comes first; rows of one doc_id are in the order of their
+    texts; no rows give none.  Texts are whole, however long, and other columns are not read.
+    """
     path = path or shared_path(docs.sparkSession, "token-ids")
     return read_shards(write_shards(docs, path, tokenizer, end_id), path)

@@ -24,8 +24,9 @@ _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A chunk of Latin letters and then ASCII signs: two pre-tokens, whatever stands around it.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
-#: A sign before a stop or comma is in one pre-token with it; after letters and digits a new one begins.
-_SIGN_BEFORE = re.compile(r"[.,](?<=[^\w\s].|_.)")
+#: A sign before a stop or comma is in one pre-token with it; after a letter or digit a new one begins.  Only letters that are
+#: the same after normalisation count: others may turn into a letter and a sign.
+_SIGN_BEFORE = re.compile(r"[.,](?<=[^0-9A-Za-zÀ-ÖØ-öø-ÿ\s].)")
 _SPECIAL = "<|"
 
 
