@@ -450,6 +450,23 @@ def test_thresholds_adapt(spark):
     assert got[0] and got[1000] and not got[5000]
 
 
+def test_limits_come_from_sketches(spark):
+    """Quartiles of a group are those of its values, to a bucket's width, and groups differ in their limits."""
+    r = np.random.default_rng(4)
+    rows = []
+    for k in range(1200):
+        marks = int(r.integers(0, 3 if k % 2 else 9))
+        rows.append((k, " ".join(["word"] * 30 + ["#" * (1 + int(x)) for x in r.integers(0, 3, marks)]), "en", "ab"[k % 2], 0))
+    stats = quality.statistics(spark.createDataFrame(rows, SCHEMA), ["lang", "source"])
+    got = {r["source"]: r for r in quality.thresholds(quality.sketches(stats)).collect()}
+    for source in "ab":
+        values = sorted(1000 * (len("".join(t.split())) - 120) // len("".join(t.split())) for _, t, _, s, _ in rows if s == source)
+        for q, c in ((0.25, "marks_q1"), (0.75, "marks_q3")):
+            want = values[max(0, -(-len(values) * int(100 * q) // 100) - 1)]
+            assert got[source][c] == want - want % (1 << max(0, want.bit_length() - quality.BITS))
+    assert got["a"]["marks_range"] > got["b"]["marks_range"]
+
+
 def brute_lines(docs, least_chars=40, least_docs=5):
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)

@@ -1,11 +1,15 @@
 """Quality rules: fixed base rules, and thresholds that adapt to each language and source.
 
 Only DataFrame functions.  Text statistics are computed per row; no text is shuffled.  The thresholds come
-from mergeable quantile sketches: counts of values in log-linear buckets (the top six bits of a value; its
-relative error is below 1/32), one sketch per language, source and statistic.  Merging two sketches is
+from mergeable quantile sketches: counts of values in log-linear buckets (the top eight bits of a value; its
+relative error is below 1/128), one sketch per language, source and statistic.  Merging two sketches is
 adding their counts, so they are built with map-side partial sums, and the sketches of a language or of
 all rows are sums of those of its sources.  They hold whole data and no sample, and the same rows give the
 same thresholds in any order.
+
+A document fails where a statistic lies more than so many interquartile ranges of its group beyond the group's quartile.
+Few words scatter more: in a document shorter than the group's median the room grows with the square root of
+that ratio, as a mean's error does.  No fixed number enters a threshold but these multiples.
 """
 
 from __future__ import annotations
@@ -15,18 +19,20 @@ from pyspark.sql import functions as F
 
 from .common import words, written
 
-#: statistic: (direction, multiple of the interquartile range, bound that no threshold may pass)
+#: rule: (statistic, direction, multiple of the interquartile range)
 RULES = {
-    "symbols": ("above", 3, 60),  # per 1000 characters of words
-    "dup_lines": ("above", 3, 400),  # per 1000 lines with a word
-    "long_words": ("above", 8, 700),  # 100 * mean word length
-    "short_words": ("below", 8, 350),  # 100 * mean word length
+    "marks": ("marks", "above", 6),  # what is no letter, per 1000 characters of words
+    "long_words": ("mean", "above", 5),  # 100 * mean word length
+    "short_words": ("mean", "below", 3),
 }
+#: What is sketched: the statistics of RULES, and the words of a document.
+SKETCHED = ("marks", "mean", "n_words")
+#: A group's limits: quartiles as bucket edges, the range between them from edge to edge, and the median of words.
+LIMITS = ("marks_q1", "marks_q3", "marks_range", "mean_q1", "mean_q3", "mean_range", "median_words")
 #: A sketch of fewer documents gives way to that of its language, and then of all.
 LEAST_DOCUMENTS = 200
-#: A mean word length is judged from this many words on; a few words may all be short.
-LEAST_WORDS = 20
-MEANS = ("long_words", "short_words")
+#: Bits of a value that its bucket keeps.
+BITS = 8
 WINDOW = 5
 
 
@@ -63,15 +69,15 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     wide = docs.select(*keep, words(F.col("text")).alias("_llm_w"), lines.alias("_llm_l"), (F.size(F.split(text, r"[#*$%&|<>]")) - 1).alias("_llm_s"))
     w = F.col("_llm_w")
-    wide = wide.withColumn("_llm_r", repeated_words(w))
-    n_lines, dup = F.size("_llm_l"), F.size("_llm_l") - F.size(F.array_distinct("_llm_l"))
+    wide = wide.withColumn("_llm_r", repeated_words(w)).withColumn("_llm_j", F.array_join(w, ""))
+    dup = F.size("_llm_l") - F.size(F.array_distinct("_llm_l"))
     q = F.struct(
         F.size(w).cast("long").alias("n_words"),
-        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.char_length("_llm_j").cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace("_llm_j", r"\P{L}+", "")).cast("long").alias("letters"),
         F.col("_llm_s").cast("long").alias("n_symbols"),
         dup.cast("long").alias("n_dup_lines"),
         F.when(F.col("_llm_r"), _covered(w)).otherwise(0).cast("long").alias("n_repeat_words"),
-        n_lines.cast("long").alias("n_lines"),
     )
     return wide.select(*keep, q.alias("_llm_q"))
 
@@ -82,20 +88,22 @@ def base_failed(q: str = "_llm_q") -> Column:
 
 
 def _values(q: str = "_llm_q") -> dict[str, Column]:
-    """Whole-number values of the statistics that RULES names."""
-    mean = f"cast(100 * {q}.word_chars div greatest({q}.n_words, 1) as bigint)"
+    """Whole-number values of what is sketched."""
     return {
-        "symbols": F.expr(f"1000 * {q}.n_symbols div greatest({q}.word_chars, 1)"),
-        "dup_lines": F.expr(f"1000 * {q}.n_dup_lines div greatest({q}.n_lines, 1)"),
-        "long_words": F.expr(mean),
-        "short_words": F.expr(mean),
+        "marks": F.expr(f"1000 * ({q}.word_chars - {q}.letters) div greatest({q}.word_chars, 1)"),
+        "mean": F.expr(f"100 * {q}.word_chars div greatest({q}.n_words, 1)"),
+        "n_words": F.col(f"{q}.n_words"),
     }
 
 
+def _width(v: Column) -> Column:
+    """The width of v's bucket: 1, and twice as much for every bit above BITS."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.char_length(F.bin(v)) - BITS, F.lit(0)))
+
+
 def _bucket(v: Column) -> Column:
-    """v itself below 64, else v with all but its top six bits zero."""
-    low = F.char_length(F.bin(v)) - 6
-    return F.when(v < 64, v).otherwise(F.call_function("shiftleft", F.call_function("shiftright", v, low), low))
+    """The lower edge of v's bucket."""
+    return v - v % _width(v)
 
 
 def sketches(stats: DataFrame) -> DataFrame:
@@ -106,7 +114,7 @@ def sketches(stats: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(lang, source) and a limit for each rule, from the finest sketch of at least `least` documents."""
+    """(lang, source) and LIMITS, from the finest sketch of at least `least` documents."""
     fine = written(sketch, "sketches")
     levels = {"g_source": ["lang", "source"], "g_lang": ["lang"], "g_all": []}
     found = None
@@ -114,33 +122,42 @@ def thresholds(sketch: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
         merged = fine.groupBy(*keys, "stat", "bucket").agg(F.sum("n").alias("n"))
         by = Window.partitionBy(*keys, "stat")
         run = merged.withColumn("total", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy("bucket")))
-        quartile = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
-        fence = run.groupBy(*keys, "stat").agg(F.max("total").alias("total"), quartile(25).alias("q1"), quartile(75).alias("q3"))
-        limit = F.lit(None).cast("long")
-        for stat, (side, times, bound) in RULES.items():
-            iqr = F.col("q3") - F.col("q1")
-            own = F.greatest(F.col("q3") + times * iqr, F.lit(bound)) if side == "above" else F.least(F.col("q1") - times * iqr, F.lit(bound))
-            limit = F.when(F.col("stat") == stat, own).otherwise(limit)
-        row = fence.groupBy(*keys).agg(F.max("total").alias("n"), *(F.max(F.when(F.col("stat") == s, limit)).alias(s) for s in RULES))
-        row = row.select(*keys, F.when(F.col("n") >= least if keys else F.lit(True), F.struct(*RULES)).alias(level))
+        part = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
+        cuts = run.groupBy(*keys, "stat").agg(F.max("total").alias("total"), part(25).alias("q1"), part(50).alias("q2"), part(75).alias("q3"))
+        cuts = cuts.withColumn("range", F.col("q3") + _width(F.col("q3")) - F.col("q1"))
+        of = lambda stat, c: F.max(F.when(F.col("stat") == stat, F.col(c)))
+        limits = [of(s, c).alias(f"{s}_{c}") for s in ("marks", "mean") for c in ("q1", "q3", "range")] + [of("n_words", "q2").alias("median_words")]
+        row = cuts.groupBy(*keys).agg(F.max("total").alias("n"), *limits)
+        row = row.select(*keys, F.when(F.col("n") >= least if keys else F.lit(True), F.struct(*LIMITS)).alias(level))
         # the last level is one row, whose limits stand on a constant key
         found = row if found is None else found.join(row, keys) if keys else found.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one")
     best = F.coalesce(*levels)
-    return found.select("lang", "source", *(best[s].alias(s) for s in RULES))
+    return found.select("lang", "source", *(best[c].alias(c) for c in LIMITS))
+
+
+def _passes(value: str, n_words: str, rule: str, limit: str = "") -> str:
+    """Whether a value passes a rule, in SQL for both engines; limit stands before the names of LIMITS."""
+    stat, side, times = RULES[rule]
+    beyond = f"({value} - {limit}{stat}_q3)" if side == "above" else f"({limit}{stat}_q1 - {value})"
+    d, room, usual = f"cast({beyond} as double)", f"cast({times} * {limit}{stat}_range as double)", f"cast(greatest({limit}median_words, 1) as double)"
+    return f"({beyond} <= 0 OR {d} * {d} * least(cast({n_words} as double), {usual}) <= {room} * {room} * {usual})"
 
 
 def judged(stats: DataFrame) -> DataFrame:
-    """stats and a boolean _llm_kept; stats must be a written table, as it is read twice."""
+    """stats and a boolean _llm_kept; stats must be a written table, as it is read twice.
+
+    The limits are a row per language and source; they are broadcast where Spark finds them small, and else joined with
+    skewed groups split.
+    """
     limits = written(thresholds(sketches(stats)), "thresholds")
-    names = {s: f"_llm_{s}" for s in RULES}
-    limits = limits.select(F.col("lang").alias("_llm_lang"), F.col("source").alias("_llm_source"), *(F.col(s).alias(n) for s, n in names.items()))
+    limits = limits.select(*(F.col(c).alias(f"_llm_{c}") for c in ("lang", "source", *LIMITS)))
     rows = stats.join(limits, [F.coalesce("lang", F.lit("")) == F.col("_llm_lang"), F.coalesce("source", F.lit("")) == F.col("_llm_source")])
-    # a value is held against a limit as its bucket, as the sketch has it
-    ok, values = ~base_failed(), {k: _bucket(v) for k, v in _values().items()}
-    for stat, (side, _, _) in RULES.items():
-        fine = (values[stat] <= F.col(names[stat])) if side == "above" else (values[stat] >= F.col(names[stat]))
-        ok = ok & (fine | (F.col("_llm_q.n_words") < LEAST_WORDS) if stat in MEANS else fine)
-    return rows.withColumn("_llm_kept", ok).drop("_llm_lang", "_llm_source", *names.values())
+    for k, v in _values().items():
+        rows = rows.withColumn(f"_llm_v_{k}", v)
+    ok = ~base_failed()
+    for rule, (stat, _, _) in RULES.items():
+        ok = ok & F.expr(_passes(f"_llm_v_{stat}", "_llm_v_n_words", rule, "_llm_"))
+    return rows.withColumn("_llm_kept", ok).drop(*(f"_llm_{c}" for c in ("lang", "source", *LIMITS)), *(f"_llm_v_{k}" for k in SKETCHED))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -166,13 +183,11 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def quality_sql(least: int = LEAST_DOCUMENTS) -> str:
     """The same in DuckDB SQL."""
     space = r"[\x20\x09-\x0D]"
-    sides = {"above": "greatest(q3 + {0} * (q3 - q1), {1})", "below": "least(q1 - {0} * (q3 - q1), {1})"}
-    limits = ", ".join(f"max({sides[side].format(times, bound)}) FILTER (WHERE stat = '{s}') AS {s}" for s, (side, times, bound) in RULES.items())
-    names = list(RULES)
-    pick = ", ".join(f"CASE WHEN a.n >= {least} THEN a.{s} WHEN b.n >= {least} THEN b.{s} ELSE c.{s} END AS lim_{s}" for s in names)
-    bucket = lambda v: f"(CASE WHEN {v} < 64 THEN {v} ELSE ({v} >> (length(bin({v})) - 6)) << (length(bin({v})) - 6) END)"
-    few = lambda s: f" OR n_words < {LEAST_WORDS}" if s in MEANS else ""
-    fails = " AND ".join(f"({bucket(f'v_{s}')} {'<=' if RULES[s][0] == 'above' else '>='} lim_{s}{few(s)})" for s in names)
+    width = lambda v: f"(1::BIGINT << greatest(length(bin({v})) - {BITS}, 0))"
+    of = lambda stat, c: f"max({c}) FILTER (WHERE stat = '{stat}')"
+    limits = ", ".join([f"{of(s, c)} AS {s}_{c}" for s in ("marks", "mean") for c in ("q1", "q3", "range")] + [f"{of('n_words', 'q2')} AS median_words"])
+    pick = ", ".join(f"CASE WHEN a.n >= {least} THEN a.{c} WHEN b.n >= {least} THEN b.{c} ELSE c.{c} END AS {c}" for c in LIMITS)
+    fine = " AND ".join(_passes(f"v_{stat}", "n_words", rule) for rule, (stat, _, _) in RULES.items())
 
     def level(name: str, keys: str) -> str:
         group = f"{keys}, " if keys else ""
@@ -182,8 +197,9 @@ def quality_sql(least: int = LEAST_DOCUMENTS) -> str:
       FROM (SELECT {group}stat, bucket, sum(n) AS n FROM sketch GROUP BY ALL)),
     {name} AS (
       SELECT {group}max(total) AS n, {limits} FROM (
-        SELECT {group}stat, max(total) AS total, min(bucket) FILTER (WHERE 100 * upto >= 25 * total) AS q1,
-               min(bucket) FILTER (WHERE 100 * upto >= 75 * total) AS q3 FROM {name}_run GROUP BY ALL)
+        SELECT *, q3 + {width("q3")} - q1 AS range FROM (
+          SELECT {group}stat, max(total) AS total, min(bucket) FILTER (WHERE 100 * upto >= 25 * total) AS q1,
+                 min(bucket) FILTER (WHERE 100 * upto >= 50 * total) AS q2, min(bucket) FILTER (WHERE 100 * upto >= 75 * total) AS q3 FROM {name}_run GROUP BY ALL))
       {"GROUP BY ALL" if keys else ""})"""
 
     return f"""
@@ -192,6 +208,7 @@ def quality_sql(least: int = LEAST_DOCUMENTS) -> str:
              list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w FROM documents),
     parts AS (
       SELECT *, row_number() OVER () AS rid, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(regexp_replace(array_to_string(w, ''), '\\P{{L}}+', '', 'g'))::BIGINT AS letters,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM cut),
     windows AS (
@@ -202,14 +219,11 @@ def quality_sql(least: int = LEAST_DOCUMENTS) -> str:
     stats AS (
       SELECT p.*, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words FROM parts p LEFT JOIN covered USING (rid)),
     vals AS (
-      SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS v_symbols, 1000 * n_dup_lines // greatest(len(lines), 1) AS v_dup_lines,
-             100 * word_chars // greatest(n_words, 1) AS v_long_words, 100 * word_chars // greatest(n_words, 1) AS v_short_words,
+      SELECT *, 1000 * (word_chars - letters) // greatest(word_chars, 1) AS v_marks, 100 * word_chars // greatest(n_words, 1) AS v_mean, n_words AS v_n_words,
              (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM stats),
-    long AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS stat, v_{s} AS v FROM vals" for s in names)}),
-    sketch AS (
-      SELECT lang, source, stat, {bucket("v")} AS bucket, count(*) AS n
-      FROM long GROUP BY ALL),
+    long AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS stat, v_{s} AS v FROM vals" for s in SKETCHED)}),
+    sketch AS (SELECT lang, source, stat, v - v % {width("v")} AS bucket, count(*) AS n FROM long GROUP BY ALL),
     {level("a", "lang, source")}, {level("b", "lang")}, {level("c", "")},
     lim AS (SELECT a.lang, a.source, {pick} FROM a JOIN b USING (lang), c)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {fails}) AS kept
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {fine}) AS kept
     FROM vals JOIN lim USING (lang, source)"""
