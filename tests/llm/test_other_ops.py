@@ -134,10 +134,24 @@ def test_margins_meet_targets(spark):
         assert np.allclose(got.groupby(d)["weight"].sum(), want, atol=1e-3 if d != "topic" else 1e-9)
 
 
+@pytest.mark.parametrize("rate", [0.1, mixing.RATE, 5.0])
+def test_expected_margins_meet_targets(spark, rate):
+    """Tokens times probability, summed by source, language and topic, are in proportion to the targets."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    got = mixing.mix(docs, rate).toPandas()
+    got["kept"] = got["n_tokens"] * got["probability"]
+    assert got["probability"].max() <= 1 and (rate == 0.1 or got["probability"].max() > 0.999) and got["kept"].sum() <= rate * got["n_tokens"].sum() * 1.000001
+    for d in mixing.DIMENSIONS:
+        target = got.groupby(d)["n_tokens"].sum().astype(float) ** mixing.TEMPER[d]
+        assert np.allclose(got.groupby(d)["kept"].sum() / got["kept"].sum(), target / target.sum(), rtol=1e-4)
+
+
 def test_mix_rows(spark):
-    docs = [(k, "word " * (k % 9), ["en", "de", None][k % 3], ["a", "b", "", None][k % 4], 0) for k in range(300)] + [(None, None, None, None, None), (5, "again", "en", "a", 1), (777, "", "fr", "q", 0)]
+    docs = [(k, "word " * (k % 9), ["en", "de", None][k % 3], ["a", "b", "", None][k % 4], 0) for k in range(300)]
+    docs += [(None, None, None, None, None), (5, "again", "en", "a", 1), (5, "again", "en", "a", 1), (777, "", "fr", "q", 0), (778, "long " * 50_000, "en", "a", 0)]
     df = spark.createDataFrame(docs, SCHEMA).withColumns({"topic": F.lit("z"), "weight": F.lit(1)})
     got = mixing.mix(df)
+    assert got.where("doc_id = 5").select("sampled").distinct().count() <= 2 and got.where("doc_id = 778 AND n_tokens = 50000").count() == 1
     assert got.count() == len(docs) and got.where("n_tokens = 0 AND probability = 1").count() > 0
     assert got.where("probability < 0 OR probability > 1 OR sampled IS NULL").count() == 0
     kept = mixing.sample_mix(df)

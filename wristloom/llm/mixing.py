@@ -3,8 +3,9 @@
 Token counts are summed to cells (source, language, topic).  The cells' weights are raked: scaled to
 the target of each source, then of each language, then of each topic, and again, until a fixed number of
 rounds is done.  A document is kept with the probability that turns its cell's tokens into the cell's raked
-weight, scaled so that `rate` of all tokens is kept on average.  Chance comes from a hash of the doc_id, so a
-rerun keeps the same documents.
+weight: a common rate times weight over present share.  The rate is the largest, up to RATE, for which no
+probability is above 1, so none is cut and the expected margins are the raked ones.  Chance comes from a
+hash of the doc_id, so a rerun keeps the same documents.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from .common import words, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets: a value's share is its present share to this power, normalised; below 1, large values give way.
-TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS = 12
+#: The share of tokens that is kept, if no cell would have to give more than it has.
 RATE = 0.6
 #: What a topic is known by, first match first; others are prose.
 TOPICS = (("licence", r"[Ll]icen[cs]e"), ("contact", r"@[a-z]|\+[0-9]"), ("table", r"\|"))
@@ -62,8 +64,10 @@ def _sampled(rows: DataFrame, rate: float, **how) -> DataFrame:
     names = {f"_llm_{d}": d for d in DIMENSIONS}
     cells = rows.groupBy(*(F.col(a).alias(b) for a, b in names.items())).agg(F.sum("_llm_tokens").alias("tokens"))
     raked = rake(written(cells, "cells"), **how)
-    everything = raked.agg(F.sum("tokens").alias("all_tokens"), F.lit(1).alias("one"))  # one row, on a constant key
-    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("weight") * F.col("all_tokens") / F.col("tokens"))).otherwise(1.0)
+    steep = F.max(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
+    everything = raked.agg(F.sum("tokens").alias("all_tokens"), steep.alias("steep"), F.lit(1).alias("one"))  # one row, on a constant key
+    scale = F.least(F.lit(rate) * F.col("all_tokens"), 1 / F.col("steep"))
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), scale * F.col("weight") / F.col("tokens"))).otherwise(1.0)
     cell = raked.withColumn("one", F.lit(1)).join(F.broadcast(everything), "one").select(
         *(F.col(b).alias(f"{a}_c") for a, b in names.items()), F.col("weight").alias("_llm_weight"), F.round(p, 9).alias("_llm_p")
     )
@@ -80,6 +84,7 @@ def chance(doc_id: Column) -> Column:
 def mix(docs: DataFrame, rate: float = RATE, **how) -> DataFrame:
     """One row per row of docs (doc_id, text, source, lang): its cell, tokens, weight, probability and sampled.
 
+    The expected tokens of every source, language and topic are in proportion to its target.
     Tokens are words at ASCII white space.  A null source or lang is the empty string's; a null text is prose of
     no tokens and is kept, as are all cells without tokens.  Rows of one doc_id share their fate in a cell;
     no rows give none; other columns are not read.
@@ -121,7 +126,8 @@ def mix_sql(rate: float = RATE, rounds: int = ROUNDS) -> str:
     {", ".join(steps)},
     chances AS (
       SELECT source, lang, topic, weight,
-             CASE WHEN tokens > 0 THEN round(least(1.0, {rate} * weight * sum(tokens) OVER () / tokens), 9) ELSE 1.0 END AS probability FROM {last})
+             CASE WHEN tokens > 0 THEN round(least(1.0, least({rate} * sum(tokens) OVER (), 1 / max(CASE WHEN tokens > 0 THEN weight / tokens END) OVER ()) * weight / tokens), 9)
+                  ELSE 1.0 END AS probability FROM {last})
     SELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS cell_weight, probability,
            (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < probability) AS sampled
     FROM keyed JOIN chances USING (source, lang, topic)"""
