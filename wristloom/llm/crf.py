@@ -89,27 +89,29 @@ def viterbi(scores: list[np.ndarray], labels: list[str], move: np.ndarray, first
         stop = at + 1
         while stop < len(order) and (stop + 1 - at) * len(scores[order[stop]]) <= batch_cells:
             stop += 1
-        part = order[at:stop]
-        n, longest = len(part), len(scores[part[-1]])
-        lengths = np.array([len(scores[i]) for i in part])
-        grid = np.zeros((n, longest, len(labels)))
+        part = order[at:stop][::-1]  # the longest first: those that go on stand in front
+        n, lengths = len(part), np.array([len(scores[i]) for i in part])
+        longest = int(lengths[0])
+        live = np.searchsorted(-lengths, -np.arange(longest), "left")
+        grid = np.zeros((longest, n, len(labels)))
         for r, i in enumerate(part):
-            grid[r, : lengths[r]] = scores[i]
-        best = first + grid[:, 0]
-        back = np.zeros((n, longest, len(labels)), dtype=np.int8)
+            grid[: lengths[r], r] = scores[i]
+        best = first + grid[0]
+        back = np.zeros((longest, n, len(labels)), dtype=np.int8)
+        into = np.ascontiguousarray(move.T)  # to label x from label
         for j in range(1, longest):
-            through = best[:, :, None] + move
-            back[:, j] = through.argmax(axis=1)
-            live = (j < lengths)[:, None]
-            best = np.where(live, through.max(axis=1) + grid[:, j], best)
-        path = np.zeros((n, longest), dtype=np.int8)
+            m = live[j]
+            through = best[:m, None, :] + into
+            back[j, :m] = through.argmax(axis=2)
+            best[:m] = through.max(axis=2) + grid[j, :m]
+        path = np.zeros((longest, n), dtype=np.int8)
         now = (best + last).argmax(axis=1)
         rows = np.arange(n)
         for j in range(longest - 1, -1, -1):
-            inside = j < lengths
-            path[:, j] = np.where(inside, now, 0)
-            now = np.where(inside & (j > 0), back[rows, j, now], now)
+            m = live[j]
+            path[j, :m] = now[:m]
+            now[:m] = back[j, rows[:m], now[:m]]
         for r, i in enumerate(part):
-            out[i] = path[r, : lengths[r]]
+            out[i] = path[: lengths[r], r]
         at = stop
     return out

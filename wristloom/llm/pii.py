@@ -6,9 +6,8 @@ their shapes, their neighbours' shapes and checks that a shape cannot make (Luhn
 spans where no base span is: emails spelled with [at] and [dot], national phone numbers, cards with
 dots between their groups, IPv6 addresses.
 
-The field is constrained: a token can be part of an entity only if it, or a token next to it, holds a
-digit, an @ sign or a bracketed at or dot.  All others are O, so the Viterbi path breaks up there, and
-only the runs of tokens around such marks are decoded, which gives the path of the whole text.
+Every token of every text is decoded.  A token's scores are its own, which are kept for each distinct token, and those of
+its neighbours' kinds, which are tables over few kinds; so a batch of texts is scored and decoded by array operations.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,9 +80,11 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 # ---------------------------------------------------------------- features
 
 _TOKEN = re.compile(r"[^\s]+")
-_TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]")
+_MARKED = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.I)
 _EDGE = "\"'`.,;:!?*#%&$|<>~_=/\\"
 _RUNS = re.compile(r"[A-Z]+|[^\W\d_A-Z]+|[0-9]+")
+#: Ends of host names that a spelled-out address has.
+_TOPS = frozenset(("com", "org", "net", "edu", "gov", "info"))
 _CUES = {
     "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone",
     "email": "email", "mail": "email", "contact": "email", "card": "card", "visa": "card", "ip": "ip", "host": "ip",
@@ -110,8 +110,9 @@ def group(token: str) -> str:
     t = token[a:b]
     if not t:
         return "sign"
-    if _TRIGGER.search(t) is None:
-        return "cue-" + _CUES[t.lower()] if t.lower() in _CUES else "word"
+    if _MARKED.search(t) is None:
+        low = t.lower()
+        return "bare-" + low if low in ("at", "dot") else "cue-" + _CUES[low] if low in _CUES else "top" if low in _TOPS else "word"
     if t.lower().strip("[](){}") in ("at", "dot"):
         return t.lower().strip("[](){}")
     digits = sum(c.isdigit() for c in t)
@@ -122,13 +123,12 @@ def group(token: str) -> str:
     return "mixed"
 
 
-@lru_cache(maxsize=50_000)
 def shape_features(token: str) -> tuple[str, ...]:
     """What a token tells by itself: its shape with run lengths, and checks of its digits."""
     a, b = core(token)
-    t = token[a:b][:200]
+    t = token[a:b]
     digits = _DIGITS.sub("", t)
-    shape = _RUNS.sub(_run, t)[:60]
+    shape = _RUNS.sub(_run, t)
     names = ["bias", "s=" + shape, "g=" + group(token)]
     if digits:
         names.append(f"n={min(len(digits), 20)}")
@@ -138,8 +138,11 @@ def shape_features(token: str) -> tuple[str, ...]:
             names.append(f"octets={all(p.isdigit() for p in t.split('.')) and octets(t)}")
     if t.count(":") >= 2:
         names.append(f"hex={re.fullmatch('[0-9a-fA-F:]+', t) is not None}{min(t.count(':'), 7)}")
-    if any(c.isalpha() for c in t) and digits:
+    if "@" in t:
+        names.append(f"at={t.count('@') == 1}{'.' in t.rpartition('@')[2]}")
+    elif any(c.isalpha() for c in t) and digits:
         names.append("letters+digits")
+        names.append(f"run={min(len(t), 40) // 8}")
     return tuple(names)
 
 
@@ -168,7 +171,8 @@ TEMPLATES = (
     "take {phone} {phone} or {card} {card} with", "it was {no} when we came", "version {no} of the license", "under {no} and other terms", "see {no} for that",
     "the token = \"{no}\" was kept", "we paid {no} for it", "chapter {no} of the book", "build {no} is out", "{no} is the id",
     "nothing to see here but words", "the of and to in that this with or an", "Und der die das nicht ein ist von zu",
-    "contact them or call again after the show", "la de que et les des une pour", "a b c and d",
+    "she was at the house and he at home", "we met at noon near the dot", "look at com and org or at net", "a dot on the map at last", "at at at at at at", "look. At it at noon at home at last", "Then at the end. At", "dot dot dot at dot",
+    "{no}", "{no} and {no} were seen", "line {no} {no}", "contact them or call again after the show", "la de que et les des une pour", "a b c and d",
     "he sold {no} of them, then {no} more", "room {no} or room {no}", "the years {no} to {no} were good",
 )
 
@@ -206,6 +210,8 @@ def _entity(kind: str, r: _Draw) -> str:
             f"{r.name()} {at} {r.name()} {dot} {r.one('com', 'org', 'net')}",
             f"{r.name()}{at}{r.name()}{dot}{r.one('com', 'org', 'net')}",
             f"{r.name()} {at} {r.name()}.{r.one('com', 'org', 'net')}",
+            f"{r.name()} {at.upper()} {r.name()} {dot.upper()} {r.one('com', 'org', 'net')}",
+            f"{r.name()} at {r.name()} dot {r.one('com', 'org', 'net')}",
         )
     if kind == "ip":
         v6 = ":".join(f"{r.below(65536):x}" for _ in range(8))
@@ -268,87 +274,118 @@ def fit(table: DataFrame, max_tokens: int = 50_000) -> Crf:
     return train(seen, [gs for _, gs in sentences.values()], LABELS)
 
 
+class Field:
+    """A trained field with its scores by token and by kind.
+
+    Scores of at most cache_tokens distinct tokens are kept; longer ones than cache_chars are scored each time.
+    """
+
+    def __init__(self, crf: Crf, cache_tokens: int = 200_000, cache_chars: int = 64):
+        self.crf, self.cache_tokens, self.cache_chars = crf, cache_tokens, cache_chars
+        self.kinds = ["edge", "sign", "word", "top", "at", "dot", "bare-at", "bare-dot", "numsign", "mixed", *(f"num{n}" for n in range(1, 7)), *sorted({f"cue-{k}" for k in _CUES.values()})]
+        where = {k: n for n, k in enumerate(self.kinds)}
+        self.kind = where.__getitem__
+        one = lambda *names: crf.scores(list(names))
+        # by distance: scores of a neighbour of each kind; for those beside, with the token's own kind
+        self.far = {d: np.array([one(f"{d}={k}") if k not in ("word", "edge") else one() for k in self.kinds]) for d in (-2, 2)}
+        self.beside = {d: np.array([[one(f"{d}={k}", f"{d}={k}|{here}") for here in self.kinds] for k in self.kinds]) for d in (-1, 1)}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.words: dict[tuple[str, str], np.ndarray] = {}
+        self.own, self.own_kind = np.zeros((1024, len(self.crf.labels))), np.zeros(1024, dtype=np.int64)
+
+    def _own(self, token: str) -> tuple[np.ndarray, int]:
+        """A token's own scores and its kind; letters alone tell no more than their shape and kind."""
+        t = token.strip(_EDGE)
+        if not t.isalpha():
+            return self.crf.scores(list(shape_features(token))), self.kind(group(token))
+        low = t.lower()
+        kind = "word" if low not in _CUES and low not in _TOPS and low not in ("at", "dot") else group(token)
+        shape = "x" if t.islower() else "Xx" if "A" <= t[0] <= "Z" and t[1:].islower() else _RUNS.sub(_run, t)
+        if (shape, kind) not in self.words:
+            self.words[shape, kind] = self.crf.scores(list(shape_features(token)))
+        return self.words[shape, kind], self.kind(kind)
+
+    def _known(self, texts: list[list[str]]) -> np.ndarray:
+        """The rows of all tokens of the texts; new tokens get one."""
+        if len(self.rows) > self.cache_tokens:
+            self._clear()
+        new = set().union(*texts).difference(self.rows)
+        need = len(self.rows) + len(new)
+        if need > len(self.own):
+            grown = max(need, 2 * len(self.own))
+            self.own = np.concatenate([self.own, np.zeros((grown - len(self.own), self.own.shape[1]))])
+            self.own_kind = np.concatenate([self.own_kind, np.zeros(grown - len(self.own_kind), dtype=np.int64)])
+        for k, token in enumerate(new, len(self.rows)):
+            self.own[k], self.own_kind[k] = self._own(token)
+            self.rows[token] = k
+        get = self.rows.__getitem__
+        out = np.fromiter((get(t) for tokens in texts for t in tokens), dtype=np.int64, count=sum(map(len, texts)))
+        if any(len(t) > self.cache_chars for t in new):
+            kept = [t for t in self.rows if len(t) <= self.cache_chars]
+            self._next = (kept, [self.rows[t] for t in kept])
+        else:
+            self._next = None
+        return out
+
+    def _forget_long(self) -> None:
+        if self._next:
+            kept, rows = self._next
+            self.own, self.own_kind = self.own[rows], self.own_kind[rows]
+            self.rows = {t: k for k, t in enumerate(kept)}
+
+    def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Label scores of every token of each text."""
+        rows = self._known(texts)
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        # two places of no token stand between texts
+        place = np.arange(len(rows)) + np.repeat(2 * np.arange(1, len(texts) + 1), lengths)
+        kinds = np.zeros(len(rows) + 2 * len(texts) + 2, dtype=np.int64)
+        here = self.own_kind[rows]
+        kinds[place] = here
+        out = self.own[rows]
+        for d in (-2, 2):
+            out += self.far[d][kinds[place + d]]
+        for d in (-1, 1):
+            out += self.beside[d][kinds[place + d], here]
+        self._forget_long()
+        return np.split(out, np.cumsum(lengths)[:-1]) if len(texts) else []
+
+
+_FIELDS: dict[int, Field] = {}
+
+
+def field_of(crf: Crf) -> Field:
+    """The process's tables of a field."""
+    if id(crf) not in _FIELDS:
+        _FIELDS.clear()
+        _FIELDS[id(crf)] = Field(crf)
+    return _FIELDS[id(crf)]
+
+
 def field_spans(texts: list[str], crf: Crf) -> list[list[tuple[str, int, int]]]:
-    """(kind, start, end) of the field's entities in each text, in order."""
-    sequences, owners = [], []
-    for owner, text in enumerate(texts):
-        for spans, low, high in _runs(text):
-            tokens = [text[a:b] for a, b in spans]
-            sequences.append(np.stack([crf.scores(features(tokens, k)) for k in range(low, high)]))
-            owners.append((owner, spans[low:high]))
+    """(kind, start, end) of the field's entities in each text, in order: Viterbi paths over all tokens."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    # O stands before and after each run; at the start of a text, that is the field's rule as well
-    paths = viterbi(sequences, crf.labels, crf.move, crf.move[0], crf.move[:, 0])
-    for (owner, spans), path in zip(owners, paths, strict=True):
-        kind, start, end = None, 0, 0
-        for (a, b), label in zip([*spans, (0, 0)], [*path, 0], strict=True):
+    tokens = [t.split() for t in texts]
+    owners = [k for k, t in enumerate(tokens) if t]
+    paths = viterbi(field_of(crf).scores([tokens[k] for k in owners]), crf.labels, crf.move, crf.first, np.zeros(len(crf.labels)))
+    for owner, path in zip(owners, paths, strict=True):
+        if not path.any():
+            continue
+        text, kind, start, end = texts[owner], None, 0, 0
+        for m, label in zip([*_TOKEN.finditer(text), None], [*path, 0], strict=True):
             name = LABELS[label]
             if kind and name != f"I-{kind}":
-                x, y = core(texts[owner][start:end])
+                x, y = core(text[start:end])
                 if x < y:
                     out[owner].append((kind, start + x, start + y))
                 kind = None
             if name != "O":
                 if kind is None:
-                    kind, start = name[2:], a
-                end = b
-    return out
-
-
-def _runs(text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
-    """Runs of tokens within one token of a trigger, and what stands two tokens around them.
-
-    (token spans, first of the run, end of the run); tokens outside the run are only looked at.
-    """
-    marked, at = [], 0
-    for m in _TRIGGER.finditer(text):
-        if m.start() < at:
-            continue
-        a = m.start()
-        while a > at and not text[a - 1].isspace():
-            a -= 1
-        b = m.end()
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        marked.append((a, b))
-        at = b
-    before = lambda k, n: _back(text, marked[k][0], n)
-    k = 0
-    while k < len(marked):
-        spans = before(k, 3)
-        low = max(0, len(spans) - 1)
-        spans.append(marked[k])
-        while True:
-            ahead = _ahead(text, spans[-1][1], 3)
-            near = next((i for i, s in enumerate(ahead) if k + 1 < len(marked) and s[0] == marked[k + 1][0]), None)
-            if near is None:
-                break
-            spans += ahead[: near + 1]
-            k += 1
-        high = len(spans) + min(1, len(ahead))
-        yield spans + ahead, low, high
-        k += 1
-
-
-def _back(text: str, at: int, n: int) -> list[tuple[int, int]]:
-    out = []
-    while len(out) < n:
-        while at > 0 and text[at - 1].isspace():
-            at -= 1
-        if at == 0:
-            break
-        b = at
-        while at > 0 and not text[at - 1].isspace():
-            at -= 1
-        out.append((at, b))
-    return out[::-1]
-
-
-def _ahead(text: str, at: int, n: int) -> list[tuple[int, int]]:
-    out = []
-    while len(out) < n and (m := _TOKEN.search(text, at)):
-        out.append(m.span())
-        at = m.end()
+                    kind, start = name[2:], m.start()
+                end = m.end()
     return out
 
 
@@ -365,7 +402,7 @@ def all_spans(texts: list[str], crf: Crf) -> list[tuple[dict[str, list[tuple[int
     return out
 
 
-def find_pii(docs: DataFrame, crf: Crf, batch_texts: int = 256) -> DataFrame:
+def find_pii(docs: DataFrame, crf: Crf, batch_texts: int = 512) -> DataFrame:
     """One row per row of docs (doc_id, text): base counts, the digest of base spans, and all spans.
 
     Spans are kind:start:end, by kind as in KINDS and then by start, in code points, end exclusive.  A null

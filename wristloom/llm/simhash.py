@@ -28,6 +28,7 @@ Whatever link is left out joins two fingerprints that are in one component alrea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -169,11 +170,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, segments
 
 #: A link is a Jaccard similarity of the sets of shingles of LINK[0] / LINK[1] or more.
 LINK = (4, 5)
-#: Segments of a sampled fingerprint, of 64 bits each, and the sampled shingles that vote in each.
-SEGMENTS, VOTERS = 64, 5
-#: Differing bits, of 64 * SEGMENTS, up to which a pair is counted exactly.  Pairs at 0.8 differ in 642 on average, with a
-#: standard deviation of 66 (measured); most pairs below 0.65 differ in more.
-DISTANCE = 930
+#: Segments of a sampled fingerprint, the bits of each, and the sampled shingles that vote in it.
+SEGMENTS, SEGMENT_BITS, VOTERS = 64, 32, 5
+#: Differing bits, of SEGMENTS * SEGMENT_BITS, up to which a pair is counted exactly.  Pairs at 0.8 differ in 321 on average,
+#: with a standard deviation of 35; most pairs below 0.65 differ in more.
+DISTANCE = 475
 #: Entries of a bucket that are compared in one cell, and pairs of one document that are verified in one task.
 CELL, PAIRS_AT_ONCE = 1024, 256
 
@@ -195,7 +196,7 @@ _SAMPLE, _VOTE = _odd("sample", SEGMENTS * VOTERS), _odd("vote", SEGMENTS * VOTE
 
 
 def sampled_fingerprint(found: np.ndarray, at_once: int = 256) -> np.ndarray:
-    """The segments of a shingle_set's fingerprint, as 64-bit words.
+    """The segments of a shingle_set's fingerprint, as unsigned 32-bit words.
 
     A bit of a segment is what more than half of its VOTERS have there: hashes of those shingles that are least in as many
     orders of all shingles.  Texts with the same samples have the same segment.
@@ -210,7 +211,7 @@ def sampled_fingerprint(found: np.ndarray, at_once: int = 256) -> np.ndarray:
     a, b, c, d, e = x.reshape(SEGMENTS, VOTERS).T
     one, two = a ^ b ^ c, (a & b) | (c & (a | b))  # a + b + c = one + 2 * two, bit by bit
     odd, more = one ^ d ^ e, (one & d) | (e & (one | d))
-    return (two & more) | ((two ^ more) & odd)
+    return ((two & more) | ((two ^ more) & odd)).astype(np.uint32)
 
 
 def _fixed(values: np.ndarray) -> pa.Array:
@@ -221,8 +222,13 @@ def _fixed(values: np.ndarray) -> pa.Array:
 
 
 def _words(column: pa.Array) -> np.ndarray:
-    """What _fixed made, as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), SEGMENTS)
+    """Fingerprints that _fixed made, as rows of segments."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), SEGMENTS)
+
+
+def _apart(other: np.ndarray) -> np.ndarray:
+    """The bits set in each row of segments."""
+    return np.bitwise_count(other.view(np.uint64)).sum(axis=1)
 
 
 def _alike(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -236,63 +242,119 @@ def _near_heads(pairs: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             a, b, size_a, size_b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            apart = np.bitwise_count(_words(batch.column(4)) ^ _words(batch.column(5))).sum(axis=1)
-            ok = _alike(size_a, size_b) & (apart <= DISTANCE)
+            ok = _alike(size_a, size_b) & (_apart(_words(batch.column(4)) ^ _words(batch.column(5))) <= DISTANCE)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     return mapped(pairs.select("a", "b", "a_size", "b_size", "a_fp", "b_fp"), task, "a long, b long")
 
 
-def _near_in_cells(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (bucket, cell, block, node, label, size, fp) that share a cell and may be linked.
-
-    Rows come sorted by bucket and cell, and a cell's rows are held at a time.  Rows of two blocks are compared across
-    them, those of one block with each other.  A pair is named in the first segment that it has in common, and nowhere else.
+@dataclass
+class _Cell:
+    """Rows of a bucket that are compared: those of two blocks across them, those of one block with each other."""
+
+    segment: int
+    block: np.ndarray
+    node: np.ndarray
+    label: np.ndarray
+    size: np.ndarray
+    fp: np.ndarray
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those rows after i, of others, that may be linked with it; a pair meets in the first segment it has in common only."""
+        ok = (self.label[others] != self.label[i]) & _alike(self.size[i], self.size[others])
+        if self.block[0] != self.block[-1]:
+            ok &= self.block[others] != self.block[i]
+        others = others[ok]
+        other = self.fp[i] ^ self.fp[others]
+        return others[(_apart(other) <= DISTANCE) & ((other == 0).argmax(axis=1) == self.segment)]
+
+    def with_company(self) -> np.ndarray:
+        """The rows that are near another."""
+        known = np.zeros(len(self.node), dtype=bool)
+        for i in range(len(known) - 1):
+            # a pair of rows that are known to be near others says nothing new
+            after = np.arange(i + 1, len(known))
+            found = self.near(i, after[~known[after]] if known[i] else after)
+            known[found] = True
+            known[i] |= len(found) > 0
+        return np.flatnonzero(known)
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """A spanning forest of the links among the rows."""
+        root, out = np.arange(len(self.node)), []
+        for i in range(len(root) - 1):
+            after = np.arange(i + 1, len(root))
+            for j in self.near(i, after[root[after] != root[i]]):
+                if root[i] != root[j]:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if common * LINK[1] >= (len(sets[i]) + len(sets[j]) - common) * LINK[0]:
+                        out.append((i, int(j)))
+                        root[root == root[j]] = root[i]
+        return out
+
+
+def _in_cells(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(_Cell, its rows as an Arrow batch) for each cell of rows (bucket, cell, block, node, label, size, fp, ...).
+
+    Rows are sorted by bucket and cell; a cell's rows, and no others, are held together.
     """
 
-    def compare(bucket: int, block: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        apart = block.min() != block.max()
-        left = np.flatnonzero(block == block.min()) if apart else np.arange(len(node) - 1)
-        for at in range(0, len(left), 32):
-            i = left[at : at + 32]
-            j = np.flatnonzero(block != block.min()) if apart else np.arange(i[0] + 1, len(node))
-            ok = (label[i][:, None] != label[j]) & _alike(size[i][:, None], size[j]) & (apart | (i[:, None] < j))
-            r, c = np.nonzero(ok)
-            for k in range(0, len(r), 1 << 14):
-                x, y = i[r[k : k + (1 << 14)]], j[c[k : k + (1 << 14)]]
-                other = fp[x] ^ fp[y]
-                near = (np.bitwise_count(other).sum(axis=1) <= DISTANCE) & ((other == 0).argmax(axis=1) == bucket & (SEGMENTS - 1))
-                yield node[x[near]], node[y[near]]
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(parts).combine_chunks()
-            bucket, cell, block, node, label, size = (table.column(k).to_numpy() for k in range(6))
-            fp = _words(table.column(6).combine_chunks()) if table.num_rows else np.zeros((0, SEGMENTS), np.uint64)
+        def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            batch = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            bucket, cell, *columns = (batch.column(k).to_numpy() for k in range(6))
             edges = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1), len(bucket)]
-            out = [p for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for p in compare(int(bucket[a]), *(x[a:b] for x in (block, node, label, size, fp)))]
-            ends = [np.concatenate([np.zeros(0, np.int64), *(p[k] for p in out)]) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], ["a", "b"])
+            fp = _words(batch.column(6))
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b - a > 1:
+                    yield from work(_Cell(int(bucket[a]) % SEGMENTS, *(x[a:b] for x in columns), fp[a:b]), batch.slice(a, b - a))
 
         for batch in batches:
             bucket, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(bucket):
                 continue
+            if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (bucket[0], cell[0]):
+                yield from found(held)
+                held = []
             # rows of the last cell wait for the next batch
             last = int(np.flatnonzero((bucket != bucket[-1]) | (cell != cell[-1])).max(initial=-1)) + 1
             if last:
-                yield found([*held, batch.slice(0, last)])
-                held = []
-            elif held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (bucket[0], cell[0]):
-                yield found(held)
+                yield from found([*held, batch.slice(0, last)])
                 held = []
             held.append(batch.slice(last))
         if held:
-            yield found(held)
+            yield from found(held)
+
+    sorted_rows = rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "block")
+    return mapped(sorted_rows, task, schema)
+
+
+_PLACE = ("bucket", "cell", "block", "node", "label", "size", "fp")
+
 
-    return mapped(rows.select("bucket", "cell", "block", "node", "label", "size", "fp"), task, "a long, b long")
+def _with_company(rows: DataFrame) -> DataFrame:
+    """(bucket, cell, block, node) of those rows of cells that are near another of their cell."""
+
+    def work(cell: _Cell, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at = cell.with_company()
+        if len(at):
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(at)) for k in range(4)], list(_PLACE[:4]))
+
+    return _in_cells(rows.select(*_PLACE), work, "bucket long, cell long, block long, node long")
+
+
+def _links_in_cells(rows: DataFrame) -> DataFrame:
+    """(a, b): labels of rows, with their sets, that links of their cells join."""
+
+    def work(cell: _Cell, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = [x.values.to_numpy() for x in batch.column(7)]
+        pairs = cell.links(sets)
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(cell.label[[p[k] for p in pairs]]) for k in (0, 1)], ["a", "b"])
+
+    return _in_cells(rows.select(*_PLACE, "set"), work, "a long, b long")
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -301,8 +363,7 @@ def _cells(rows: DataFrame) -> DataFrame:
     blocks = F.when(F.col("size_of_bucket") <= CELL, F.lit(1)).otherwise(F.ceil(F.col("size_of_bucket") * 2 / CELL)).cast("long")
     dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("*", other).withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    return dealt.select("*", other).withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, x: str) -> DataFrame:
@@ -325,35 +386,45 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_components(known: DataFrame, sets_of) -> DataFrame:
     """(node, component) of known (node, size, fp), distinct shingle sets: links of LINK and more.
 
-    Segment k of a fingerprint is looked up in table k; the entries of a bucket have the segment in common.  First every
-    entry is held against the least and the greatest node of its bucket, in linear work, and near copies, which crowd
-    into buckets, become components.  Then the entries of a bucket are held against each other across components, so no
-    link between two components goes unseen.  A candidate's complete fingerprints are compared, and where they are within
-    DISTANCE its links are counted exactly.  sets_of(nodes) gives (node, set).
+    Segment k of a fingerprint is looked up in table k; the entries of a bucket have the segment in common.  They are compared in
+    cells by their complete fingerprints, and those that are near another get their sets, by which links are counted exactly.  A
+    cell gives no more links than it has rows.  In buckets of more than CELL entries each entry is first held against the least
+    and the greatest node, in linear work: near copies, which crowd there, become one label, and a bucket of one label is done.
+    sets_of(nodes) gives (node, set).
     """
     traits = known.drop("buckets")
     entries = known.select("node", F.explode("buckets").alias("bucket"))
     heads = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size_of_bucket")).where("low <> high")
     met = written(entries.join(heads, "bucket"), "similar-buckets")
-    sets = written(sets_of(met.select("node").distinct()), "similar-sets")
+    label = traits.withColumn("label", F.col("node"))
+    large = met.where(F.col("size_of_bucket") > CELL)
+    crowded = not large.isEmpty()
+    if crowded:
+        label = written(_labelled(large, traits, sets_of), "similar-labels")
+        members = large.select("bucket", "node").join(label.select("node", "label"), "node")
+        done = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least = most").select("bucket")
+        met = met.join(done, "bucket", "left_anti")
+    rows = _cells(met.select("bucket", "size_of_bucket", "node").join(label, "node"))
+    wanted = written(_with_company(rows), "similar-wanted")
+    sets = sets_of(wanted.select("node").distinct())
+    found = _links_in_cells(wanted.join(label.join(sets, "node"), "node"))
+    second = components(found)
+    joined = label.select("node", "label").join(second.withColumnRenamed("node", "label"), "label", "left")
+    return joined.select("node", F.coalesce("component", "label").alias("component"))
+
+
+def _labelled(large: DataFrame, traits: DataFrame, sets_of) -> DataFrame:
+    """traits and a label: the component by links with the least and the greatest nodes of large buckets."""
 
     def named(x: str) -> DataFrame:
         return traits.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("fp").alias(f"{x}_fp"))
 
-    pairs = [met.where(F.col("node") != F.col(end)).select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b")) for end in ("low", "high")]
+    pairs = [large.where(F.col("node") != F.col(end)).select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b")) for end in ("low", "high")]
     pairs = pairs[0].union(pairs[1]).distinct().join(named("a"), "a").join(named("b"), "b")
-    first = components(linked_pairs(written(_near_heads(pairs), "similar-heads"), sets))
-    label = written(traits.join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "similar-labels")
-
-    members = met.select("bucket", "size_of_bucket", "node").join(label.select("node", "label"), "node")
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
-    rest = members.drop("label").join(mixed, "bucket").join(label, "node")
-    across = written(_near_in_cells(_cells(rest)), "similar-across")
-    names = label.select("node", "label")
-    found = linked_pairs(across, sets).join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b")
-    second = components(found.select("la", "lb"), "la", "lb")
-    joined = names.join(second.withColumnRenamed("node", "label"), "label", "left")
-    return joined.select("node", F.coalesce("component", "label").alias("component"))
+    near = written(_near_heads(pairs), "similar-heads")
+    sets = written(sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "similar-sets")
+    first = components(linked_pairs(near, sets))
+    return traits.join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
 def similar_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -379,9 +450,9 @@ def similar_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             sets, keys = keyed(batch.column(1).to_pylist())
-            fp = np.array([sampled_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, SEGMENTS)
-            # a bucket is its segment, with the last bits giving way to the table's number
-            buckets = (fp & ~np.uint64(SEGMENTS - 1)) | np.arange(SEGMENTS, dtype=np.uint64)
+            fp = np.array([sampled_fingerprint(s) for s in sets], dtype=np.uint32).reshape(-1, SEGMENTS)
+            # a bucket is a segment and its table's number
+            buckets = fp.astype(np.uint64) * np.uint64(SEGMENTS) + np.arange(SEGMENTS, dtype=np.uint64)
             columns = [batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists(list(buckets)), pa.array(np.array([len(s) for s in sets], dtype=np.int64)), _fixed(fp)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hi", "lo", "buckets", "size", "fp"])
 
