@@ -177,15 +177,47 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [brute(w) for w in words])
 
 
+def test_long_words_are_summed_whole():
+    """Logarithms give what plain sums give, and words of any length are one."""
+    trie = langid.Trie(["a", "b", "ab", "ba", "aba"])
+    p = np.array([[0.3, 0.1], [0.2, 0.2], [0.25, 0.1], [0.15, 0.5], [0.1, 0.1], [langid.UNKNOWN] * 2])
+    words = ["ab" * n for n in (1, 5, 19, 30, 60)] + ["x" * 40, "b"]
+    exact = [np.log(langid.forward(*trie.segments([w]), p)[0, len(w)]) for w in words]
+    assert np.allclose(langid.log_chances(words, trie, p), exact)
+    assert np.allclose(langid.log_chances(["ж" * 5000], trie, p), 5000 * np.log(langid.UNKNOWN))
+
+
+def test_expected_counts_against_all_segmentations():
+    """One round of fit_pieces gives the pieces their shares of all segmentations' chances."""
+    pieces = ["a", "b", "ab", "ba"]
+    trie, words, counts = langid.Trie(pieces), ["ab", "aba", "b"], np.array([3.0, 2.0, 1.0])
+
+    def cuts(word):
+        return [[]] if not word else [[q, *rest] for q in pieces if word.startswith(q) for rest in cuts(word[len(q) :])]
+
+    want = np.zeros(len(pieces))
+    for word, n in zip(words, counts, strict=True):
+        weights = [0.25 ** len(c) for c in cuts(word)]
+        for c, w in zip(cuts(word), weights, strict=True):
+            for q in c:
+                want[pieces.index(q)] += n * w / sum(weights)
+    got = langid.fit_pieces(words, counts, trie, len(pieces), rounds=1, smooth=0.0)
+    assert np.allclose(got[:-1], want / want.sum())
+
+
+def test_letters_are_those_of_the_category():
+    assert [langid.letters().findall(t) for t in ("²½①Ⅷ", "naïve x_y 3z", "日本語", "ªb")] == [[], ["naïve", "x", "y", "z"], ["日本語"], ["ªb"]]
+
+
 def test_language_rows(spark):
     docs = [(k, "the house and the garden of the king" if k % 2 else "das Haus und der Garten des Königs", "en" if k % 2 else "de", "s", 0) for k in range(60)]
-    extra = [(900, None, "en", "s", 0), (901, "123 !!", "de", None, 0), (None, "und das ist nicht der König", None, None, None), (902, "der " * 20_000, "de", "s", 0), (903, "ж" * 5000, "en", "s", 0), (904, "", None, None, 0)]
+    extra = [(900, None, "en", "s", 0), (901, "123 !!", "de", None, 0), (None, "und das ist nicht der König", None, None, None), (902, "der " * 20_000, "de", "s", 0), (903, "ж" * 5000, "en", "s", 0), (904, "", None, None, 0), (905, "²½① Ⅷ", "en", None, 0), (1, "the house and the garden of the king", "en", "s", 0)]
     df = spark.createDataFrame(docs + extra, SCHEMA).withColumn("score", F.lit("clash"))
     found = langid.predict(df, langid.fit(df)).collect()
     got = {r["doc_id"]: r for r in found}
     assert len(found) == len(docs) + len(extra) and all(0 <= r["score"] <= 1 for r in found)
     assert all(got[k]["lang_pred"] == ("en" if k % 2 else "de") for k in range(60)) and got[902]["lang_pred"] == "de" and got[None]["lang_pred"] == "de"
-    assert [got[k]["lang_pred"] for k in (900, 901, 904)] == ["und"] * 3 and got[903]["lang_pred"] in ("en", "de")
+    assert [got[k]["lang_pred"] for k in (900, 901, 904, 905)] == ["und"] * 4 and got[903]["lang_pred"] in ("en", "de")
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found)
     none = langid.fit(df.limit(0))
     assert {r["lang_pred"] for r in langid.predict(df, none).collect()} == {"und"} and langid.predict(df.limit(0), none).count() == 0

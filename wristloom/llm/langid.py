@@ -12,8 +12,11 @@ once per worker process while it stays in a bounded cache.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,18 @@ from .common import mapped
 
 PIECES = "piece_bpe_32k.model"
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Longer words are scored in parts of this length, so that probabilities stay above the least double.
-PART = 40
+#: What a character without a piece counts for.
 UNKNOWN = 1e-7
+#: Longer words are summed over in logarithms: their probabilities may lie below the least double.
+LINEAR = 40
+
+
+@lru_cache
+def letters() -> re.Pattern:
+    """Runs of characters of the general category L, as in `\\p{L}+`."""
+    is_letter = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+    edges = np.flatnonzero(np.diff(is_letter.astype(int), prepend=0, append=0))
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in edges.reshape(-1, 2)) + "]+")
 
 
 def vocabulary(name: str = PIECES) -> list[str]:
@@ -109,23 +120,58 @@ def forward(lengths: np.ndarray, segments: list, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def forward_log(lengths: np.ndarray, segments: list, logp: np.ndarray) -> np.ndarray:
+    """forward() in logarithms."""
+    alpha = np.full((len(lengths), int(lengths.max(initial=0)) + 1, logp.shape[1]), -np.inf)
+    alpha[:, 0] = 0
+    for s, e, rows, piece in segments:
+        alpha[rows, e] = np.logaddexp(alpha[rows, e], alpha[rows, s] + logp[piece])
+    return alpha
+
+
+def log_chances(words: list[str], trie: Trie, p: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
+    """The logarithm of each word's probability in each language, however long the word.
+
+    Words of like length are taken together, at most `cells` characters, padding included, or one word at a time.
+    """
+    out = np.zeros((len(words), p.shape[1]))
+    logp = np.log(p)
+    for part in _alike(words, cells // max(1, p.shape[1])):
+        lengths, segments = trie.segments([words[k] for k in part])
+        at = (np.arange(len(part)), lengths)
+        out[part] = np.log(forward(lengths, segments, p)[at]) if lengths.max() <= LINEAR + len(MARK) else forward_log(lengths, segments, logp)[at]
+    return out
+
+
+def _alike(words: list[str], cells: int) -> Iterator[list[int]]:
+    """Positions of words in batches of like length, those up to LINEAR apart from others."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    at = 0
+    while at < len(order):
+        stop, short = at + 1, len(words[order[at]]) <= LINEAR + len(MARK)
+        while stop < len(order) and (stop + 1 - at) * (len(words[order[stop]]) + 1) <= cells and (len(words[order[stop]]) <= LINEAR + len(MARK)) == short:
+            stop += 1
+        yield order[at:stop]
+        at = stop
+
+
 def fit_pieces(words: list[str], counts: np.ndarray, trie: Trie, n_pieces: int, rounds: int = 4, smooth: float = 0.1) -> np.ndarray:
     """Piece probabilities of one language from word counts, by expectation maximisation."""
     p = np.full((n_pieces + 1, 1), 1.0 / n_pieces)
     p[-1] = UNKNOWN
     for _ in range(rounds):
-        expected = np.zeros(n_pieces + 1)
-        for at in range(0, len(words), 5000):
-            part, weight = words[at : at + 5000], counts[at : at + 5000]
-            lengths, segments = trie.segments(part)
-            alpha = forward(lengths, segments, p)[..., 0]
-            beta = np.zeros_like(alpha)
-            beta[np.arange(len(part)), lengths] = 1
+        expected, logp = np.zeros(n_pieces + 1), np.log(p)
+        for part in _alike(words, 1 << 17):
+            weight = counts[part]
+            lengths, segments = trie.segments([words[k] for k in part])
+            alpha = forward_log(lengths, segments, logp)[..., 0]
+            beta = np.full_like(alpha, -np.inf)
+            beta[np.arange(len(part)), lengths] = 0
             for s, e, rows, piece in reversed(segments):
-                beta[rows, s] += p[piece, 0] * beta[rows, e]
+                beta[rows, s] = np.logaddexp(beta[rows, s], logp[piece, 0] + beta[rows, e])
             total = alpha[np.arange(len(part)), lengths]
             for s, e, rows, piece in segments:
-                share = alpha[rows, s] * p[piece, 0] * beta[rows, e] / total[rows] * weight[rows]
+                share = np.exp(alpha[rows, s] + logp[piece, 0] + beta[rows, e] - total[rows]) * weight[rows]
                 expected += np.bincount(np.where(piece < 0, n_pieces, piece), share, n_pieces + 1)
         known = expected[:-1] + smooth
         p = np.append(known / known.sum(), UNKNOWN)[:, None]
@@ -151,20 +197,13 @@ class Scorer:
         self.table = np.zeros((0, len(self.model.languages)))
 
     def learn(self, words: list[str]) -> None:
-        found = np.zeros((len(words), len(self.model.languages)))
-        parts = [(k, (MARK if at == 0 else "") + w[at : at + PART]) for k, w in enumerate(words) for at in range(0, len(w), PART)]
-        parts.sort(key=lambda x: len(x[1]))
-        for at in range(0, len(parts), 8192):
-            owner, text = zip(*parts[at : at + 8192], strict=True)
-            lengths, segments = self.trie.segments(list(text))
-            total = forward(lengths, segments, self.model.p)[np.arange(len(text)), lengths]
-            np.add.at(found, list(owner), np.log(total))
+        found = log_chances([MARK + w for w in words], self.trie, self.model.p)
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.table = np.concatenate([self.table, found])
 
     def texts(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, score): the likeliest language, and its probability if all were as likely beforehand."""
-        split = [LETTERS.findall(t.lower()) for t in texts]
+        split = [letters().findall(t.lower()) for t in texts]
         if len(self.known) > self.cache_words:
             self._clear()
         new = set().union(*split).difference(self.known)
@@ -185,30 +224,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, pieces: str = PIECES, docs_per_language: int = 1500, words_per_language: int = 30_000, max_languages: int = 100) -> Model:
+def fit(docs: DataFrame, pieces: str = PIECES, docs_per_language: int = 1500, words_per_language: int = 30_000) -> Model:
     """A model from labelled docs (doc_id, text, lang), those held out and those without a doc_id left aside.
 
-    It is fitted on a bounded sample: about docs_per_language documents of each of the max_languages most
-    frequent languages, chosen by a hash of the doc_id, and their words_per_language most frequent words.
+    It is fitted on a bounded sample: about docs_per_language documents of each language, chosen by a hash of the
+    doc_id, and their words_per_language most frequent words.  Every language that is labelled is learned, each in a task of its own.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    rows = []
-    if sizes:
-        chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, docs_per_language / n)))))
-        sample = known.where(chance < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-        words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-        counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-        first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-        rows = counts.withColumn("k", first).where(F.col("k") <= words_per_language).orderBy("lang", "k").collect()
+    sizes = known.groupBy("lang").agg((docs_per_language / F.count("*")).alias("share"))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    # a row per language, far below any broadcast limit
+    sample = known.join(sizes, "lang").where(chance < F.col("share"))
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    best = counts.withColumn("k", first).where(F.col("k") <= words_per_language)
+
+    def task(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        found = vocabulary(pieces)
+        p = fit_pieces([MARK + w for w in table["word"].to_pylist()], table["n"].to_numpy().astype(float), Trie(found), len(found))
+        return pa.table({"lang": table["lang"][:1], "p": pa.array([p.tobytes()], pa.binary())})
+
+    rows = best.select("lang", "word", "n", "k").groupBy("lang").applyInArrow(task, "lang string, p binary").orderBy("lang").collect()
     found = vocabulary(pieces)
-    trie, p = Trie(found), []
-    languages = sorted({r["lang"] for r in rows})
-    for lang in languages:
-        own = [(MARK + r["word"][:PART], r["n"]) for r in rows if r["lang"] == lang]
-        p.append(fit_pieces([w for w, _ in own], np.array([n for _, n in own], dtype=float), trie, len(found)))
-    return Model(languages, found, np.stack(p, axis=1) if p else np.zeros((len(found) + 1, 0)))
+    p = [np.frombuffer(r["p"], dtype=np.float64) for r in rows]
+    return Model([r["lang"] for r in rows], found, np.stack(p, axis=1) if p else np.zeros((len(found) + 1, 0)))
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -220,7 +261,7 @@ def predict(docs: DataFrame, model: Model, batch_texts: int = 256) -> DataFrame:
     A null text, or one without a letter, is `und` with score 0, as is every text if nothing was learned.
     held_out is false for a null doc_id.  Texts are scored whole; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages: bounded by max_languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(shared.value)
