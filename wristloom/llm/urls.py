@@ -31,12 +31,33 @@ BASE_RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: (verdict, glob) on canonical URLs (host and path, A-Z lower-cased): `*` any bytes, `?` one byte.
-GLOB_RULES = (
-    ("block", "*casino*"), ("block", "*free-bets*"), ("block", "*cheap-pills*"), ("block", "*poker*"), ("block", "*xxx*"),
-    ("block", "ads.*"), ("block", "*/ads/*"), ("block", "*/login*"), ("block", "*/cart/*"), ("block", "*.exe"), ("block", "*.zip"),
-    ("block", "tracker?.*"), ("allow", "*/robots.txt"), ("allow", "docs.*"),
+#: What junk hosts and paths are called, in a label of a host or a part of a path.
+JUNK = (
+    "adult", "bet", "bets", "betting", "bingo", "casino", "casinos", "cheap-pills", "coupon", "coupons", "dating", "escort", "escorts", "free-bets", "free-money",
+    "gambling", "jackpot", "link-farm", "loans", "lottery", "payday", "pharmacy", "pills", "poker", "porn", "replica", "roulette", "seo-links", "slots",
+    "spam", "spam-farm", "viagra", "warez", "xxx",
 )
+ADS = ("ad", "ads", "adserver", "advert", "adverts", "banner", "banners", "beacon", "click", "clicks", "counter", "pixel", "popup", "sponsor", "track", "tracker", "tracking")
+#: Pages that hold forms and not texts, and files that are no pages.
+FORMS = ("account", "admin", "basket", "cart", "checkout", "login", "logout", "register", "search", "signin", "signup", "subscribe", "wishlist", "wp-admin", "wp-login.php")
+FILES = ("7z", "apk", "avi", "bin", "css", "dmg", "exe", "gif", "gz", "ico", "iso", "jpeg", "jpg", "js", "mp3", "mp4", "msi", "png", "rar", "rss", "svg", "tar", "woff", "zip")
+#: Parameters of copies of a page: who sent the reader, and whose session it is.
+COPIES = ("fbclid", "gclid", "jsessionid", "msclkid", "phpsessid", "replytocom", "sessionid", "sid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
+
+
+def glob_rules() -> tuple[tuple[str, str], ...]:
+    """(verdict, glob) on canonical URLs: `*` any bytes, `?` one byte.  Every name above in every place that it may have."""
+    places = {
+        ("{}.*", "{}-*", "*.{}.*", "*.{}-*", "*-{}.*", "*/{}", "*/{}/*", "*/{}-*"): JUNK + ADS,
+        ("*/{}", "*/{}/*", "*/{}?*"): FORMS,
+        ("*.{}", "*.{}?*"): FILES,
+        ("*?{}=*",): COPIES,  # one byte before the name: ? or &
+    }
+    blocks = [("block", form.format(name)) for forms, names in places.items() for form in forms for name in names]
+    return (*blocks, *(("allow", g) for g in ("*/robots.txt", "docs.*", "*.docs.*", "*.edu/*", "*.gov/*")))
+
+
+GLOB_RULES = glob_rules()
 
 
 class GlobAutomaton:
@@ -102,6 +123,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.when(known, lower_ascii(host)).otherwise(""), F.when(known, path).otherwise("")
 
 
+def canonical(url: Column, host: Column, path: Column) -> Column:
+    """Host, path and what follows a ?, without the fragment, A-Z lower-cased; empty where the host is."""
+    query = F.regexp_extract(F.expr("substr({0}, instr({0}, '://') + 3)".format("url")), r"(?s)^[^?#]*(\?[^#]*)", 1)
+    return F.when(url.isNotNull() & url.contains("://"), lower_ascii(F.concat(host, path, query))).otherwise("")
+
+
 def base_rule(host: Column, path: Column, rules=BASE_RULES) -> tuple[Column, Column]:
     """The longest rule that fits, as host and path joined, and its verdict; nulls where none fits."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -112,33 +139,30 @@ def base_rule(host: Column, path: Column, rules=BASE_RULES) -> tuple[Column, Col
 
 
 def glob_verdicts(pages: DataFrame, globs=GLOB_RULES) -> DataFrame:
-    """Adds glob_verdict to rows with host and path: allow where an allow glob matches or no block glob does."""
+    """Puts glob_verdict in place of url_key, the canonical URL: allow where an allow glob matches or no block glob does."""
     automaton = GlobAutomaton([g for _, g in globs])
     allows = np.array([v == "allow" for v, _ in globs])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            hits = automaton.match([f"{h}{p}".translate(_LOWER).encode() for h, p in zip(hosts, paths, strict=True)])
+            hits = automaton.match([x.encode() for x in batch.column("url_key").to_pylist()])
+            batch = batch.drop_columns(["url_key"])
             blocked = hits[:, ~allows].any(axis=1) & ~hits[:, allows].any(axis=1)
             verdict = pa.array(np.where(blocked, "block", "allow"), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, verdict], [*batch.schema.names, "glob_verdict"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "url_key")
     return mapped(pages, task, f"{fields}, glob_verdict string")
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
 def judge(pages: DataFrame, rules=BASE_RULES, globs=GLOB_RULES) -> DataFrame:
     """One row per row of pages (page_id, url): host, path, the base rule or null, and the verdict.
 
-    The longest base rule that fits decides, else the globs.  A null url or one without :// has an empty
+    The longest base rule that fits decides, else the globs, which see host, path and query.  A null url or one without :// has an empty
     host and path, and is judged as such; repeated rows are judged alike; other columns are not read.
     """
     host, path = host_and_path(F.col("url"))
-    parts = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
+    parts = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("url_key", canonical(F.col("url"), F.col("host"), F.col("path"))).drop("url")
     rule, verdict = base_rule(F.col("host"), F.col("path"), rules)
     return glob_verdicts(parts, globs).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "glob_verdict").alias("verdict"))
 
@@ -156,8 +180,8 @@ def judge_sql(rules=BASE_RULES, globs=GLOB_RULES) -> str:
       SELECT page_id, CASE WHEN {known} THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     parts AS (
       SELECT page_id, {az("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
-             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-    keyed AS (SELECT *, {az("host || path")} AS url_key FROM parts)
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, rest FROM cut),
+    keyed AS (SELECT *, {az("host || path || regexp_extract(rest, '^[^?#]*([?][^#]*)', 1)")} AS url_key FROM parts)
     SELECT page_id, host, path,
       CASE {" ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest)} END AS rule,
       CASE {" ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in longest)}
