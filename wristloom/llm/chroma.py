@@ -5,8 +5,9 @@ the twelve pitch classes.  Rectangle filters over an integral image of these fra
 every comparison is quantised to two bits, and sixteen of them make one 32-bit integer per frame.
 
 Recordings are aligned by an inverted index of these integers: equal integers vote for the difference of
-their positions, and a pair whose best difference has enough votes is confirmed by the share of differing
-bits where the two overlap.  Recordings with the same fingerprint are one class and are indexed once.
+their positions, and of the differences of a pair with enough votes, the one with the least share of differing
+bits is taken, where the two overlap long enough.  A cut may lie between two frames, so queries are fingerprinted again
+from a few samples on.  Recordings with the same fingerprint are one class and are indexed once.
 """
 
 from __future__ import annotations
@@ -15,17 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, written
+from .common import mapped, slices, written
 
 RATE = 4000
 FRAME, HOP = 512, 256
 LOWEST, HIGHEST = 110.0, 1800.0
 WIDTH = 8  # frames under a filter
 MIN_VOTES = 2
-MAX_ERROR = 0.25
+MIN_OVERLAP = 32
+#: Samples that queries are fingerprinted from: no cut is farther than an eighth of a hop from one of them.
+SHIFTS = (0, 64, 128, 192)
+MAX_ERROR = 0.15
 
 #: Sixteen filters by rule: (shape, first pitch class, pitch classes, frames).
 FILTERS = tuple((k % 4, 3 * k % 9, 2 + k % 3, 2 + 2 * (k % 4)) for k in range(16))
@@ -89,8 +93,8 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm") -> DataFrame:
-    """rec_id and fp (32-bit integers, little-endian bytes) of each recording; null or short audio has none."""
+def fingerprints(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", shift: int = 0) -> DataFrame:
+    """rec_id and fp (32-bit integers, little-endian bytes) of each recording, from sample `shift` on; null or short audio has none."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +102,7 @@ def fingerprints(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm")
             for pcm in batch.column(1):
                 data = pcm.as_py() or b""
                 signal = np.frombuffer(data, dtype="<i2", count=len(data) // 2).astype(np.float64)
-                out.append(fingerprint(chroma(signal)).astype("<u4").tobytes())
+                out.append(fingerprint(chroma(signal[shift:])).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rec_id", "fp"])
 
     return mapped(media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(pcm_col).alias("pcm")), task, "rec_id long, fp binary")
@@ -117,16 +121,27 @@ def _class_pairs(media: DataFrame, id_col: str, pcm_col: str, every: int, min_vo
     prints = written(fingerprints(media, id_col, pcm_col), "chroma-prints")
     known = prints.where("rec_id IS NOT NULL AND octet_length(fp) > 0")
     classes = written(known.groupBy("fp").agg(F.min("rec_id").alias("match_id"), F.count("*").alias("class_size")), "chroma-classes")
-    asking = known.where(F.col("rec_id") % every == 0).groupBy("fp").agg(F.collect_set("rec_id").alias("query_ids"))
-    asked = written(classes.select("fp", F.col("match_id").alias("query")).join(asking, "fp"), "chroma-queries")
-    left = _integers(asked.withColumnRenamed("query", "match_id"), "query").withColumnRenamed("pos", "query_pos")
+    asking = known.where(F.col("rec_id") % every == 0)
+    asked = classes.select("fp", F.col("match_id").alias("query")).join(asking.groupBy("fp").agg(F.collect_set("rec_id").alias("query_ids")), "fp")
+    asked = written(asked, "chroma-queries")
+
+    query_of = asking.select("rec_id", "fp").distinct().join(asked.select("fp", "query"), "fp").select(F.col("rec_id").alias("r"), "query")
+    again = media.where(F.col(id_col) % every == 0)
+    shifted = [fingerprints(again, id_col, pcm_col, s).where("octet_length(fp) > 0").join(query_of, F.col("rec_id") == F.col("r")).select("query", F.lit(s).alias("shift"), "fp") for s in SHIFTS if s]
+    views = asked.select("query", F.lit(0).alias("shift"), "fp")
+    for x in shifted:
+        views = views.union(x)
+    views = written(views.distinct().withColumn("match_id", F.xxhash64("query", "shift", "fp")), "chroma-views")
+    left = _integers(views, "view").withColumnRenamed("pos", "query_pos").join(views.select(F.col("match_id").alias("view"), "query"), "view")
     # an integer that recurs in a recording is one entry per position; votes are summed map-side
-    votes = left.join(_integers(classes, "match_id"), "value").where("query <> match_id").groupBy("query", "match_id", (F.col("pos") - F.col("query_pos")).alias("offset")).agg(F.count("*").alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("query", "match_id").orderBy(F.desc("votes"), F.abs("offset"), "offset"))
-    best = votes.where(F.col("votes") >= min_votes).withColumn("rank", rank).where("rank = 1").drop("rank")
-    pairs = best.join(asked.select("query", F.col("fp").alias("query_fp")), "query").join(classes.select("match_id", "fp"), "match_id")
-    near = _errors(pairs).where(F.col("bit_error") <= max_error)
-    own = asked.select("query", F.col("query").alias("match_id"), F.lit(0).alias("offset"), (F.octet_length("fp") / 4).cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
+    votes = left.join(_integers(classes, "match_id"), "value").where("query <> match_id").groupBy("query", "view", "match_id", (F.col("pos") - F.col("query_pos")).alias("offset")).agg(F.count("*").alias("votes"))
+    # a view and a class have fewer offsets than integers
+    some = votes.where(F.col("votes") >= min_votes).groupBy("query", "view", "match_id").agg(F.collect_list(F.struct("offset", "votes")).alias("offsets"))
+    pairs = some.join(views.select(F.col("match_id").alias("view"), "shift", F.col("fp").alias("query_fp")), "view").join(classes.select("match_id", "fp"), "match_id")
+    best = F.min(F.struct("bit_error", F.abs("offset"), "offset", "shift", "votes")).alias("x")
+    near = _errors(pairs).where(F.col("bit_error") <= max_error).groupBy("query", "match_id").agg(best)
+    near = near.select("query", "match_id", "x.offset", "x.shift", "x.votes", "x.bit_error")
+    own = asked.select("query", F.col("query").alias("match_id"), F.lit(0).alias("offset"), F.lit(0).alias("shift"), (F.octet_length("fp") / 4).cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
     return prints, classes, asked, near.unionByName(own)
 
 
@@ -135,53 +150,63 @@ def align(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", every:
 
     A row per query and class of recordings with one fingerprint that it aligns with, its own included:
     query_id, match_id (the class's least id), class_size, offset (frames that the match is ahead of the
-    query), votes, bit_error (share of differing bits over the overlap).  Recordings without a fingerprint
+    query, whose frames begin at sample shift), votes, bit_error (share of differing bits over the overlap).  Recordings without a fingerprint
     (null or short audio) align with nothing, null ids are never queries and count for no class; repeated
     rows count once each in class_size.
     """
     _, classes, asked, pairs = _class_pairs(media, id_col, pcm_col, every, min_votes, max_error)
     found = pairs.join(classes.select("match_id", "class_size"), "match_id").join(asked.select("query", F.explode("query_ids").alias("query_id")), "query")
-    return found.select("query_id", "match_id", "class_size", F.col("offset").cast("long").alias("offset"), "votes", F.round("bit_error", 6).alias("bit_error"))
+    return found.select("query_id", "match_id", "class_size", F.col("offset").cast("long").alias("offset"), "shift", "votes", F.round("bit_error", 6).alias("bit_error"))
 
 
 def aligned(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", every: int = 100, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> DataFrame:
-    """One row per row of media: its class, and what align() finds for it, without a row for every pair.
+    """A search: one row per row of media, with its class and the query classes that align with that.
 
     rec_id, class_id (the least id with its fingerprint), n_queries (how many queries it aligns with, itself among
-    them if it is one), and of the query that aligns best, by bit errors and then id: best_query, offset, bit_error.  Nulls
-    where there is no fingerprint, or no query.
+    them if it is one), query_classes (the least ids of all their classes, in order; on the rows whose rec_id is the class_id, as it is the
+    same for all of a class), and of the query that aligns best, by bit errors and then id: best_query, offset, bit_error.
+    Nulls where there is no fingerprint, or no query.  Audio may be of any length; silence is a fingerprint like any other.
     """
     prints, classes, asked, pairs = _class_pairs(media, id_col, pcm_col, every, min_votes, max_error)
     who = asked.select("query", F.size("query_ids").cast("long").alias("n"), F.array_min("query_ids").alias("best_query"))
     best = F.struct(F.round("bit_error", 6).alias("bit_error"), "best_query", F.col("offset").cast("long").alias("offset"))
-    each = pairs.join(who, "query").groupBy("match_id").agg(F.sum("n").alias("n_queries"), F.min(best).alias("best"))
+    each = pairs.join(who, "query").groupBy("match_id").agg(F.sum("n").alias("n_queries"), F.array_sort(F.collect_list("query")).alias("query_classes"), F.min(best).alias("best"))
     found = classes.join(each, "match_id", "left").withColumnRenamed("fp", "class_fp")
     rows = prints.join(found, prints.fp == F.col("class_fp"), "left")
     inside = F.col("rec_id").isNotNull()
     return rows.select(
         "rec_id", F.when(inside, F.col("match_id")).alias("class_id"), F.when(inside, F.coalesce("n_queries", F.lit(0))).otherwise(0).cast("long").alias("n_queries"),
+        F.when(inside & (F.col("rec_id") == F.col("match_id")), F.col("query_classes")).alias("query_classes"),
         *(F.when(inside, F.col(f"best.{c}")).alias(c) for c in ("best_query", "offset", "bit_error")),
     )
 
 
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
-    """Share of differing bits of two fingerprints where b, shifted by offset, overlaps a."""
+    """Share of differing bits of two fingerprints where b, shifted by offset, overlaps a; 1 where that is too short.
+
+    The overlap has to be MIN_OVERLAP integers, or the whole of the shorter fingerprint.
+    """
     i, j = max(0, -offset), max(0, offset)
     n = min(len(a) - i, len(b) - j)
-    return float(np.bitwise_count(a[i : i + n] ^ b[j : j + n]).sum() / (32 * n)) if n > 0 else 1.0
+    if n < min(MIN_OVERLAP, len(a), len(b)) or n < 1:
+        return 1.0
+    return float(np.bitwise_count(a[i : i + n] ^ b[j : j + n]).sum() / (32 * n))
 
 
 def _errors(pairs: DataFrame) -> DataFrame:
-    names = ["query", "match_id", "offset", "votes"]
+    """Of each pair's offsets, the one with the least bit error, nearer ones first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lambda x: np.frombuffer(x, dtype="<u4")
-        for batch in batches:
-            rows = zip(*(batch.column(n).to_pylist() for n in ("query_fp", "fp", "offset")), strict=True)
-            errors = pa.array([bit_error(read(a), read(b), d) for a, b, d in rows], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), errors], [*names, "bit_error"])
-
-    return mapped(pairs, task, "query long, match_id long, offset int, votes long, bit_error double")
+        for batch in slices(batches):
+            best = []
+            for a, b, offsets in zip(*(batch.column(n).to_pylist() for n in ("query_fp", "fp", "offsets")), strict=True):
+                x, y = read(a), read(b)
+                best.append(min((bit_error(x, y, o["offset"]), abs(o["offset"]), o["offset"], o["votes"]) for o in offsets))
+            columns = [pa.array([r[k] for r in best], t) for k, t in ((2, pa.int32()), (3, pa.int64()), (0, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("query", "match_id", "shift")), *columns], ["query", "match_id", "shift", "offset", "votes", "bit_error"])
+
+    return mapped(pairs.select("query", "match_id", "shift", "query_fp", "fp", "offsets"), task, "query long, match_id long, shift int, offset int, votes long, bit_error double")
 
 
 def sonify(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -26,12 +26,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is set.
+    Only where it is unset and all of Spark is one process, as in tests, a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that driver and executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
@@ -70,7 +72,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Re
 def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow, with the session's Arrow batches held to BATCH_ROWS: of whole texts, 10,000 rows take too much.
 
-    Both sides of the pipe hold a batch several times over, outside the heap.
+    Spark reads that setting when the result is computed, so it stays set for the session; README says so.  Both sides of the pipe hold a batch several times over, outside the heap.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
