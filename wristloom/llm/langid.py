@@ -231,10 +231,11 @@ def fit(docs: DataFrame, pieces: str = PIECES, docs_per_language: int = 1500, wo
     doc_id, and their words_per_language most frequent words.  Every language that is labelled is learned, each in a task of its own.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg((docs_per_language / F.count("*")).alias("share"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    # a row per language, far below any broadcast limit
-    sample = known.join(sizes, "lang").where(chance < F.col("share"))
+    # a number per language, as the model has a column for each; texts are not shuffled for it
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(docs_per_language / n)))) if sizes else None
+    sample = known.where(chance < share[F.col("lang")]) if sizes else known.limit(0)
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
