@@ -209,3 +209,32 @@ def test_whole_run(spark):
     assert metrics["busy", "acc-week-avg"] > 50 and metrics["still", "wearTime-overall(days)"] == 0
     assert metrics["busy", "errs-interrupts-num"] == 0 and metrics["busy", "acc-ecdf-2000mg"] == 1
     assert out["series"].count() == len(epochs)
+
+
+def test_iir_by_blocks_is_the_recurrence():
+    """Blocks and their rest, with the state before them, give what the sample-by-sample recurrence gives."""
+    import numpy as np
+
+    from wristloom.operators import signal
+
+    r = np.random.default_rng(3)
+    b, a = signal.butterworth(4, 20.0, 100.0)
+    b, a = b / a[0], a / a[0]
+    for n in (0, 1, 63, 64, 65, 1000):
+        x, z = r.normal(size=n), r.normal(size=len(a) - 1)
+        got, want = signal.iir(b, a, x, z), signal._steps(b, a, x, z)
+        assert np.allclose(got[0], want[0], atol=1e-12) and np.allclose(got[1], want[1], atol=1e-12)
+
+
+def test_samples_of_a_recording_are_not_gathered(spark):
+    """Epochs of one recording are anchored without a window over its samples."""
+    from pyspark.sql import functions as F
+
+    from wristloom.operators import epochs
+
+    n = 200_000
+    df = spark.range(n).select(F.lit("r").alias("key"), F.timestamp_micros(1_600_000_000_000_000 + F.col("id") * 10_000).cast("timestamp_ntz").alias("t"), F.col("id").alias("v"))
+    cut = epochs.anchored(df, "key", "t", 30.0)
+    assert "Window" not in cut._jdf.queryExecution().executedPlan().toString()
+    got = cut.groupBy("epoch").agg(F.count("*").alias("n"), F.min("v").alias("low")).orderBy("epoch").collect()
+    assert [(r["n"], r["low"]) for r in got] == [(min(3000, n - 3000 * k), 3000 * k) for k in range(-(-n // 3000))]

@@ -150,6 +150,21 @@ def test_sensor_csv(spark, tmp_path):
     assert timed[1]["t"] == datetime(2020, 1, 1, 0, 0, 0, 10000)
 
 
+def test_sensor_csv_in_splits(spark, tmp_path):
+    """Line numbers go on over the splits of a file, and start anew in each file."""
+    for name, n in (("a.csv", 5000), ("b.csv", 3000)):
+        (tmp_path / name).write_text("t,x,y,z\n# second line\n" + "".join(f"?,{k},0,1\n" for k in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df = tables.sensor_csv(spark, str(tmp_path), start_row=2, columns=(-1, 1, 2, 3), rate=1.0, start="2020-01-01 00:00:00")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        got = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 8000 and all((r["t"] - datetime(2020, 1, 1)).total_seconds() == r["x"] for r in got)
+
+
 def test_discover_and_formats(spark, tmp_path):
     for name in ("b.CWA.gz", "a.gt3x", "c.txt"):
         (tmp_path / name).write_bytes(b"x")

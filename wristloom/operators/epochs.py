@@ -27,11 +27,19 @@ def in_order(samples: DataFrame, key: str, ts: str, arrival: str) -> DataFrame:
 
 
 def anchored(samples: DataFrame, key: str, ts: str, period: float, start: Column | None = None) -> DataFrame:
-    """Adds epoch (number) and epoch_start: windows that begin at the recording's first sample, or at start."""
+    """Adds epoch (number) and epoch_start: windows that begin at the recording's first sample, or at start.
+
+    First samples are a row per recording, summed map-side and joined back, so a recording's samples need not meet in one task.
+    """
     t = micros(ts)
-    first = micros(start) if start is not None else F.min(t).over(Window.partitionBy(key))
     step = int(period * 1_000_000)
-    out = samples.withColumn("_t", t).withColumn("_first", first).where("_t >= _first")
+    out = samples.withColumn("_t", t)
+    if start is not None:
+        out = out.withColumn("_first", micros(start))
+    else:
+        firsts = samples.groupBy(F.col(key).alias("_key")).agg(F.min(t).alias("_first"))
+        out = out.join(firsts, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    out = out.where("_t >= _first")
     number = F.expr(f"(_t - _first) div {step}")
     return out.withColumn("epoch", number).withColumn("epoch_start", F.timestamp_micros(F.col("_first") + number * step).cast(samples.schema[ts].dataType)).drop("_t", "_first")
 

@@ -6,6 +6,8 @@ filter's memory need, so a week of samples spreads over as many tasks as there a
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,11 +51,9 @@ def band_butterworth(order: int, low: float, high: float, rate: float) -> tuple[
     return b / abs((b @ at) / (a @ at)), a
 
 
-def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The filtered signal and the filter's state after it (direct form II transposed)."""
-    b, a = b / a[0], a / a[0]
-    z = np.zeros(len(a) - 1) if state is None else state.copy()
-    out = np.empty(len(x))
+def _steps(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The recurrence itself (direct form II transposed), sample by sample."""
+    z, out = z.copy(), np.empty(len(x))
     for k, v in enumerate(x):
         y = b[0] * v + z[0]
         z[:-1] = z[1:] + b[1:-1] * v - a[1:-1] * y
@@ -62,6 +62,37 @@ def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None =
     return out, z
 
 
+#: Samples that are filtered by one matrix product.
+BLOCK = 64
+
+
+@lru_cache(maxsize=16)
+def _responses(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """What a block's output and end state are by its samples and by the state before it: four matrices."""
+    b_, a_, n = np.array(b), np.array(a), len(a) - 1
+    by_sample = [_steps(b_, a_, x, np.zeros(n)) for x in np.eye(BLOCK)]
+    by_state = [_steps(b_, a_, np.zeros(BLOCK), z) for z in np.eye(n)]
+    return tuple(np.array([r[k] for r in rows]) for rows in (by_sample, by_state) for k in (0, 1))
+
+
+def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The filtered signal and the filter's state after it, a block of samples at a time."""
+    b, a = b / a[0], a / a[0]
+    z = np.zeros(len(a) - 1) if state is None else state
+    full = len(x) // BLOCK
+    out = np.empty(len(x))
+    if full:
+        out_x, end_x, out_z, end_z = _responses(tuple(b), tuple(a))
+        blocks = np.asarray(x[: full * BLOCK], dtype=float).reshape(full, BLOCK)
+        ends, before = blocks @ end_x, np.empty((full, len(z)))
+        for k in range(full):
+            before[k] = z
+            z = z @ end_z + ends[k]
+        out[: full * BLOCK] = (blocks @ out_x + before @ out_z).reshape(-1)
+    out[full * BLOCK :], z = _steps(b, a, x[full * BLOCK :], z)
+    return out, z
+
+
 def gravity(signal: np.ndarray, rate: int, keep: float = 0.9) -> np.ndarray:
     """The mean of an exponential moving average of each column, without its first second."""
     powers = keep ** np.arange(200)

@@ -81,13 +81,16 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     return counts.select("bin", (F.col("_a") + F.col("bin") * wide).alias("low"), (F.col("_a") + (F.col("bin") + 1) * wide).alias("high"), "n")
 
 
-def batch_report(results: DataFrame, ok: str = "ok", seconds: str = "seconds", name: str = "name") -> DataFrame:
-    """Counts of runs and of failures, mean seconds of successes, and the failures' names in order."""
+def batch_report(results: DataFrame, ok: str = "ok", seconds: str = "seconds") -> DataFrame:
+    """One row: runs, failed, and the mean seconds of successes."""
     good = F.col(ok)
-    return results.agg(
-        F.count("*").alias("runs"), F.sum((~good).cast("int")).cast("long").alias("failed"), F.avg(F.when(good, F.col(seconds))).alias("mean_seconds"),
-        F.array_sort(F.collect_list(F.when(~good, F.col(name)))).alias("failures"),
-    )
+    return results.agg(F.count("*").alias("runs"), F.sum((~good).cast("int")).cast("long").alias("failed"), F.avg(F.when(good, F.col(seconds))).alias("mean_seconds"))
+
+
+def failed_runs(results: DataFrame, ok: str = "ok", seconds: str = "seconds", name: str = "name") -> DataFrame:
+    """A row per failed run, in the order of their names, beside the counts of batch_report."""
+    report = batch_report(results, ok, seconds)  # one row
+    return results.where(~F.col(ok)).select(name).join(F.broadcast(report)).orderBy(name)
 
 
 def summed_confusions(tables: DataFrame, true: str, counts: list[str], order: list[str]) -> DataFrame:

@@ -14,9 +14,6 @@ from ..operators import forest, hmm, labels, runs
 from ..operators.hmm import Hmm
 from ..sources.shared import written
 
-#: What short sleep becomes, by model family.
-SHORT_SLEEP = {"willetts": "sit-stand", "doherty": "sedentary-non-sleep"}
-
 
 @dataclass
 class ActivityModel:
@@ -50,15 +47,16 @@ def train(table: DataFrame, features: list[str], label: str = "label", participa
     return out, classify(out, held, participant, order)
 
 
-def classify(model: ActivityModel, epochs: DataFrame, key: str, order: str, enmo: str | None = None, sleep: str | None = None, sleep_rows: float = 0, family: str = "", cuts: dict[str, float] | None = None) -> DataFrame:
+def classify(model: ActivityModel, epochs: DataFrame, key: str, order: str, enmo: str | None = None, sleep: str | None = None, sleep_rows: float = 0, short_sleep: str = "sedentary", cuts: dict[str, float] | None = None) -> DataFrame:
     """epochs with prediction (smoothed), a 0/1 column per label, MET where known, and cut-point columns where enmo is given.
 
+    Runs of the label sleep that are shorter than sleep_rows become short_sleep, what the model calls rest without sleep.
     Epochs with a feature that is not finite get no label and are left out of the smoothing.
     """
     guessed = forest.predict(model.forest, epochs, model.features).drop("probabilities")
     smooth = hmm.smooth(guessed, key, order, "prediction", model.hmm).drop("prediction").withColumnRenamed("smoothed", "prediction")
     if sleep and sleep_rows:
-        smooth = runs.relabel_short_streaks(smooth, key, order, "prediction", sleep, SHORT_SLEEP.get(family, "sedentary"), sleep_rows)
+        smooth = runs.relabel_short_streaks(smooth, key, order, "prediction", sleep, short_sleep, sleep_rows)
     out = smooth.withColumns(labels.one_hot(F.col("prediction"), model.labels))
     if model.mets:
         out = labels.with_met(out, "prediction", model.mets)

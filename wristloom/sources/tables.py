@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import zoned_instant, zoned_text
@@ -22,12 +22,11 @@ def sensor_csv(spark: SparkSession, path: str, start_row: int = 1, columns: tupl
     """path, t, x, y, z, temp of CSV or CSV.gz samples: ordinals of time, x, y, z and, if there is a fifth, temperature.
 
     Lines before start_row are skipped.  Times are `yyyy-MM-dd HH:mm:ss.SSS+hhmm [Zone]`, whose zone counts, or local ones
-    of time_format.  Without a time column (a negative ordinal), times are start + line / rate.  Where line numbers matter,
-    a file is read whole by one task; else Spark splits uncompressed files.
+    of time_format.  Without a time column (a negative ordinal), times are start + line / rate.  Spark splits uncompressed
+    files also where line numbers matter: they are a line's place in its split and the lines of the splits before.
     """
     if start_row > 0 or columns[0] < 0:
-        one = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\r?\n").alias("ls"))
-        lines = one.select("path", F.posexplode("ls").alias("i", "value")).where((F.col("i") >= start_row) & (F.col("value") != ""))
+        lines = _numbered(spark, path).where((F.col("i") >= start_row) & (F.col("value") != ""))
     else:
         lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.lit(0).alias("i"), "value")
     part = F.split("value", ",")
@@ -41,6 +40,17 @@ def sensor_csv(spark: SparkSession, path: str, start_row: int = 1, columns: tupl
     return lines.select("path", t.alias("t"), *(number(c).alias(a) for c, a in zip(columns[1:4], "xyz", strict=True)), temp.alias("temp"))
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """path, i (line number from 0) and value of the lines of text files."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("at")
+    lines = spark.read.text(path).select(at, F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("id"), "value")
+    # a row per split of a file
+    splits = lines.groupBy("at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("at.file_path").orderBy("at.file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("at").alias("split"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(splits, F.col("at") == F.col("split")).select("path", (F.col("before") + F.col("id") - F.col("first")).alias("i"), "value")
+
+
 def epoch_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An epoch table from CSV, its time column parsed with its zone."""
     raw = spark.read.csv(path, header=True, schema=schema.replace("time timestamp_ntz", "time string"))
