@@ -4,10 +4,11 @@ A recording (16-bit PCM bytes) becomes pitch-class frames: the power of each sho
 the twelve pitch classes.  Rectangle filters over an integral image of these frames compare two areas each;
 every comparison is quantised to two bits, and sixteen of them make one 32-bit integer per frame.
 
-Recordings are aligned by an inverted index of these integers: equal integers vote for the difference of
-their positions, and of the differences of a pair with enough votes, the one with the least share of differing
-bits is taken, where the two overlap long enough.  A cut may lie between two frames, so queries are fingerprinted again
-from a few samples on.  Recordings with the same fingerprint are one class and are indexed once.
+Recordings are aligned by an inverted index of neighbouring integers, two by two: a query looks its own up with up to
+one bit of the 64 changed, and each find names a difference of positions.  There, equal integers vote, and of the
+differences of a pair with enough votes, the one with the least share of differing bits is taken, where the two overlap
+long enough.  Single integers recur by chance in all recordings, and their finds would grow with the square of the table.
+A cut may lie between two frames, so queries are fingerprinted again from a few samples on.  Recordings with the same fingerprint are one class and are indexed once.
 """
 
 from __future__ import annotations
@@ -108,12 +109,18 @@ def fingerprints(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm",
     return mapped(media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(pcm_col).alias("pcm")), task, "rec_id long, fp binary")
 
 
-def _integers(classes: DataFrame, name: str) -> DataFrame:
-    """match_id under that name, and value and pos of every integer of fp, by built-in functions."""
+def _neighbours(classes: DataFrame, name: str) -> DataFrame:
+    """match_id under that name, and key (two neighbouring integers of fp in 64 bits) and pos of the first, by built-in functions."""
     n = F.octet_length("fp") / 4
-    starts = F.when(n >= 1, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.when(n >= 2, F.sequence(F.lit(0), n.cast("int") - 2)).otherwise(F.array().cast("array<int>"))
     at = classes.select(F.col("match_id").alias(name), "fp", F.explode(starts).alias("pos"))
-    return at.select(name, F.expr("substring(fp, 4 * pos + 1, 4)").alias("value"), "pos")
+    number = lambda k: F.conv(F.hex(F.expr(f"substring(fp, 4 * (pos + {k}) + 1, 4)")), 16, 10).cast("long")
+    return at.select(name, F.shiftleft(number(0), 32).bitwiseOR(number(1)).alias("key"), "pos")
+
+
+def _ball(key: str):
+    """Rows for the key itself and for each key that one bit differs in."""
+    return F.explode(F.array(F.col(key), *(F.col(key).bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), k)) for k in range(64))))
 
 
 def _class_pairs(media: DataFrame, id_col: str, pcm_col: str, every: int, min_votes: int, max_error: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -132,14 +139,13 @@ def _class_pairs(media: DataFrame, id_col: str, pcm_col: str, every: int, min_vo
     for x in shifted:
         views = views.union(x)
     views = written(views.distinct().withColumn("match_id", F.xxhash64("query", "shift", "fp")), "chroma-views")
-    left = _integers(views, "view").withColumnRenamed("pos", "query_pos").join(views.select(F.col("match_id").alias("view"), "query"), "view")
-    # an integer that recurs in a recording is one entry per position; votes are summed map-side
-    votes = left.join(_integers(classes, "match_id"), "value").where("query <> match_id").groupBy("query", "view", "match_id", (F.col("pos") - F.col("query_pos")).alias("offset")).agg(F.count("*").alias("votes"))
+    left = _neighbours(views, "view").join(views.select(F.col("match_id").alias("view"), "query"), "view").select("query", "view", F.col("pos").alias("query_pos"), _ball("key").alias("key"))
+    met = left.join(_neighbours(classes, "match_id"), "key").where("query <> match_id")
     # a view and a class have fewer offsets than integers
-    some = votes.where(F.col("votes") >= min_votes).groupBy("query", "view", "match_id").agg(F.collect_list(F.struct("offset", "votes")).alias("offsets"))
+    some = met.groupBy("query", "view", "match_id").agg(F.collect_set(F.col("pos") - F.col("query_pos")).alias("offsets"))
     pairs = some.join(views.select(F.col("match_id").alias("view"), "shift", F.col("fp").alias("query_fp")), "view").join(classes.select("match_id", "fp"), "match_id")
     best = F.min(F.struct("bit_error", F.abs("offset"), "offset", "shift", "votes")).alias("x")
-    near = _errors(pairs).where(F.col("bit_error") <= max_error).groupBy("query", "match_id").agg(best)
+    near = _errors(pairs, min_votes).where(F.col("bit_error") <= max_error).groupBy("query", "match_id").agg(best)
     near = near.select("query", "match_id", "x.offset", "x.shift", "x.votes", "x.bit_error")
     own = asked.select("query", F.col("query").alias("match_id"), F.lit(0).alias("offset"), F.lit(0).alias("shift"), (F.octet_length("fp") / 4).cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
     return prints, classes, asked, near.unionByName(own)
@@ -193,8 +199,15 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
     return float(np.bitwise_count(a[i : i + n] ^ b[j : j + n]).sum() / (32 * n))
 
 
-def _errors(pairs: DataFrame) -> DataFrame:
-    """Of each pair's offsets, the one with the least bit error, nearer ones first."""
+def votes_at(a: np.ndarray, b: np.ndarray, offset: int) -> int:
+    """How many integers of two fingerprints are equal where b is shifted by offset."""
+    i, j = max(0, -offset), max(0, offset)
+    n = min(len(a) - i, len(b) - j)
+    return int((a[i : i + n] == b[j : j + n]).sum()) if n > 0 else 0
+
+
+def _errors(pairs: DataFrame, min_votes: int) -> DataFrame:
+    """Of each pair's offsets with enough votes, the one with the least bit error, nearer ones first; an error of 2 without one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lambda x: np.frombuffer(x, dtype="<u4")
@@ -202,7 +215,8 @@ def _errors(pairs: DataFrame) -> DataFrame:
             best = []
             for a, b, offsets in zip(*(batch.column(n).to_pylist() for n in ("query_fp", "fp", "offsets")), strict=True):
                 x, y = read(a), read(b)
-                best.append(min((bit_error(x, y, o["offset"]), abs(o["offset"]), o["offset"], o["votes"]) for o in offsets))
+                counted = ((o, votes_at(x, y, o)) for o in offsets)
+                best.append(min(((bit_error(x, y, o), abs(o), o, v) for o, v in counted if v >= min_votes), default=(2.0, 0, 0, 0)))
             columns = [pa.array([r[k] for r in best], t) for k, t in ((2, pa.int32()), (3, pa.int64()), (0, pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("query", "match_id", "shift")), *columns], ["query", "match_id", "shift", "offset", "votes", "bit_error"])
 
