@@ -124,7 +124,7 @@ def correlation(x: np.ndarray, y: np.ndarray, lag: int = 0) -> float:
 
 def rolling_median(x: np.ndarray, k: int) -> np.ndarray:
     """The medians of all full windows of k samples."""
-    return np.median(np.lib.stride_tricks.sliding_window_view(x, k), axis=1)
+    return pd.Series(x).rolling(k).median().to_numpy()[k - 1 :]
 
 
 def arm_angles(xyz: np.ndarray, rate: int) -> tuple[float, float]:
