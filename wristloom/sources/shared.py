@@ -7,14 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import InvalidInput
+
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new name in the session's spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """A new name in the session's spark.checkpoint.dir; a temporary folder only where that is unset and Spark is one local process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise InvalidInput("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
