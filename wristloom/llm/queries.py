@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, chroma, langid, linededup, mixing, packing, pii, quality, simhash, urls
+from . import bitpack, chroma, langid, linededup, mixing, packing, pii, quality, repeats, search, simhash, urls, whitening
 from .common import documents
 
 
@@ -49,11 +49,30 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_bitpack, op3_simhash, op4_quality, op5_urls, op6_packing, op7_linededup, op8_chroma, op9_mixing, op10_langid)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii, op2_bitpack, op3_simhash, op4_quality, op5_urls, op6_packing, op7_linededup, op8_chroma, op9_mixing, op10_langid,
+        op11_whitening, op12_search, op13_repeats,
+    )
+}
 
 ORACLE_SQL = {
     "op4_quality": quality.quality_sql(),
     "op5_urls": urls.judge_sql(),
     "op7_linededup": linededup.line_dedup_sql(),
     "op9_mixing": mixing.mix_sql(),
+    "op12_search": search.search_sql(),
 }
