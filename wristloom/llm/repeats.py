@@ -9,14 +9,15 @@ are left out by an exact rule: the least (by hash) 16-byte gram of every window
 the window, so equal windows have equal grams, and a window whose gram is in one document alone has no copy.
 The same gram says which windows are sorted together:
 
-1. Documents are dealt into buckets of a fixed number.  Each bucket sends every gram it holds once.
+1. Documents are dealt into buckets of a fixed number.  Each bucket sends every gram it holds once.  A text that an earlier
+   document has as a whole is known by its hashes: it goes, and takes no part in the rest.
 2. Grams in two documents or more go back to the buckets, which cut those windows out: a run of windows with the same gram
    is one piece of text.  Copies within a bucket are settled there.  Pieces are dealt by gram; if it is in more than
    HOT documents (what follows a very common passage), each of its windows is a piece of its own, dealt by all its bytes.
 3. A task orders the suffixes of a gram's pieces, takes their longest previous factors, and sends back what goes.
 
 No key gets more than a row per bucket (windows, grams) or the pieces of HOT documents, however common a passage is.
-The buckets' texts are shuffled once and read by all three steps.
+The buckets' texts are shuffled once, compressed, and read by all three steps.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, written
 
 #: Bytes of a gram; documents of a bucket; documents above which a gram's windows are dealt one by one.
-GRAM, BUCKET, HOT = 16, 2048, 2000
+GRAM, BUCKET, HOT = 16, 2048, 1 << 15
 #: Positions that are hashed at once (below 2 ** PLACE), most windows of a piece, and suffixes that are sorted at once where a key has no more.
 CHUNK, PLACE, PIECE, SORTED = 1 << 17, 18, 4096, 1 << 17
 _ODD = 0x9E3779B97F4A7C15
@@ -129,25 +131,40 @@ def longest_previous_factors(suffixes: np.ndarray, doc: np.ndarray, least: int)
 # ---------------------------------------------------------------- what tasks do
 
 
-def _texts(table: pa.Table) -> tuple[list, list[bytes], np.ndarray, np.ndarray]:
-    """(doc_id, text, data, ends) of a bucket in one order, whatever order its rows came in; data is of the texts that have a doc_id."""
-    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    texts = [t for d, t in rows if d is not None]
-    return [d for d, _ in rows], [t for _, t in rows], np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64)
+def _pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column, a text, is compressed."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([pack(t or b"") for t in batch.column(3).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], ["bucket", "own", "doc_id", "text"])
+
+
+def _rows(table: pa.Table) -> list[tuple[int | None, bytes, int]]:
+    """(doc_id, text, own) of a bucket by rising doc_id, in one order whatever order its rows came in."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    rows = zip(table.column("doc_id").to_pylist(), map(unpack, table.column("text").to_pylist()), table.column("own").to_pylist(), strict=True)
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def _open(rows: list, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, doc_id, data, ends) of those rows that have a doc_id and are no copies of an earlier document."""
+    gone = set(copies.tolist())
+    at = [k for k, (d, _, own) in enumerate(rows) if d is not None and own not in gone]
+    texts = [rows[k][1] for k in at]
+    return np.array(at, dtype=np.int64), np.array([rows[k][0] for k in at], dtype=np.int64), np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64)
 
 
 def _grams_task(length: int):
-    def task(table: pa.Table) -> pa.Table:
-        doc, _, data, ends = _texts(table)
+    def task(table: pa.Table, copies: pa.Table) -> pa.Table:
+        _, doc, data, ends = _open(_rows(table), copies.column("own").to_numpy())
         h, at, _ = window_runs(data, ends, length)
         # a gram counts once for every doc_id
-        ids = np.unique(np.array([d for d in doc if d is not None], dtype=np.int64), return_inverse=True)[1]
-        own = ids[np.searchsorted(ends, at, side="right")] if len(at) else np.zeros(0, dtype=np.int64)
+        own = doc[np.searchsorted(ends, at, side="right")] if len(at) else np.zeros(0, dtype=np.int64)
         order = np.lexsort((own, h))
         h, own = h[order], own[order]
         new = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])) if len(h) else np.zeros(0, dtype=bool)
         gram, n = np.unique(h[new], return_counts=True)
-        bucket = np.full(len(gram), table.column("bucket")[0].as_py(), dtype=np.int32)
+        bucket = np.full(len(gram), table.column("bucket")[0].as_py() if table.num_rows else 0, dtype=np.int32)
         return pa.table({"gram": pa.array(gram.view(np.int64)), "bucket": pa.array(bucket), "n": pa.array(n.astype(np.int32))})
 
     return task
@@ -173,7 +190,7 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _shared_task(hot: int):
-    """Sorted (gram, bucket, n) to (bucket, gram, hot) of the grams in two documents or more."""
+    """Sorted (gram, bucket, n) to (bucket, value, kind) of the grams in two documents or more: their kind is hot or not."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches):
@@ -181,31 +198,37 @@ def _shared_task(hot: int):
             begin = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
             docs = np.repeat(np.add.reduceat(n.astype(np.int64), begin), np.diff(np.append(begin, len(gram))))
             keep = docs > 1
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(gram[keep]), pa.array(docs[keep] > hot)], ["bucket", "gram", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(gram[keep]), pa.array((docs[keep] > hot).astype(np.int8))], ["bucket", "value", "kind"])
 
     return task
 
 
 PIECES = "key long, doc long, place long, span long, piece binary"
+#: Marks of a bucket: a gram's hash, one of a hot gram, or the row that is a copy.
+NORMAL, OFTEN, COPY = 0, 1, 2
+#: span is the start of a piece, and its windows in the lower bits.
+BITS = 31
+_MASK = (1 << BITS) - 1
 
 
 def _pieces_task(length: int):
-    """A bucket's texts and shared grams to PIECES: place is the bucket and the row in it, span the start and the number of windows.
+    """A bucket's texts and marks to PIECES: place is the bucket and the row in it, span the start and the number of windows.
 
-    A piece that an earlier document of the bucket has comes without bytes: it goes anyway.
+    What an earlier document of the bucket has, and copies, come without bytes, neighbouring pieces as one: they go anyway.
     """
     powers = np.array([pow(_ODD, k, 1 << 64) for k in range(length)], dtype=np.uint64)
 
-    def task(table: pa.Table, shared: pa.Table) -> pa.Table:
-        doc, _, data, ends = _texts(table) if table.num_rows and shared.num_rows else ([], [], np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    def task(table: pa.Table, marks: pa.Table) -> pa.Table:
+        value, kind = marks.column("value").to_numpy(), marks.column("kind").to_numpy()
+        rows = _rows(table) if len(value) else []
+        copies = value[kind == COPY]
+        open_, doc, data, ends = _open(rows, copies)
         h, at, n = window_runs(data, ends, length)
-        gram = shared.column("gram").to_numpy().view(np.uint64)
+        gram, hot = value[kind != COPY].view(np.uint64), kind[kind != COPY] == OFTEN
         order = np.argsort(gram)
-        gram, hot = gram[order], shared.column("hot").to_numpy()[order]
-        if not len(gram) or not len(h):
-            return pa.table({name: pa.array([], kind) for name, kind in zip(("key", "doc", "place", "span", "piece"), (*[pa.int64()] * 4, pa.binary()), strict=True)})
-        found = np.minimum(np.searchsorted(gram, h), len(gram) - 1)
-        ok = gram[found] == h
+        gram, hot = gram[order], hot[order]
+        found = np.minimum(np.searchsorted(gram, h), len(gram) - 1) if len(gram) else np.zeros(len(h), dtype=np.int64)
+        ok = gram[found] == h if len(gram) else np.zeros(len(h), dtype=bool)
         h, at, n, hot = h[ok], at[ok], n[ok], hot[found[ok]]
         # each window of a hot gram is a piece, its key a hash of all its bytes
         many = np.where(hot, n, 1)
@@ -216,19 +239,34 @@ def _pieces_task(length: int):
             if len(own):
                 key = ((data[at[own][:, None] + np.arange(length)].astype(np.uint64) + np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64)
                 h[own] = key ^ (key >> np.uint64(32))
-        row = np.searchsorted(ends, at, side="right")
-        start = at - np.concatenate([[0], ends[:-1]])[row]
-        ids = np.array(doc[: len(ends)], dtype=np.int64)[row]
+        inner = np.searchsorted(ends, at, side="right")
+        start, ids = at - np.concatenate([[0], ends[:-1]])[inner], doc[inner]
         raw, first, pieces = data.tobytes(), {}, []
-        stop = at + n + length - 1
-        for k, (a, b, d) in enumerate(zip(at.tolist(), stop.tolist(), ids.tolist(), strict=True)):
+        for a, b, d in zip(at.tolist(), (at + n + length - 1).tolist(), ids.tolist(), strict=True):
             piece = raw[a:b]
             pieces.append(piece if first.setdefault(piece, d) == d else None)  # by rising doc_id, so the first is the least
-        bucket = table.column("bucket")[0].as_py()
-        gone = np.array([p is None for p in pieces])
-        # what is settled is dealt evenly
-        key = np.where(gone, (at.astype(np.uint64) + np.uint64(bucket)) * np.uint64(_ODD), h).view(np.int64)
-        return pa.table({"key": pa.array(key), "doc": pa.array(ids), "place": pa.array((np.int64(bucket) << 32) | row), "span": pa.array((start << 16) | n), "piece": pa.array(pieces, pa.binary())})
+        gone = np.array([p is None for p in pieces], dtype=bool)
+        # settled: pieces that follow each other are one, and whole copies are one each
+        after = np.append(False, gone[:-1] & gone[1:] & (at[1:] == at[:-1] + n[:-1]))
+        begin = np.flatnonzero(gone & ~after)
+        total = np.add.reduceat(np.where(gone, n, 0), begin) if len(begin) else np.zeros(0, dtype=np.int64)
+        again = set(copies.tolist())
+        whole = [k for k, (_, text, own) in enumerate(rows) if own in again and len(text) >= length]
+        keep = np.flatnonzero(~gone)
+        row = np.concatenate([open_[inner[keep]], open_[inner[begin]], np.array(whole, dtype=np.int64)])
+        start = np.concatenate([start[keep], start[begin], np.zeros(len(whole), dtype=np.int64)])
+        n = np.concatenate([n[keep], total, np.array([len(rows[k][1]) - length + 1 for k in whole], dtype=np.int64)])
+        place = (np.int64(table.column("bucket")[0].as_py() if rows else 0) << 32) | row
+        settled = len(begin) + len(whole)
+        spread = (place[len(keep) :].view(np.uint64) + np.arange(settled, dtype=np.uint64)) * np.uint64(_ODD)
+        columns = {
+            "key": pa.array(np.concatenate([h[keep], spread]).view(np.int64)),
+            "doc": pa.array(np.concatenate([ids[keep], np.zeros(settled, dtype=np.int64)])),
+            "place": pa.array(place),
+            "span": pa.array((start << BITS) | n),
+            "piece": pa.array([pieces[k] for k in keep] + [None] * settled, pa.binary()),
+        }
+        return pa.table(columns)
 
     return task
 
@@ -248,7 +286,7 @@ def _previous_task(length: int):
         """(row of table, first window, windows) of the runs of windows that an earlier document has."""
         key, doc = table.column("key").to_numpy(), table.column("doc").to_numpy()
         span, piece = table.column("span").to_numpy(), table.column("piece").chunk(0)
-        n = span & 0xFFFF
+        n = span & _MASK
         same_key = key[1:] == key[:-1]
         new = np.append(True, ~(same_key & pc.equal(piece[1:], piece[:-1]).to_numpy(zero_copy_only=False)))
         head = np.flatnonzero(new)  # the first, of the least document, of equal pieces
@@ -288,11 +326,11 @@ def _previous_task(length: int):
         for table in _whole_keys(batches):
             given = table.column("piece").is_valid()
             settled, open_ = table.filter(pc.invert(given)), table.filter(given).combine_chunks()
-            parts = [(settled, np.arange(settled.num_rows), np.zeros(settled.num_rows, dtype=np.int64), settled.column("span").to_numpy() & 0xFFFF)]
+            parts = [(settled, np.arange(settled.num_rows), np.zeros(settled.num_rows, dtype=np.int64), settled.column("span").to_numpy() & _MASK)]
             if open_.num_rows:
                 parts.append((open_, *judged(open_)))
             for rows, at, first, n in parts:
-                place, start = rows.column("place").to_numpy()[at], (rows.column("span").to_numpy()[at] >> 16) + first
+                place, start = rows.column("place").to_numpy()[at], (rows.column("span").to_numpy()[at] >> BITS) + first
                 arrays = [pa.array((place >> 32).astype(np.int32)), pa.array((place & 0xFFFFFFFF).astype(np.int32)), pa.array(start), pa.array(start + n + length - 1)]
                 yield pa.RecordBatch.from_arrays(arrays, ["bucket", "row", "start", "stop"])
 
@@ -312,7 +350,8 @@ def _covered(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
 
 def _kept_task(table: pa.Table, gone: pa.Table) -> pa.Table:
     """A bucket's texts and what goes of them, to their rows without it: doc_id, kept (bytes), spans (start and stop in turn)."""
-    doc, texts, _, _ = _texts(table) if table.num_rows else ([], [], None, None)
+    rows = _rows(table)
+    doc, texts = [r[0] for r in rows], [r[1] for r in rows]
     row, start, stop = (gone.column(c).to_numpy() for c in ("row", "start", "stop"))
     order = np.argsort(row, kind="stable")
     row, start, stop = row[order], start[order], stop[order]
@@ -340,14 +379,19 @@ def _digest_task(table: pa.Table, gone: pa.Table) -> pa.Table:
 def _cut(docs: DataFrame, length: int, hot: int, task, schema: str) -> DataFrame:
     if length < GRAM:
         raise ValueError(f"a length of {GRAM} bytes at least")
-    text = F.coalesce("text", F.lit("")).cast("binary")
     # rows without a doc_id, and those that share one, are dealt by their texts too
     buckets = max(1, -(-docs.count() // BUCKET))
-    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
-    dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    grams = dealt.groupBy("bucket").applyInArrow(_grams_task(length), "gram long, bucket int, n int")
-    shared = mapped(grams.repartition("gram").sortWithinPartitions("gram"), _shared_task(hot), "bucket int, gram long, hot boolean")
-    pieces = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_pieces_task(length), PIECES)
+    text = F.coalesce("text", F.lit(""))
+    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("own", F.xxhash64("doc_id", "text"))
+    wide = wide.withColumn("bucket", F.pmod("own", F.lit(buckets)).cast("int"))
+    dealt = mapped(wide.select("bucket", "own", "doc_id", F.col("text").cast("binary").alias("text")), _pack_task, "bucket int, own long, doc_id long, text binary")
+    hashed = wide.where("doc_id IS NOT NULL").select("bucket", "own", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    first = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = written(hashed.join(first, ["h1", "h2"]).where("doc_id > first").select("bucket", "own"), "whole-copies")
+    grams = dealt.groupBy("bucket").cogroup(copies.groupBy("bucket")).applyInArrow(_grams_task(length), "gram long, bucket int, n int")
+    shared = mapped(grams.repartition("gram").sortWithinPartitions("gram"), _shared_task(hot), "bucket int, value long, kind tinyint")
+    marks = shared.union(copies.select("bucket", "own", F.lit(COPY).cast("tinyint")))
+    pieces = dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_pieces_task(length), PIECES)
     gone = mapped(pieces.repartition("key").sortWithinPartitions("key", "piece", "doc"), _previous_task(length), "bucket int, row int, start long, stop long")
     return dealt.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(task, schema)
 
