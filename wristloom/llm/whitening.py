@@ -2,7 +2,7 @@
 
 Vectors are scaled to integers, x = floor(256 * c), and every distinct one counts once.  Their covariance is
 never formed: Spark multiplies it to a block of vectors at a time, V u = sum((x - m) ((x - m) . u)) / n, with one
-matrix product and one small partial sum per task.
+matrix product and one row, its sum, per task.
 
 The solver follows Sleijpen and van der Vorst (1996), for all wanted pairs side by side so that they share their
 passes over the data.  A round takes Ritz pairs of the subspace (Rayleigh-Ritz), locks the leading ones whose
@@ -12,7 +12,7 @@ and adds the solutions to the subspace; a full subspace is cut to its leading Ri
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,8 @@ TOLERANCE = 2.0**-44
 GUARDS, GUARD_TOLERANCE = 2, 1e-6
 #: Vectors of a full subspace, those that stay when it is cut, steps of MINRES in a round, and rounds.
 SUBSPACE, KEPT, INNER, ROUNDS = 40, 12, 12, 200
+#: Tasks that add up what tasks over the data have summed.
+ADDERS = 8
 EPS = np.finfo(float).eps
 
 Product = Callable[[np.ndarray], np.ndarray]
@@ -157,22 +159,30 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def _plus(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """The sum of parts, if there are any."""
+    total = None
+    for part in parts:
+        total = part if total is None else total + part
+    if total is not None:
+        yield total
+
+
 def _summed(fit: DataFrame, size: int, width: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum of part(rows of x), a matrix of that width, over all of fit (x); every task sends one matrix."""
+    """The sum of part(rows of x), a matrix of that width, over all of fit (x): a row per task, summed in ADDERS tasks."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
-        for batch in batches:
-            total = total + part(_matrix(batch.column(0), size).astype(float))
-        if not np.isscalar(total):
-            at = np.arange(total.size)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1))], ["at", "v"])
-
-    rows = mapped(fit.select("x"), task, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r["at"]] = r["v"]
-    return out.reshape(-1, width)
+    def added(sums: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for total in sums:
+            yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1).tolist()], pa.list_(pa.float64()))], ["v"])
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from added(_plus(part(_matrix(b.column(0), size).astype(float)) for b in batches if b.num_rows))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from added(_plus(np.array(v) for b in batches for v in b.column(0).to_pylist()))
+
+    sums = mapped(mapped(fit.select("x"), sum_up, "v array<double>").repartition(ADDERS), add, "v array<double>").collect()
+    return next(_plus(np.array(r["v"]) for r in sums)).reshape(-1, width)
 
 
 @dataclass
