@@ -1,7 +1,8 @@
 """Epoch features of raw samples: calibrate, clamp, resample, filter and describe each epoch.
 
-Groups are epochs, not recordings: each gets, besides its own samples, the neighbours that interpolation and the
-filter's memory need, so a week of samples spreads over as many tasks as there are.
+Groups are epochs, not recordings: each gets, besides its own samples, the neighbours that interpolation needs, so a week
+of samples spreads over as many tasks as there are.  A filter runs on through a recording all the same: its state at
+the start of every epoch comes from a scan of affine maps.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import calibrated, clamped, clip_flags
+from . import scan
 from .epochs import anchored, micros
 
 BASIC = ("enmoTrunc", "enmoAbs", "xMean", "yMean", "zMean", "xRange", "yRange", "zRange", "xStd", "yStd", "zStd", "xyCov", "xzCov", "yzCov")
@@ -25,7 +27,7 @@ FEATURES = (
 )
 TAIL = ("temp", "samples", "dataErrors", "clipsBeforeCalibr", "clipsAfterCalibr", "rawSamples")
 EPS = 1e-8
-WARM_SAMPLES = 64  # the filter forgets by 1e-9 in fewer
+EDGE_SAMPLES = 66  # of the epoch before, within which the sample for interpolation at the start is looked for
 
 
 def butterworth(order: int, cut: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +95,49 @@ def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None =
     return out, z
 
 
+def step_matrix(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """What one sample of 0 makes of the filter's state: state @ step_matrix."""
+    return np.array([_steps(np.asarray(b) / a[0], np.asarray(a) / a[0], np.zeros(1), z)[1] for z in np.eye(len(a) - 1)])
+
+
+def filter_starts(ends: pd.DataFrame, step: np.ndarray) -> list[np.ndarray]:
+    """The filter's state at the start of chunks (n, end) in order: n samples turn a state z into z step^n + end.
+
+    end is the state after the chunk from a state of zero.
+    """
+    z, out, powers = np.zeros(len(step)), [], {}
+    for n, end in zip(ends["n"], ends["end"], strict=True):
+        out.append(z)
+        if n not in powers:
+            powers[n] = np.linalg.matrix_power(step, int(n))
+        z = z @ powers[n] + np.asarray(end)
+    return out
+
+
+def filtered(df: DataFrame, key: str, order: str, value: str, b: np.ndarray, a: np.ndarray, width: float | None = None) -> DataFrame:
+    """df with filtered: value of each recording through an IIR filter from rest, in the order given.
+
+    Equal to the recurrence over the whole recording but for rounding; where rows are missing, it goes on with the
+    next one.  Rows of equal order go by value.  A null or NaN value makes the rest of its recording NaN, as the recurrence does.
+    width is that of a chunk in units of the order column (microseconds of times); by default what scan.width_of finds.
+    """
+    rows = scan.dealt(df, order, width or scan.width_of(df, key, order))
+    step = step_matrix(b, a)
+
+    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values([order, value], kind="stable")
+
+    def summary(pdf: pd.DataFrame) -> dict:
+        return {"n": len(pdf), "end": iir(b, a, ordered(pdf)[value].to_numpy(dtype=float))[1].tolist()}
+
+    def run(pdf: pd.DataFrame, start: np.ndarray) -> pd.DataFrame:
+        pdf = ordered(pdf)
+        return pdf.drop(columns=scan.CHUNK).assign(filtered=iir(b, a, pdf[value].to_numpy(dtype=float), np.asarray(start, dtype=float))[0])
+
+    begin = scan.starts(rows, key, summary, "n long, end array<double>", lambda ends: filter_starts(ends, step), "array<double>")
+    return scan.onward(rows, begin, key, run, f"{scan.kinds(df, *df.columns)}, filtered double")
+
+
 def gravity(signal: np.ndarray, rate: int, keep: float = 0.9) -> np.ndarray:
     """The mean of an exponential moving average of each column, without its first second."""
     powers = keep ** np.arange(200)
@@ -217,12 +262,12 @@ def calibrate_samples(samples: DataFrame, coefficients: DataFrame | None, key: s
 def epoch_features(samples: DataFrame, key: str, period: int = 30, rate: int = 100, with_features: bool = True, low_pass: float | None = 20.0, least: int = 10, resample: str = "linear") -> DataFrame:
     """One row per closed epoch of samples (key, t, x, y, z, temp, clip_before, clip_after): its statistics.
 
-    Samples near an epoch's edges go to the next epoch too (and to the one before), as neighbours for interpolation and
-    to warm the filter up.
+    Samples near an epoch's edges go to the next epoch too (and to the one before), as neighbours for interpolation.  The
+    low-pass filter runs from epoch to epoch of a recording, over those with more than `least` samples; others leave its state as it is.
     """
     step = period * 1_000_000
     cut = anchored(samples, key, "t", period).withColumn("_u", micros("t") - micros("epoch_start"))
-    edge = int(1e6 * (WARM_SAMPLES + 2) / rate)
+    edge = int(1e6 * EDGE_SAMPLES / rate)
     near = F.array_compact(F.array(
         F.struct(F.col("epoch").alias("e"), F.col("_u").alias("u"), F.lit(True).alias("own")),
         F.when(F.col("_u") >= step - edge, F.struct((F.col("epoch") + 1).alias("e"), (F.col("_u") - step).alias("u"), F.lit(False).alias("own"))),
@@ -234,25 +279,36 @@ def epoch_features(samples: DataFrame, key: str, period: int = 30, rate: int = 1
     names = [*BASIC, *(FEATURES if with_features else ()), *TAIL]
     count = period * rate
     b, a = butterworth(4, low_pass, rate) if low_pass and rate > 2 * low_pass else (None, None)
-    at = np.round(np.arange(-WARM_SAMPLES, count) * 1000 / rate) * 1000.0
+    at = np.round(np.arange(count) * 1000 / rate) * 1000.0
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["own"]]
-        if len(own) <= least:
-            return pd.DataFrame(columns=[key, "time", *names])
+    def resampled(pdf: pd.DataFrame) -> np.ndarray:
         pdf = pdf.sort_values("u")
         u = pdf["u"].to_numpy(dtype=float)
         raw = pdf[["x", "y", "z"]].to_numpy(dtype=float)
         if resample == "nearest":
             right = np.clip(np.searchsorted(u, at), 0, len(u) - 1)
             left = np.maximum(right - 1, 0)
-            signal = raw[np.where(np.abs(at - u[left]) <= np.abs(u[right] - at), left, right)]
-        else:
-            signal = np.stack([np.interp(at, u, c) for c in raw.T], axis=1)
-        enmo = np.sqrt((signal**2).sum(axis=1)) - 1
-        if b is not None:
-            enmo = iir(b, a, enmo)[0]
-        xyz, enmo = signal[WARM_SAMPLES:], enmo[WARM_SAMPLES:]
+            return raw[np.where(np.abs(at - u[left]) <= np.abs(u[right] - at), left, right)]
+        return np.stack([np.interp(at, u, c) for c in raw.T], axis=1)
+
+    def end_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["own"].sum() <= least:
+            return pd.DataFrame(columns=[key, "epoch", "n", "end"])
+        enmo = np.sqrt((resampled(pdf) ** 2).sum(axis=1)) - 1
+        return pd.DataFrame([{key: pdf[key].iloc[0], "epoch": pdf["epoch"].iloc[0], "n": count, "end": iir(b, a, enmo)[1].tolist()}])
+
+    def starts_of(ends: pd.DataFrame) -> pd.DataFrame:
+        ends = ends.sort_values("epoch")
+        return ends[[key, "epoch"]].assign(start=filter_starts(ends, step_matrix(b, a)))
+
+    def one(pdf: pd.DataFrame, state: pd.DataFrame | None = None) -> pd.DataFrame:
+        own = pdf[pdf["own"]]
+        if len(own) <= least:
+            return pd.DataFrame(columns=[key, "time", *names])
+        xyz = resampled(pdf)
+        enmo = np.sqrt((xyz**2).sum(axis=1)) - 1
+        if state is not None:
+            enmo = iir(b, a, enmo, np.asarray(state["start"].iloc[0], dtype=float))[0]
         row = {key: pdf[key].iloc[0], "time": pdf["time"].iloc[0]} | basic_statistics(xyz, enmo)
         if with_features:
             row |= features(xyz, np.maximum(enmo, 0), rate)
@@ -262,7 +318,14 @@ def epoch_features(samples: DataFrame, key: str, period: int = 30, rate: int = 1
 
     kinds = {n: "double" for n in names} | {n: "long" for n in TAIL[1:]}
     schema = f"{key} {samples.schema[key].dataType.simpleString()}, time {samples.schema['t'].dataType.simpleString()}, " + ", ".join(f"`{n}` {k}" for n, k in kinds.items())
-    out = rows.groupBy(key, "epoch").applyInPandas(one, schema)
+    if b is None:
+        out = rows.groupBy(key, "epoch").applyInPandas(one, schema)
+    else:
+        # both passes over the samples read one exchange; the scan between them has a row per epoch
+        named = scan.kinds(rows, key, "epoch")
+        ends = rows.groupBy(key, "epoch").applyInPandas(end_of, f"{named}, n long, end array<double>")
+        states = ends.groupBy(key).applyInPandas(starts_of, f"{named}, start array<double>")
+        out = rows.groupBy(key, "epoch").cogroup(states.groupBy(key, "epoch")).applyInPandas(one, schema)
     # a recording's last epoch is open: no later sample has closed it
     last = cut.groupBy(key).agg(F.max("epoch_start").alias("_open"))
     return out.join(last, key).where(F.col("time") < F.col("_open")).drop("_open")
