@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,8 +32,8 @@ PIECES = "piece_bpe_32k.model"
 MARK = "▁"
 #: What a character without a piece counts for.
 UNKNOWN = 1e-7
-#: Longer words are summed over in logarithms: their probabilities may lie below the least double.
-LINEAR = 40
+#: A word's probability below this in some language is summed anew in logarithms: parts of it may lie below the least double.
+FAINT = 1e-250
 
 
 @lru_cache
@@ -130,26 +131,35 @@ def forward_log(lengths: np.ndarray, segments: list, logp: np.ndarray) -> np.nda
 
 
 def log_chances(words: list[str], trie: Trie, p: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
-    """The logarithm of each word's probability in each language, however long the word.
+    """The logarithm of each word's probability in each language, however long the word and however small p.
 
     Words of like length are taken together, at most `cells` characters, padding included, or one word at a time.
     """
     out = np.zeros((len(words), p.shape[1]))
     logp = np.log(p)
-    for part in _alike(words, cells // max(1, p.shape[1])):
-        lengths, segments = trie.segments([words[k] for k in part])
-        at = (np.arange(len(part)), lengths)
-        out[part] = np.log(forward(lengths, segments, p)[at]) if lengths.max() <= LINEAR + len(MARK) else forward_log(lengths, segments, logp)[at]
+
+    def each(rows: list[int]) -> Iterator[tuple[list[int], np.ndarray, list]]:
+        for part in _alike([words[k] for k in rows], cells // max(1, p.shape[1])):
+            yield (own := [rows[k] for k in part]), *trie.segments([words[k] for k in own])
+
+    faint: list[int] = []
+    for own, lengths, segments in each(list(range(len(words)))):
+        chance = forward(lengths, segments, p)[np.arange(len(own)), lengths]
+        low = (chance < FAINT).any(axis=1)
+        out[own] = np.log(np.where(low[:, None], 1, chance))
+        faint += [own[k] for k in np.flatnonzero(low)]
+    for own, lengths, segments in each(faint):
+        out[own] = forward_log(lengths, segments, logp)[np.arange(len(own)), lengths]
     return out
 
 
 def _alike(words: list[str], cells: int) -> Iterator[list[int]]:
-    """Positions of words in batches of like length, those up to LINEAR apart from others."""
+    """Positions of words in batches of like length."""
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
     at = 0
     while at < len(order):
-        stop, short = at + 1, len(words[order[at]]) <= LINEAR + len(MARK)
-        while stop < len(order) and (stop + 1 - at) * (len(words[order[stop]]) + 1) <= cells and (len(words[order[stop]]) <= LINEAR + len(MARK)) == short:
+        stop = at + 1
+        while stop < len(order) and (stop + 1 - at) * (len(words[order[stop]]) + 1) <= cells:
             stop += 1
         yield order[at:stop]
         at = stop
@@ -203,7 +213,7 @@ class Scorer:
 
     def texts(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, score): the likeliest language, and its probability if all were as likely beforehand."""
-        split = [letters().findall(t.lower()) for t in texts]
+        split = [words_of(t) for t in texts]
         if len(self.known) > self.cache_words:
             self._clear()
         new = set().union(*split).difference(self.known)
@@ -220,6 +230,18 @@ class Scorer:
         return out
 
 
+def words_of(text: str) -> list[str]:
+    """What counts as a word, in fitting and in scoring."""
+    return letters().findall(text.lower())
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to (lang, word, n), added up in each batch."""
+    for batch in batches:
+        count = Counter((lang, w) for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text for w in words_of(text))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(list(count.values()), pa.int64())], ["lang", "word", "n"])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
@@ -236,8 +258,7 @@ def fit(docs: DataFrame, pieces: str = PIECES, docs_per_language: int = 1500, wo
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(docs_per_language / n)))) if sizes else None
     sample = known.where(chance < share[F.col("lang")]) if sizes else known.limit(0)
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = mapped(sample.select("lang", "text"), _word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     best = counts.withColumn("k", first).where(F.col("k") <= words_per_language)
 
