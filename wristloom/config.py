@@ -21,12 +21,15 @@ class Config:
     resample: str = "linear"
     nonwear_std: float = 0.013  # g
     nonwear_minutes: float = 60
-    zone: str = "UTC"
+    zone: str = "UTC"  # of the recordings' local times
+    arrival: str | None = None  # the column that samples came in order of: late ones are left out and counted
     start: str | None = None
     end: str | None = None
     cuts: dict[str, float] = field(default_factory=lambda: dict(CUT_POINTS))
     sleep_tolerance_minutes: float = 60
     min_wear_hours: float | None = None
+    circadian: bool = False  # power at one cycle a day, dominant frequency, M10 and L5
+    circadian_of_acc: bool = False  # of acceleration, also where there are labels
     ecdf: bool = False
     legacy_ecdf: bool = False
 

@@ -20,8 +20,8 @@ MAX_ROUNDS = 1000
 IMPROVEMENT = 0.0001
 MAX_ERROR = 0.01  # g
 CUT = 0.995  # of the errors, beyond which a point has no weight
-#: Points of a recording that one task fits, and the size of a sketch of errors: it is exact for as many points as that.
-GROUPED, SKETCH = 1 << 20, 65_535
+#: Points of a recording that one task fits, and the accuracy of a sketch of errors: ranks are off by the points over this.
+GROUPED, SKETCH = 1 << 20, 10_000
 AXES = ("x", "y", "z")
 FIELDS = [*(f"{a}_{p}" for p in ("offset", "slope", "temp_slope") for a in AXES), "error_before", "error_after"]
 
@@ -88,13 +88,21 @@ def _moved(points: DataFrame, state: DataFrame, key: str, *more: str) -> DataFra
 
 
 def _cut_and_mean(rows: DataFrame, key: str) -> DataFrame:
-    """(key, mean, top): the mean error, and its quantile CUT between the two values that it lies between."""
-    found = rows.groupBy(key).agg(F.avg("_error").alias("mean"), F.count("*").alias("_n"), F.kll_sketch_agg_double("_error", SKETCH).alias("_sketch"))
+    """(key, mean, top): the mean error, and its quantile CUT, between the two values that it lies between.
+
+    A sketch says above which value they are; of the few errors above it (under a hundredth where there are many) the two are picked
+    exactly, by their ranks.
+    """
+    found = rows.groupBy(key).agg(F.avg("_error").alias("mean"), F.count("*").alias("_n"), F.percentile_approx("_error", F.array(F.lit(0.97), F.lit(0.994)), F.lit(SKETCH)).alias("_q"))
+    low = F.when(F.col("_n") > 5000, F.col("_q")[1]).otherwise(F.col("_q")[0])
+    found = found.select(F.col(key).alias("_of"), "mean", "_n", low.alias("_low"))
+    tail = rows.join(found, F.col(key).eqNullSafe(F.col("_of")))
+    above = F.sort_array(F.collect_list(F.when(F.col("_error") >= F.col("_low"), F.col("_error"))))
+    tail = tail.groupBy(key, "mean", "_n").agg(F.sum((F.col("_error") < F.col("_low")).cast("long")).alias("_below"), above.alias("_above"))
     at = (F.col("_n") - 1) * CUT
-    # the value of rank k from 1 is the first whose share of ranks reaches k / n
-    value = lambda k: F.kll_sketch_get_quantile_double("_sketch", F.least((k - 0.5) / F.col("_n"), F.lit(1.0)))
-    low, high = value(F.floor(at) + 1), value(F.least(F.floor(at) + 2, F.col("_n")))
-    return found.select(key, "mean", (low + (high - low) * (at - F.floor(at))).alias("top"))
+    value = lambda k: F.get("_above", (F.least(k, F.col("_n") - 1) - F.col("_below")).cast("int"))
+    a, b = value(F.floor(at)), value(F.floor(at) + 1)
+    return tail.select(key, "mean", (a + (b - a) * (at - F.floor(at))).alias("top"))
 
 
 def _normal_sums(rows: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from . import scan
+
+#: Recordings whose first samples are broadcast, a key and two numbers each; more are joined by key and hour.
+FEW = 200_000
+HOUR = 3_600_000_000
+
 
 def micros(ts: Column | str) -> Column:
     """A time as microseconds; local times count as if they were UTC, which leaves differences as they are."""
@@ -19,17 +26,25 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (micros(later) - micros(earlier)) / 1e6
 
 
-def in_order(samples: DataFrame, key: str, ts: str, arrival: str) -> DataFrame:
+def latest_before(samples: DataFrame, key: str, ts: str, arrival: str, width: float | None = None) -> DataFrame:
+    """samples with _seen: the latest time of those of their recording that have come, by arrival, before them.
+
+    A recording is cut into chunks of arrivals of that width, so its samples need not meet in one task.
+    """
+    return scan.greatest_before(samples, key, arrival, ts, "_seen", width or scan.width_of(samples, key, arrival))
+
+
+def in_order(samples: DataFrame, key: str, ts: str, arrival: str, width: float | None = None) -> DataFrame:
     """samples without those that come, by arrival, after a later one of their recording."""
-    before = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max(ts).over(before)
-    return samples.withColumn("_seen", seen).where(F.col("_seen").isNull() | (F.col(ts) >= F.col("_seen"))).drop("_seen")
+    seen = latest_before(samples, key, ts, arrival, width)
+    return seen.where(F.col("_seen").isNull() | (F.col(ts) >= F.col("_seen"))).drop("_seen")
 
 
-def anchored(samples: DataFrame, key: str, ts: str, period: float, start: Column | None = None) -> DataFrame:
+def anchored(samples: DataFrame, key: str, ts: str, period: float, start: Column | None = None, few: int = FEW) -> DataFrame:
     """Adds epoch (number) and epoch_start: windows that begin at the recording's first sample, or at start.
 
-    First samples are a row per recording, summed map-side and joined back, so a recording's samples need not meet in one task.
+    First samples are a row per recording, summed map-side into a written table.  Up to `few` of them are broadcast, and samples
+    stay where they are; more meet the samples by recording and hour, so a recording's samples never meet in one task.
     """
     t = micros(ts)
     step = int(period * 1_000_000)
@@ -37,8 +52,13 @@ def anchored(samples: DataFrame, key: str, ts: str, period: float, start: Column
     if start is not None:
         out = out.withColumn("_first", micros(start))
     else:
-        firsts = samples.groupBy(F.col(key).alias("_key")).agg(F.min(t).alias("_first"))
-        out = out.join(firsts, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+        firsts = written(samples.groupBy(F.col(key).alias("_key")).agg(F.min(t).alias("_first"), F.max(t).alias("_last")).where("_first IS NOT NULL"), "first-samples")
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        if firsts.count() <= few:
+            out = out.join(F.broadcast(firsts), same).drop("_key", "_last")
+        else:
+            hours = firsts.select("_key", "_first", F.explode(F.expr(f"sequence(_first div {HOUR}, _last div {HOUR})")).alias("_of"))
+            out = out.withColumn("_hour", F.expr(f"_t div {HOUR}")).join(hours, same & (F.col("_hour") == F.col("_of"))).drop("_key", "_of", "_hour")
     out = out.where("_t >= _first")
     number = F.expr(f"(_t - _first) div {step}")
     return out.withColumn("epoch", number).withColumn("epoch_start", F.timestamp_micros(F.col("_first") + number * step).cast(samples.schema[ts].dataType)).drop("_t", "_first")
@@ -109,20 +129,20 @@ def nearest_regrid(epochs: DataFrame, key: str, ts: str, period: int, tolerance:
     return points.select(key, ts).join(best, [key, ts], "left").select(key, ts, *(F.col(f"_v.{c}").alias(c) for c in values))
 
 
-def interpolate(samples: DataFrame, points: DataFrame, key: str, ts: str, value: str, nearest: bool = False) -> DataFrame:
+def interpolate(samples: DataFrame, points: DataFrame, key: str, ts: str, value: str, nearest: bool = False, width: float | None = None) -> DataFrame:
     """points (key, ts) with value interpolated between each one's neighbours in samples; end values are held.
 
-    Linear, or the nearer neighbour's value (ties: the earlier one).  Both tables are ordered together once per
-    key and the neighbours carried along, so the work is a sort.
+    Linear, or the nearer neighbour's value (ties: the earlier one).  Both tables are ordered together in chunks of
+    width microseconds (by default what scan.width_of finds) and the neighbours carried along, over chunks too.
     """
     t = micros(ts)
     both = samples.select(key, t.alias("_t"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_p")).unionByName(
         points.select(key, t.alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_p"))
     )
     known = F.when(F.col("_p") == 0, F.struct("_t", "_v"))
-    back = Window.partitionBy(key).orderBy("_t", "_p").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("_t", F.desc("_p")).rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumn("a", F.last(known, True).over(back)).withColumn("b", F.first(known, True).over(ahead)).where("_p = 1")
+    width = width or scan.width_of(both, key, "_t")
+    out = scan.carried(both, key, "_t", {"a": known}, width, ties=F.col("_p"))
+    out = scan.carried(out, key, "_t", {"b": known}, width, ahead=True, ties=F.desc("_p")).where("_p = 1")
     t, a, b = F.col("_t"), F.col("a"), F.col("b")
     if nearest:
         mid = F.when(t - a["_t"] <= b["_t"] - t, a["_v"]).otherwise(b["_v"])

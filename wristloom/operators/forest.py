@@ -1,4 +1,4 @@
-"""Random forests on Spark ML: balanced training, cross-predicted probabilities, and the label pipeline."""
+"""Random forests on Spark ML: balanced training, folds, cross-predicted probabilities, and scores of folds."""
 
 from __future__ import annotations
 
@@ -14,10 +14,29 @@ from .labels import finite
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Adds weight: the inverse of the label's share, in place of per-tree undersampling."""
-    n = F.count("*").over(Window.partitionBy(label))
-    sizes = df.select(label).groupBy(label).agg(F.count("*").alias("_n"))
-    least = sizes.agg(F.min("_n").alias("_least"))
-    return df.withColumn("_n", n).crossJoin(F.broadcast(least)).withColumn("weight", F.col("_least") / F.col("_n")).drop("_n", "_least")
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    least = sizes.agg(F.min("_n")).first()[0]
+    # a row per label
+    return df.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label"))).withColumn("weight", F.lit(least) / F.col("_n")).drop("_label", "_n")
+
+
+#: Salts that a label's rows are dealt over when they are numbered.
+SALTS = 256
+
+
+def stratified_folds(df: DataFrame, label: str, k: int, *by: str) -> DataFrame:
+    """df with fold, a number below k: each label's rows are spread over the folds as evenly as can be, in an order hashed from by.
+
+    Rows are numbered within (label, salt), and the salts of a label follow each other, so no task holds a label's rows.
+    """
+    rows = df.withColumn("_h", F.xxhash64(*by)).withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
+    sizes = rows.groupBy(F.col(label).alias("_l"), F.col("_salt").alias("_s")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_l").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # at most SALTS rows per label
+    offsets = sizes.select("_l", "_s", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(label, "_salt").orderBy("_h", *by)) - 1
+    numbered = rows.withColumn("_own", own).join(F.broadcast(offsets), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_salt") == F.col("_s")))
+    return numbered.withColumn("fold", ((F.col("_before") + F.col("_own")) % k).cast("int")).drop("_h", "_salt", "_l", "_s", "_before", "_own")
 
 
 def train(df: DataFrame, label: str, features: list[str], trees: int = 1000, depth: int = 12, seed: int = 42) -> PipelineModel:
@@ -45,17 +64,40 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFra
     return out.drop("_ok", "_features", "_raw", "_p", "_pred", *(f"_f_{c}" for c in features))
 
 
-def cross_predict(df: DataFrame, label: str, features: list[str], fold, k: int = 10, **how) -> DataFrame:
-    """Each fold's rows predicted by a model of the other folds; fold is a column of numbers below k."""
+def aligned(probabilities: str, have: list[str], want: list[str]) -> F.Column:
+    """An array of probabilities in the order of have, in that of want; 0 for labels that have lacks."""
+    cells = [F.get(probabilities, F.lit(have.index(x))) if x in have else F.lit(0.0) for x in want]
+    return F.when(F.col(probabilities).isNotNull(), F.array(*cells))
+
+
+def cross_predict(df: DataFrame, label: str, features: list[str], fold, k: int = 10, labels: list[str] | None = None, **how) -> DataFrame:
+    """Each fold's rows predicted by a model of the other folds; fold is a column of numbers below k.
+
+    probabilities are in the order of labels (by default, all labels of df, sorted), also where a fold's model lacks some.
+    """
     folds = df.withColumn("_fold", fold)
+    if labels is None:
+        labels = sorted(str(r[0]) for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
     out = None
     for i in range(k):
         model = train(folds.where(F.col("_fold") != i), label, features, **how)
         part = predict(model, folds.where(F.col("_fold") == i), features)
+        part = part.withColumn("probabilities", aligned("probabilities", labels_of(model), labels))
         out = part if out is None else out.unionByName(part)
     return out.drop("_fold")
 
 
+def leave_one_out(df: DataFrame, label: str, features: list[str], participant: str, **how) -> DataFrame:
+    """Each participant's rows, with fold (its place among the sorted ones), predicted by a model of all the others.
+
+    A model per participant: they are few, as each is labelled by hand.  Rows without a participant are in every model and are not predicted.
+    """
+    names = [r[0] for r in df.where(F.col(participant).isNotNull()).select(participant).distinct().orderBy(participant).collect()]
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(participant)).cast("int") - 1
+    folds = df.withColumn("fold", F.coalesce(place, F.lit(-1)))
+    return cross_predict(folds, label, features, F.col("fold"), len(names), **how)
+
+
 def split_by_participant(df: DataFrame, participant: str, test: list[str]) -> tuple[DataFrame, DataFrame]:
     """(train, test) rows; a null participant is in train."""
     inside = F.coalesce(F.col(participant).isin(test), F.lit(False))

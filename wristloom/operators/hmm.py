@@ -161,7 +161,7 @@ def smooth(df: DataFrame, key: str, order: str, label: str, hmm: Hmm, width: flo
         return pdf[columns].assign(smoothed=out)
 
     width = width or scan.width_of(df, key, order)
-    if width >= 1 << 62:
+    if width >= scan.ALL:
         # no recording has more than a chunk: nothing is before or after it
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf, known, seen = observed(pdf)

@@ -85,5 +85,23 @@ def class_report(df: DataFrame, true: str, pred: str) -> DataFrame:
     return out.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
 
 
+def fold_scores(df: DataFrame, fold: str, true: str, pred: str) -> DataFrame:
+    """Per fold, the macro F1 over the labels that are true or predicted in it, and its rows."""
+    seen = F.explode(F.array(
+        F.struct(F.col(true).alias("l"), F.lit(1).alias("support"), F.lit(0).alias("made")), F.struct(F.col(pred).alias("l"), F.lit(0).alias("support"), F.lit(1).alias("made")),
+    ))
+    rows = df.select(fold, (F.col(true).eqNullSafe(F.col(pred))).cast("int").alias("hit"), seen.alias("s")).where("s.l IS NOT NULL")
+    per = rows.groupBy(fold, "s.l").agg(F.sum(F.col("hit") * F.col("s.support")).alias("hits"), F.sum("s.support").alias("support"), F.sum("s.made").alias("made"))
+    f1 = 2 * F.col("hits") / (F.col("support") + F.col("made"))
+    return per.groupBy(fold).agg(F.avg(f1).alias("macro_f1"), F.sum("support").alias("n"))
+
+
+def cross_validation(df: DataFrame, fold: str, true: str, pred: str) -> DataFrame:
+    """One row: mean and quartiles of the folds' macro F1, and their number."""
+    q = F.percentile("macro_f1", F.array(F.lit(0.25), F.lit(0.75)))
+    scores = fold_scores(df, fold, true, pred).agg(F.avg("macro_f1").alias("cv_mean_score"), q.alias("q"), F.count("*").alias("folds"))
+    return scores.select("cv_mean_score", F.col("q")[0].alias("cv_25th_score"), F.col("q")[1].alias("cv_75th_score"), "folds")
+
+
 def macro_f1(df: DataFrame, true: str, pred: str) -> DataFrame:
     return class_report(df, true, pred).agg(F.avg("f1").alias("macro_f1"))

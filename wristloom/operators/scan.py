@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a chunk that width_of aims at.
-CHUNK_ROWS = 1 << 16
+#: Rows of a chunk that width_of aims at, and the width that makes every recording one chunk.
+CHUNK_ROWS, ALL = 1 << 16, float(1 << 62)
 CHUNK = "_chunk"
 
 Summary = Callable[[pd.DataFrame], dict]
@@ -41,11 +41,13 @@ def width_of(df: DataFrame, key: str, order: str, rows: int = CHUNK_ROWS) -> flo
     at = position(df, order).cast("double")
     span = df.groupBy(key).agg(F.count(at).alias("n"), (F.max(at) - F.min(at)).alias("span"))
     least = span.where(F.col("n") > rows).agg(F.min((F.col("span") + 1) * rows / F.col("n"))).first()[0]
-    return float(least) if least else float(1 << 62)
+    return float(least) if least else ALL
 
 
 def dealt(df: DataFrame, order: str, width: float) -> DataFrame:
     """df with the number of each row's chunk; rows without an order are in the first."""
+    if width >= ALL:
+        return df.withColumn(CHUNK, F.lit(0).cast("long"))
     return df.withColumn(CHUNK, F.coalesce(F.floor(position(df, order).cast("double") / F.lit(float(width))), F.lit(-(1 << 62))).cast("long"))
 
 
@@ -83,20 +85,37 @@ def onward(rows: DataFrame, begin: DataFrame, key: str, run: Callable[[pd.DataFr
 # ---------------------------------------------------------------- last values
 
 
-def carried(df: DataFrame, key: str, order: str, values: dict[str, Column], width: float, ahead: bool = False) -> DataFrame:
+def carried(df: DataFrame, key: str, order: str, values: dict[str, Column], width: float, ahead: bool = False, ties: Column | None = None) -> DataFrame:
     """df with, for each name, the last non-null of a column up to each row (with ahead: the first one from it on).
 
     Window functions within chunks; what a chunk has none of comes from the nearest chunk that has, which is found among the
-    chunks' own last values, a row per chunk.  order may name several columns that break ties.
+    chunks' own last values, a row per chunk.  Rows of equal order go by ties.
     """
     names = list(values)
     rows = dealt(df, order, width).withColumns({f"_own_{n}": v for n, v in values.items()})
-    inner = Window.partitionBy(key, CHUNK).orderBy(order).rowsBetween(*((0, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, 0)))
+    inner = Window.partitionBy(key, CHUNK).orderBy(F.col(order), *([ties] if ties is not None else []))
+    inner = inner.rowsBetween(0, Window.unboundedFollowing) if ahead else inner.rowsBetween(Window.unboundedPreceding, 0)
     pick = F.first if ahead else F.last
     rows = rows.withColumns({n: pick(f"_own_{n}", True).over(inner) for n in names})
+    if width >= ALL:
+        return rows.select(*df.columns, *names)
     at = position(df, order)
     ends = rows.groupBy(key, CHUNK).agg(*((F.min_by if ahead else F.max_by)(f"_own_{n}", F.when(F.col(f"_own_{n}").isNotNull(), at)).alias(n) for n in names))
-    over = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(*((1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)))
+    over = Window.partitionBy(key).orderBy(CHUNK)
+    over = over.rowsBetween(1, Window.unboundedFollowing) if ahead else over.rowsBetween(Window.unboundedPreceding, -1)
     beyond = ends.select(F.col(key).alias("_key"), F.col(CHUNK).alias("_at"), *(pick(n, True).over(over).alias(f"_far_{n}") for n in names))
     joined = rows.join(beyond, F.col(key).eqNullSafe(F.col("_key")) & (F.col(CHUNK) == F.col("_at")))
     return joined.withColumns({n: F.coalesce(n, f"_far_{n}") for n in names}).select(*df.columns, *names)
+
+
+def greatest_before(df: DataFrame, key: str, order: str, value: str, name: str, width: float) -> DataFrame:
+    """df with name: the greatest value of the rows before each one, null for the first; the same way as carried()."""
+    rows = dealt(df, order, width)
+    inner = Window.partitionBy(key, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(name, F.max(value).over(inner))
+    if width >= ALL:
+        return rows.drop(CHUNK)
+    over = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = rows.groupBy(key, CHUNK).agg(F.max(value).alias("_most")).select(F.col(key).alias("_key"), F.col(CHUNK).alias("_at"), F.max("_most").over(over).alias("_far"))
+    joined = rows.join(beyond, F.col(key).eqNullSafe(F.col("_key")) & (F.col(CHUNK) == F.col("_at")))
+    return joined.withColumn(name, F.greatest(name, "_far")).select(*df.columns, name)

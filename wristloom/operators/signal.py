@@ -11,12 +11,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import calibrated, clamped, clip_flags
 from . import scan
-from .epochs import anchored, micros
+from .epochs import anchored, latest_before, micros
 
 BASIC = ("enmoTrunc", "enmoAbs", "xMean", "yMean", "zMean", "xRange", "yRange", "zRange", "xStd", "yStd", "zStd", "xyCov", "xzCov", "yzCov")
 FEATURES = (
@@ -119,7 +119,8 @@ def filtered(df: DataFrame, key: str, order: str, value: str, b: np.ndarray, a:
 
     Equal to the recurrence over the whole recording but for rounding; where rows are missing, it goes on with the
     next one.  Rows of equal order go by value.  A null or NaN value makes the rest of its recording NaN, as the recurrence does.
-    width is that of a chunk in units of the order column (microseconds of times); by default what scan.width_of finds.
+    width is that of a chunk in units of the order column (microseconds of times); by default what scan.width_of finds.  A row's
+    number in its recording, from 1, is beside it as place.
     """
     rows = scan.dealt(df, order, width or scan.width_of(df, key, order))
     step = step_matrix(b, a)
@@ -130,19 +131,22 @@ def filtered(df: DataFrame, key: str, order: str, value: str, b: np.ndarray, a:
     def summary(pdf: pd.DataFrame) -> dict:
         return {"n": len(pdf), "end": iir(b, a, ordered(pdf)[value].to_numpy(dtype=float))[1].tolist()}
 
+    def compose(ends: pd.DataFrame) -> list[np.ndarray]:
+        before = ends["n"].cumsum() - ends["n"]
+        return [np.append(z, n) for z, n in zip(filter_starts(ends, step), before, strict=True)]
+
     def run(pdf: pd.DataFrame, start: np.ndarray) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        return pdf.drop(columns=scan.CHUNK).assign(filtered=iir(b, a, pdf[value].to_numpy(dtype=float), np.asarray(start, dtype=float))[0])
+        pdf, z = ordered(pdf), np.asarray(start[:-1], dtype=float)
+        return pdf.drop(columns=scan.CHUNK).assign(filtered=iir(b, a, pdf[value].to_numpy(dtype=float), z)[0], place=int(start[-1]) + 1 + np.arange(len(pdf)))
 
-    begin = scan.starts(rows, key, summary, "n long, end array<double>", lambda ends: filter_starts(ends, step), "array<double>")
-    return scan.onward(rows, begin, key, run, f"{scan.kinds(df, *df.columns)}, filtered double")
+    begin = scan.starts(rows, key, summary, "n long, end array<double>", compose, "array<double>")
+    return scan.onward(rows, begin, key, run, f"{scan.kinds(df, *df.columns)}, filtered double, place long")
 
 
 def gravity(signal: np.ndarray, rate: int, keep: float = 0.9) -> np.ndarray:
     """The mean of an exponential moving average of each column, without its first second."""
-    powers = keep ** np.arange(200)
-    kernel = (1 - keep) * powers
-    smooth = np.stack([np.convolve(c, kernel)[: len(c)] for c in signal.T], axis=1)
+    b, a = np.array([1 - keep, 0.0]), np.array([1.0, -keep])
+    smooth = np.stack([iir(b, a, c)[0] for c in signal.T], axis=1)
     return smooth[max(rate - 1, 0) :].mean(axis=0)
 
 
@@ -219,7 +223,7 @@ def features(xyz: np.ndarray, enmo_trunc: np.ndarray, rate: int) -> dict[str, fl
     out += [top[0], np.log(top[1] + EPS), band[0], np.log(band[1] + EPS), entropy]
     hop = rate // 2
     welch = np.lib.stride_tricks.sliding_window_view(v, rate)[::hop][: n // hop - 1]
-    size = np.abs(np.fft.rfft(welch * np.hanning(rate), axis=1))[:, :10].mean(axis=0)
+    size = np.abs(np.fft.rfft(welch * np.hanning(rate), axis=1))[:, :10].mean(axis=0) / rate
     out += list(np.log(np.pad(size, (0, 10 - len(size))) + EPS))
 
     m = np.sqrt((xyz**2).sum(axis=1)) - 1
@@ -240,10 +244,10 @@ def features(xyz: np.ndarray, enmo_trunc: np.ndarray, rate: int) -> dict[str, fl
     return dict(zip(FEATURES, map(float, out), strict=True))
 
 
-def calibrate_samples(samples: DataFrame, coefficients: DataFrame | None, key: str, limit: float) -> DataFrame:
+def calibrate_samples(samples: DataFrame, coefficients: DataFrame | None, key: str, limit: float, keep: list[str] | None = None) -> DataFrame:
     """x, y, z calibrated and clamped, with boolean clip_before and clip_after.
 
-    coefficients has one row per recording, as calibrate() returns; recordings without one stay as they are.
+    coefficients has one row per recording, as calibrate() returns; recordings without one stay as they are.  Columns to keep stay beside them.
     """
     axes = ("x", "y", "z")
     if coefficients is None:
@@ -256,16 +260,26 @@ def calibrate_samples(samples: DataFrame, coefficients: DataFrame | None, key: s
         fixed = tuple(calibrated(F.col(a), F.coalesce("temp", F.lit(0.0)), own(a, "offset", 0.0), own(a, "slope", 1.0), own(a, "temp_slope", 0.0)) for a in axes)
     before, after = clip_flags(tuple(F.col(a) for a in axes), fixed, limit)
     out = {a: clamped(F.col(a), v, before, limit) for a, v in zip(axes, fixed, strict=True)}
-    return joined.select(key, "t", *(v.alias(a) for a, v in out.items()), "temp", before.alias("clip_before"), after.alias("clip_after"))
+    return joined.select(key, "t", *(v.alias(a) for a, v in out.items()), "temp", before.alias("clip_before"), after.alias("clip_after"), *(keep or []))
 
 
-def epoch_features(samples: DataFrame, key: str, period: int = 30, rate: int = 100, with_features: bool = True, low_pass: float | None = 20.0, least: int = 10, resample: str = "linear") -> DataFrame:
+def epoch_features(samples: DataFrame, key: str, period: int = 30, rate: int = 100, with_features: bool = True, low_pass: float | None = 20.0, least: int = 10, resample: str = "linear", arrival: str | None = None) -> DataFrame:
     """One row per closed epoch of samples (key, t, x, y, z, temp, clip_before, clip_after): its statistics.
 
     Samples near an epoch's edges go to the next epoch too (and to the one before), as neighbours for interpolation.  The
     low-pass filter runs from epoch to epoch of a recording, over those with more than `least` samples; others leave its state as it is.
+
+    dataErrors counts samples stuck at one value, one for a gap of two periods or more after the epoch, and, where arrival
+    names the column that samples came in order of, one for each sample that came after a later one of its recording: it is left out, and
+    counted in the epoch that was open when it came.
     """
     step = period * 1_000_000
+    late = None
+    if arrival:
+        seen = latest_before(samples, key, "t", arrival)
+        samples = seen.where("_seen IS NULL OR t >= _seen")
+        late = seen.where("t < _seen").select(F.col(key).alias("_late"), "_seen").groupBy("_late", "_seen").agg(F.count("*").alias("n"))
+        samples = samples.drop("_seen")
     cut = anchored(samples, key, "t", period).withColumn("_u", micros("t") - micros("epoch_start"))
     edge = int(1e6 * EDGE_SAMPLES / rate)
     near = F.array_compact(F.array(
@@ -319,7 +333,7 @@ def epoch_features(samples: DataFrame, key: str, period: int = 30, rate: int = 1
     kinds = {n: "double" for n in names} | {n: "long" for n in TAIL[1:]}
     schema = f"{key} {samples.schema[key].dataType.simpleString()}, time {samples.schema['t'].dataType.simpleString()}, " + ", ".join(f"`{n}` {k}" for n, k in kinds.items())
     if b is None:
-        out = rows.groupBy(key, "epoch").applyInPandas(one, schema)
+        out = rows.groupBy(key, "epoch").applyInPandas(lambda pdf: one(pdf), schema)
     else:
         # both passes over the samples read one exchange; the scan between them has a row per epoch
         named = scan.kinds(rows, key, "epoch")
@@ -327,5 +341,17 @@ def epoch_features(samples: DataFrame, key: str, period: int = 30, rate: int = 1
         states = ends.groupBy(key).applyInPandas(starts_of, f"{named}, start array<double>")
         out = rows.groupBy(key, "epoch").cogroup(states.groupBy(key, "epoch")).applyInPandas(one, schema)
     # a recording's last epoch is open: no later sample has closed it
-    last = cut.groupBy(key).agg(F.max("epoch_start").alias("_open"))
-    return out.join(last, key).where(F.col("time") < F.col("_open")).drop("_open")
+    at = micros("epoch_start") + F.col("_u")
+    spans = cut.groupBy(key, F.col("epoch_start").alias("time")).agg(F.min(at).alias("_from"), F.max(at).alias("_to"))
+    following = F.lead("_from").over(Window.partitionBy(key).orderBy("time"))
+    spans = spans.withColumn("_gap", following - F.col("_to")).where("_gap IS NOT NULL")
+    errors = (F.col("_gap") >= 2 * step).cast("long")
+    if late is not None:
+        # the epoch of the latest sample that had come: epochs are numbered from a recording's first
+        firsts = cut.groupBy(F.col(key).alias("_key")).agg(F.min(micros("epoch_start")).alias("_zero"))
+        begin = F.timestamp_micros(F.col("_zero") + F.expr(f"(unix_micros(cast(_seen as timestamp)) - _zero) div {step} * {step}")).cast(samples.schema["t"].dataType)
+        opened = late.join(firsts, F.col("_late").eqNullSafe(F.col("_key"))).groupBy("_key", begin.alias("_time")).agg(F.sum("n").alias("_n_late"))
+        spans = spans.join(opened, F.col(key).eqNullSafe(F.col("_key")) & (F.col("time") == F.col("_time")), "left").drop("_key", "_time")
+        errors = errors + F.coalesce("_n_late", F.lit(0))
+    joined = out.join(spans.select(key, "time", errors.alias("_errors")), [key, "time"])
+    return joined.withColumn("dataErrors", F.col("dataErrors") + F.col("_errors")).select(out.columns)

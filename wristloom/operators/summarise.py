@@ -62,10 +62,13 @@ def ecdf(epochs: DataFrame, key: str, ts: str, value: str, levels=ECDF_LEVELS, l
 
     Missing epochs count for nothing; with legacy they count as below every level.
     """
-    rows = epochs.select(key, F.hour(ts).alias("h"), F.minute(ts).alias("m"), F.col(value).alias("v"), F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    below = F.when(F.col("v").isNull(), F.lit(1.0) if legacy else F.lit(None).cast("double")).otherwise((F.col("v") <= F.col("level")).cast("double"))
-    minutes = rows.groupBy(key, "level", "h", "m").agg(F.avg(below).alias("p"))
-    return minutes.groupBy(key, "level").agg(F.avg("p").alias("ecdf"))
+    v = F.col(value)
+    below = lambda x: F.when(v.isNull(), F.lit(1.0) if legacy else F.lit(None).cast("double")).otherwise((v <= x).cast("double"))
+    # a column per level: an epoch is one row in one aggregation, and so is a minute of day
+    minutes = epochs.groupBy(key, F.hour(ts).alias("h"), F.minute(ts).alias("m")).agg(*(F.avg(below(x)).alias(f"p{k}") for k, x in enumerate(levels)))
+    wide = minutes.groupBy(key).agg(*(F.avg(f"p{k}").alias(f"p{k}") for k in range(len(levels))))
+    cells = F.explode(F.array(*(F.struct(F.lit(x).alias("level"), F.col(f"p{k}").alias("ecdf")) for k, x in enumerate(levels))))
+    return wide.select(key, cells.alias("c")).select(key, "c.level", "c.ecdf")
 
 
 def quality(epochs: DataFrame, key: str, ts: str, zone: str) -> DataFrame:

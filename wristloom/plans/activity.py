@@ -31,16 +31,15 @@ def train(table: DataFrame, features: list[str], label: str = "label", participa
     """(model, predictions on the participants in test).
 
     The Markov model's emissions come from cross-predicted probabilities, so they are those of unseen rows; folds are
-    stratified by a hash, not by participant.
+    stratified by label.  A label that a fold's forest has not seen has probability 0 there; no row is left out.
     """
     usable = table.where(labels.finite(features) & F.col(label).isNotNull())
     own, held = forest.split_by_participant(usable, participant, test or [])
     model = forest.train(own, label, features, trees, depth)
-    fold = F.pmod(F.xxhash64(participant, order), F.lit(folds))
-    crossed = written(forest.cross_predict(own, label, features, fold, folds, trees=max(10, trees // 10), depth=depth), "cross-predicted")
     names = forest.labels_of(model)
-    # a fold's forest may lack a label: probabilities are matched by the full model's labels when there are as many
-    wide = crossed.where(F.size("probabilities") == len(names)).select(participant, order, label, *(F.col("probabilities")[k].alias(f"p{k}") for k in range(len(names))))
+    dealt = written(forest.stratified_folds(own, label, folds, participant, order), "folds")
+    crossed = written(forest.cross_predict(dealt, label, features, F.col("fold"), folds, labels=names, trees=trees, depth=depth), "cross-predicted")
+    wide = crossed.select(participant, order, label, *(F.col("probabilities")[k].alias(f"p{k}") for k in range(len(names))))
     states = hmm.fit(wide, participant, order, label, {x: f"p{k}" for k, x in enumerate(names)})
     mets = {r[label]: r["met"] for r in labels.met_values(own, label, annotation or label, met).collect()} if met else {}
     out = ActivityModel(model, states, features, mets)

@@ -115,6 +115,27 @@ def met_mean_of_means(spark, sf_dir):
     return labels.met_values(table(spark, sf_dir, "events"), "event_type", "user_id", "value")
 
 
+_F1 = """s AS (SELECT doc_id % 5 AS fold, quality AS t, toxic AS p FROM labels),
+l AS (SELECT fold, t AS l, (t = p)::INT AS hit, 1 AS support, 0 AS made FROM s WHERE t IS NOT NULL UNION ALL SELECT fold, p, 0, 0, 1 FROM s WHERE p IS NOT NULL),
+f AS (SELECT fold, l, 2 * coalesce(sum(hit), 0)::DOUBLE / (sum(support) + sum(made)) AS f1, sum(support)::BIGINT AS support FROM l GROUP BY ALL),
+folds AS (SELECT fold, avg(f1) AS macro_f1, sum(support)::BIGINT AS n FROM f GROUP BY fold)"""
+
+
+def _folds(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select((F.col("doc_id") % 5).alias("fold"), F.col("quality").alias("t"), F.col("toxic").alias("p"))
+
+
+@query(f"WITH {_F1} SELECT fold, round(macro_f1, 9) AS macro_f1, n FROM folds")
+def fold_scores(spark, sf_dir):
+    return labels.fold_scores(_folds(spark, sf_dir), "fold", "t", "p")
+
+
+@query(f"""WITH {_F1} SELECT round(avg(macro_f1), 9) AS cv_mean_score, round(quantile_cont(macro_f1, 0.25), 9) AS cv_25th_score, round(quantile_cont(macro_f1, 0.75), 9) AS cv_75th_score,
+  count(*) AS folds FROM folds""")
+def cross_validation(spark, sf_dir):
+    return labels.cross_validation(_folds(spark, sf_dir), "fold", "t", "p")
+
+
 METS = {"view": 1.2, "click": 2.5, "purchase": 3.8}
 
 
@@ -131,22 +152,23 @@ def finite_features(spark, sf_dir):
     return e.select("vec_id", (F.col("label").isNotNull() & (F.size("embedding") == 64) & labels.finite(["s"])).alias("usable"))
 
 
+COMPONENTS = [f"f{k}" for k in range(64)]
+
+
 def _features(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.col("label").cast("string").alias("label"), *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(16)))
+    return e.select("vec_id", F.col("label").cast("string").alias("label"), *(F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(COMPONENTS)))
 
 
 @query()
 def rf_predict(spark, sf_dir):
     """A balanced forest on part of the vectors, by id, predicts all of them."""
     v = _features(spark, sf_dir)
-    names = [f"f{k}" for k in range(16)]
-    model = forest.train(v.where("vec_id % 4 <> 0"), "label", names, trees=20, depth=6)
-    return forest.predict(model, v, names).select("vec_id", "label", "prediction", F.array_max("probabilities").alias("top_probability"))
+    model = forest.train(v.where("vec_id % 4 <> 0"), "label", COMPONENTS, trees=20, depth=6)
+    return forest.predict(model, v, COMPONENTS).select("vec_id", "label", "prediction", F.array_max("probabilities").alias("top_probability"))
 
 
 @query()
 def rf_cross_predict(spark, sf_dir):
     v = _features(spark, sf_dir)
-    names = [f"f{k}" for k in range(16)]
-    return forest.cross_predict(v, "label", names, F.col("vec_id") % 3, k=3, trees=10, depth=5).select("vec_id", "label", "prediction")
+    return forest.cross_predict(v, "label", COMPONENTS, F.col("vec_id") % 3, k=3, trees=10, depth=5).select("vec_id", "label", "prediction")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -99,16 +99,10 @@ def stuck_and_still(spark, sf_dir):
 e AS (SELECT user_id, r, 0.1 * value AS g FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, 0.9 * e.g + 0.1 * o.value FROM e JOIN o ON o.user_id = e.user_id AND o.r = e.r + 1)
 SELECT user_id, round(avg(g), 9) AS gravity FROM e WHERE r >= 5 GROUP BY user_id""")
 def ewma_gravity(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    arrays = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s.value).alias("v"))
-    start = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("sum"), F.lit(0).alias("r"))
-
-    def step(a, v):
-        g = a.g * 0.9 + v * 0.1
-        return F.struct(g.alias("g"), (a.sum + F.when(a.r >= 4, g).otherwise(0.0)).alias("sum"), (a.r + 1).alias("r"))
-
-    done = arrays.select("user_id", F.aggregate("v", start, step).alias("a"))
-    return done.where("a.r > 4").select("user_id", (F.col("a.sum") / (F.col("a.r") - 4)).alias("gravity"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    # the average is a filter of one pole
+    smooth = signal.filtered(e, "user_id", "event_id", "value", np.array([0.1, 0.0]), np.array([1.0, -0.9]))
+    return smooth.where("place >= 5").groupBy("user_id").agg(F.avg("filtered").alias("gravity"))
 
 
 B, A = signal.butterworth(4, 20.0, 100.0)
@@ -127,12 +121,7 @@ f AS (SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS r, 0::DOUBLE AS x1, 0:
 SELECT user_id, event_id, round(y1, 9) AS filtered FROM f WHERE r > 0""")
 def butterworth_lowpass(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        return pdf.assign(filtered=signal.iir(B, A, pdf["value"].to_numpy())[0])[["user_id", "event_id", "filtered"]]
-
-    return e.groupBy("user_id").applyInPandas(one, "user_id long, event_id long, filtered double")
+    return signal.filtered(e, "user_id", "event_id", "value", B, A).select("user_id", "event_id", "filtered")
 
 
 def _vectors(spark, sf_dir):
@@ -205,13 +194,13 @@ def block_means(spark, sf_dir):
 @query("""WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS t FROM embeddings),
 w AS (SELECT vec_id, s // 8 AS win, x * (0.5 - 0.5 * cos(2 * pi() * (t - s) / 15)) AS x, t - s AS i FROM s, range(0, 49, 8) AS r(s) WHERE t >= s AND t < s + 16),
 g AS (SELECT vec_id, win, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 16)), 2) + pow(sum(x * sin(2 * pi() * k * i / 16)), 2)) AS mag FROM w, range(0, 8) AS b(k) GROUP BY ALL)
-SELECT vec_id, k, round(ln(avg(mag) + 1e-8), 4) AS welch FROM g GROUP BY vec_id, k""")
+SELECT vec_id, k, round(ln(avg(mag) / 16 + 1e-8), 4) AS welch FROM g GROUP BY vec_id, k""")
 def welch_bins(spark, sf_dir):
     s = _vectors(spark, sf_dir).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(48), F.lit(8))).alias("s"), "v")
     w = s.select("vec_id", "s", F.posexplode(vx.hann(F.slice("v", F.col("s") + 1, 16))).alias("i", "x"), F.expr("sequence(0, 7)").alias("ks")).select("vec_id", "s", "i", "x", F.explode("ks").alias("k"))
     a = 2 * math.pi * F.col("k") * F.col("i") / 16
     g = w.groupBy("vec_id", "s", "k").agg(F.sqrt(F.sum(F.col("x") * F.cos(a)) ** 2 + F.sum(F.col("x") * F.sin(a)) ** 2).alias("mag"))
-    return g.groupBy("vec_id", "k").agg(F.round(F.log(F.avg("mag") + 1e-8), 4).alias("welch"))
+    return g.groupBy("vec_id", "k").agg(F.round(F.log(F.avg("mag") / 16 + 1e-8), 4).alias("welch"))
 
 
 @query("""WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), n AS (SELECT *, sqrt(x * x + y * y + z * z) AS l FROM p)

@@ -1,6 +1,8 @@
 """ActiGraph .gt3x recordings: a zip of info.txt and activity.bin (older) or log.bin (newer).
 
-The source returns a row per packet, samples as arrays; a zip has one reader, so files are the partitions.
+The source returns a row per packet, samples as arrays; a zip has one reader, so files are the partitions.  Filters on start_ms are
+pushed into the source: packets before the range are not decoded, and reading stops after it (option ordered=false reads all).
+A file that cannot be read gives a row with an error, and the others go on, but for mode FAILFAST.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import InvalidInput
-from .files import file_system, listed
+from .files import FAILED, file_system, listed
+from .slices import TimeRange, allow_pushdown
 
 SCHEMA = "path string, packet long, start_ms long, rate double, x array<double>, y array<double>, z array<double>, serial string, error string"
 #: Counts per g by the first letters of a serial number.
@@ -85,11 +88,24 @@ class ActigraphReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        self.ordered = options.get("ordered", "true").lower() != "false"
+        self.range = TimeRange("start_ms")
+
+    def pushFilters(self, filters):
+        return self.range.push(filters)
 
     def partitions(self) -> list[File]:
         return [File(p) for p, _ in listed(self.path, (".gt3x",))]
 
     def read(self, part: File) -> Iterator[tuple]:
+        try:
+            yield from self._rows(part)
+        except Exception as e:
+            if self.strict:
+                raise
+            yield part.path, None, None, None, [], [], [], None, f"{FAILED}{e}"
+
+    def _rows(self, part: File) -> Iterator[tuple]:
         files, name = file_system(part.path)
         with files.open_input_file(name) as raw, zipfile.ZipFile(raw) as z:
             kind = version(z.namelist())
@@ -103,6 +119,8 @@ class ActigraphReader(DataSourceReader):
             else:
                 rows = self._packets(z.open("log.bin"), shift, rate, scale)
             for k, (ms, xyz, error) in enumerate(rows):
+                if xyz is None:
+                    continue  # not in the range
                 x, y, zz = xyz.T.tolist() if len(xyz) else ([], [], [])
                 yield part.path, k, ms, rate, x, y, zz, serial, error
 
@@ -110,10 +128,14 @@ class ActigraphReader(DataSourceReader):
         """Nine bytes are two samples, each y, x, z; the first is at the start."""
         done = 0
         while data := f.read(9 * PAIRS_AT_ONCE):
-            v = unpack_12bit(data[: len(data) // 9 * 9]).reshape(-1, 3)[:, [1, 0, 2]] / scale
-            if len(v):
-                yield start + round(1000 * done / rate), v, None
-            done += len(v)
+            first, n = start + round(1000 * done / rate), len(data) // 9 * 2
+            if self.ordered and self.range.after(first):
+                return
+            done += n
+            if not self.range.holds(first):
+                yield first, None, None
+            elif n:
+                yield first, unpack_12bit(data[: n // 2 * 9]).reshape(-1, 3)[:, [1, 0, 2]] / scale, None
 
     def _packets(self, f: io.BufferedIOBase, shift: int, rate: float, scale: float) -> Iterator[tuple]:
         """Packets of separator, type, seconds, size, payload and checksum; samples start one period after the second."""
@@ -134,6 +156,10 @@ class ActigraphReader(DataSourceReader):
                     space, _, ident = body[at], body[at + 1], body[at + 2]
                     if space == 0 and ident == 55:
                         scale = decode_parameter(struct.unpack_from("<I", body, at + 4)[0])
+            elif kind in (ACTIVITY, ACTIVITY2) and size > 1 and not self.range.holds(first):
+                if self.ordered and self.range.after(first):
+                    return
+                yield first, None, None
             elif kind == ACTIVITY and size > 1:
                 v = unpack_12bit(body)
                 yield first, rounded(v[: len(v) // 3 * 3].reshape(-1, 3)[:, [1, 0, 2]] / scale), None
@@ -165,3 +191,4 @@ def samples(packets: DataFrame) -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ActigraphSource)
+    allow_pushdown(spark)

@@ -2,6 +2,9 @@
 
 The source returns one row per data page with its samples as arrays.  A page's sample times depend on the page before
 it, which is a lag over the pages of a file: `samples` computes them and explodes the arrays.
+
+Filters on time_us are pushed into the source: stamps rise through a file, so a range's pages are found by binary search, and
+no others are read (option ordered=false reads all).  A file that cannot be read gives a row of kind `failed`, and the others go on.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import blocks, file_system, listed
+from .files import FAILED, blocks, file_system, listed
+from .slices import TimeRange, allow_pushdown, first_place
 
 PAGE = 512
 SCHEMA = "path string, page long, kind string, time_us long, time_index int, n int, rate double, temp double, x array<double>, y array<double>, z array<double>, device_id long, error string"
@@ -91,6 +95,11 @@ class AxivityReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.bytes = int(options.get("partitionbytes", 64 << 20)) // PAGE * PAGE
+        self.ordered = options.get("ordered", "true").lower() != "false"
+        self.range = TimeRange("time_us")
+
+    def pushFilters(self, filters):
+        return self.range.push(filters)
 
     def partitions(self) -> list[Range]:
         out = []
@@ -102,10 +111,38 @@ class AxivityReader(DataSourceReader):
         return out
 
     def read(self, part: Range) -> Iterator[tuple]:
-        for k, page in enumerate(self._pages(part)):
-            row = decode_page(part.path, part.start // PAGE + k, page)
-            if row is not None:
+        try:
+            if part.stop >= 0 and self.ordered:
+                part = self._in_range(part)
+            for k, page in enumerate(self._pages(part)):
+                row = decode_page(part.path, part.start // PAGE + k, page)
+                if row is None:
+                    continue
+                if self.ordered and row[2] == "data" and self.range.after(row[3]):
+                    return
                 yield row
+        except Exception as e:
+            yield part.path, None, "failed", None, None, 0, None, None, [], [], [], None, f"{FAILED}{e}"
+
+    def _in_range(self, part: Range) -> Range:
+        """The pages of part from the first that is not before the range to the last that is not after it."""
+        if self.range.low is None and self.range.high is None:
+            return part
+        files, name = file_system(part.path)
+        with files.open_input_file(name) as f:
+
+            def time_of(k: int) -> int | None:
+                """The stamp of the first data page from k on."""
+                while k < part.stop // PAGE:
+                    row = decode_page(part.path, k, f.read_at(PAGE, k * PAGE).ljust(PAGE, b"\0"))
+                    if row is not None and row[2] == "data":
+                        return row[3]
+                    k += 1
+                return None
+
+            a = first_place(part.start // PAGE, part.stop // PAGE, lambda k: self.range.before(time_of(k)))
+            b = first_place(a, part.stop // PAGE, lambda k: not self.range.after(time_of(k)))
+        return Range(part.path, a * PAGE, b * PAGE)
 
     def _pages(self, part: Range) -> Iterator[bytes]:
         if part.stop >= 0:
@@ -131,6 +168,17 @@ class AxivitySource(DataSource):
         return AxivityReader(self.options)
 
 
+def between(pages: DataFrame, start: str, end: str, margin_seconds: float = 60) -> DataFrame:
+    """The pages of AxivitySource whose samples may lie from start to end (device times), and those within a margin of them.
+
+    The first page's samples are timed without the page before it; with a margin it lies outside the range.
+    """
+    at = lambda text: F.unix_micros(F.lit(text).cast("timestamp_ntz").cast("timestamp"))
+    ends = pages.sparkSession.range(1).select(at(start).alias("a"), at(end).alias("b")).first()
+    margin = int(margin_seconds * 1e6)
+    return pages.where((F.col("time_us") >= ends["a"] - margin) & (F.col("time_us") <= ends["b"] + margin))
+
+
 def samples(pages: DataFrame, shift_minutes: int = 0) -> DataFrame:
     """path, t (device time), x, y, z, temp of every sample of AxivitySource's pages.
 
@@ -152,3 +200,4 @@ def samples(pages: DataFrame, shift_minutes: int = 0) -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(AxivitySource)
+    allow_pushdown(spark)

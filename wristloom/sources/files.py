@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..errors import UnsupportedFormat
 
+#: What the error of a file starts with that a source cannot go on with; errors of single pages do not.
+FAILED = "failed: "
 FORMATS = {".cwa": "axivity", ".bin": "geneactiv", ".gt3x": "actigraph", ".csv": "csv"}
 COMPRESSIONS = (".gz", ".zip", ".bz2", ".xz")
 

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import zoned_instant, zoned_text
 from .files import file_system
+from .npy import read_npy, write_npy  # noqa: F401  beside the other sinks
 
 # ---------------------------------------------------------------- sources
 
@@ -107,46 +104,11 @@ def write_raw_csv(samples: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("compression", "gzip").option("header", True).csv(path)
 
 
-NPY = np.dtype([("time", "<i8"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4")])
-
-
-def write_npy(samples: DataFrame, folder: str, key: str) -> DataFrame:
-    """One gzipped .npy file per recording and day, of (time in ns, x, y, z); returns key, day, file, n.
-
-    A day of 100 Hz samples, 170 MB, is the most that a task holds.  folder is a path or URI that executors can write.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        files, root = file_system(folder)
-        files.create_dir(root, recursive=True)
-        pdf = pdf.sort_values("t")
-        rows = np.zeros(len(pdf), NPY)
-        rows["time"] = pdf["t"].to_numpy("datetime64[ns]").astype(np.int64)
-        for a in "xyz":
-            rows[a] = pdf[a]
-        plain = io.BytesIO()
-        np.save(plain, rows)
-        name = f"{pdf[key].iloc[0]}-{pdf['day'].iloc[0]}.npy.gz"
-        with files.open_output_stream(f"{root}/{name}", compression=None) as f:
-            f.write(gzip.compress(plain.getvalue()))
-        return pd.DataFrame({key: pdf[key].head(1), "day": pdf["day"].head(1), "file": [name], "n": [len(pdf)]})
-
-    kind = samples.schema[key].dataType.simpleString()
-    days = samples.select(key, F.to_date("t").cast("string").alias("day"), "t", "x", "y", "z")
-    return days.groupBy(key, "day").applyInPandas(one, f"{key} {kind}, day string, file string, n long")
-
-
-def read_npy(path: str) -> np.ndarray:
-    files, name = file_system(path)
-    with files.open_input_stream(name, compression=None) as f:
-        return np.load(io.BytesIO(gzip.decompress(f.read())))
-
-
-def html_table(df: DataFrame, title: str, most_rows: int = 10_000) -> Iterator[str]:
-    """Lines of an HTML page of an aggregated table, of at most most_rows rows."""
+def html_table(df: DataFrame, title: str) -> Iterator[str]:
+    """Lines of an HTML page of a table, whose rows come one partition after the other."""
     yield f"<html><head><title>{title}</title></head><body><table>"
     yield "<tr>" + "".join(f"<th>{c}</th>" for c in df.columns) + "</tr>"
-    for row in df.limit(most_rows).collect():
+    for row in df.toLocalIterator():
         yield "<tr>" + "".join(f"<td>{v}</td>" for v in row) + "</tr>"
     yield "</table></body></html>"
 

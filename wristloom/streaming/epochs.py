@@ -49,10 +49,21 @@ def read_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder)
 
 
-def drained(stream: DataFrame, label: str) -> DataFrame:
+#: The state store that transformWithState needs (rocksdb=True).
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drained(stream: DataFrame, label: str, rocksdb: bool = False) -> DataFrame:
     """All that a stream gives for what there is now, written exactly once to the shared folder and read back."""
     spark = stream.sparkSession
     path = shared_path(spark, label)
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE[0], None)
+    if rocksdb:
+        spark.conf.set(*STORE)
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if rocksdb:
+            spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
     return spark.read.schema(stream.schema).parquet(path)
