@@ -34,6 +34,8 @@ MARK = "▁"
 UNKNOWN = 1e-7
 #: A word's probability below this in some language is summed anew in logarithms: parts of it may lie below the least double.
 FAINT = 1e-250
+#: Letters of a word up to which that is tried first; longer ones are nearly always as faint.
+SHORT = 40
 
 
 @lru_cache
@@ -143,7 +145,9 @@ def log_chances(words: list[str], trie: Trie, p: np.ndarray, cells: int = 1 << 2
             yield (own := [rows[k] for k in part]), *trie.segments([words[k] for k in own])
 
     faint: list[int] = []
-    for own, lengths, segments in each(list(range(len(words)))):
+    short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+    faint += [k for k, w in enumerate(words) if len(w) > SHORT]
+    for own, lengths, segments in each(short):
         chance = forward(lengths, segments, p)[np.arange(len(own)), lengths]
         low = (chance < FAINT).any(axis=1)
         out[own] = np.log(np.where(low[:, None], 1, chance))
