@@ -12,11 +12,11 @@ The same gram says which windows are sorted together:
 1. Documents are dealt into buckets of a fixed number.  Each bucket sends every gram it holds once.  A text that an earlier
    document has as a whole is known by its hashes: it goes, and takes no part in the rest.
 2. Grams in two documents or more go back to the buckets, which cut those windows out: a run of windows with the same gram
-   is one piece of text.  Copies within a bucket are settled there.  Pieces are dealt by gram; if it is in more than
-   HOT documents (what follows a very common passage), each of its windows is a piece of its own, dealt by all its bytes.
+   is one piece of text.  Copies within a bucket are settled there.  Pieces are dealt by gram; if there are more than HOT of a
+   gram (what follows a very common passage, common words), each of its windows is a piece of its own, dealt by all its bytes.
 3. A task orders the suffixes of a gram's pieces, takes their longest previous factors, and sends back what goes.
 
-No key gets more than a row per bucket (windows, grams) or the pieces of HOT documents, however common a passage is.
+No key gets more than a row per bucket (windows, grams) or HOT pieces, however common a passage is.
 The buckets' texts are shuffled once, compressed, and read by all three steps.
 """
 
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import mapped, written
 
-#: Bytes of a gram; documents of a bucket; documents above which a gram's windows are dealt one by one.
-GRAM, BUCKET, HOT = 16, 2048, 1 << 15
-#: Positions that are hashed at once (below 2 ** PLACE), most windows of a piece, and suffixes that are sorted at once where a key has no more.
-CHUNK, PLACE, PIECE, SORTED = 1 << 17, 18, 4096, 1 << 17
+#: Bytes of a gram; documents of a bucket; pieces above which a gram's windows are dealt one by one.
+GRAM, BUCKET, HOT = 16, 2048, 1 << 16
+#: Positions that are hashed at once (below 2 ** PLACE), most windows of a piece, suffixes that are sorted at once, and rows of sorted keys taken at once.
+CHUNK, PLACE, PIECE, SORTED, ROWS = 1 << 17, 18, 4096, 1 << 17, 1 << 14
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -89,6 +89,16 @@ def window_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nda
     return np.concatenate(grams), np.concatenate(at), np.concatenate(size)
 
 
+def _window_hashes(data: np.ndarray, at: np.ndarray, length: int, at_once: int = 1 << 14) -> np.ndarray:
+    """A hash of the `length` bytes from each place on."""
+    powers = np.array([pow(_ODD, k, 1 << 64) for k in range(length)], dtype=np.uint64)
+    out = np.empty(len(at), dtype=np.uint64)
+    for a in range(0, len(at), at_once):
+        part = at[a : a + at_once]
+        out[a : a + at_once] = ((data[part[:, None] + np.arange(length)] + np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64)
+    return out ^ (out >> np.uint64(32))
+
+
 def suffix_order(suffixes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The order of rows of bytes, all of one length, and of documents where they are equal."""
     padded = np.zeros((len(suffixes), -(-suffixes.shape[1] // 8) * 8), dtype=np.uint8)
@@ -163,42 +173,42 @@ def _grams_task(length: int):
         order = np.lexsort((own, h))
         h, own = h[order], own[order]
         new = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])) if len(h) else np.zeros(0, dtype=bool)
-        gram, n = np.unique(h[new], return_counts=True)
+        gram, begin, n = np.unique(h[new], return_index=True, return_counts=True)
+        many = np.diff(np.append(np.flatnonzero(new)[begin], len(h))) if len(gram) else n
         bucket = np.full(len(gram), table.column("bucket")[0].as_py() if table.num_rows else 0, dtype=np.int32)
-        return pa.table({"gram": pa.array(gram.view(np.int64)), "bucket": pa.array(bucket), "n": pa.array(n.astype(np.int32))})
+        return pa.table({"gram": pa.array(gram.view(np.int64)), "bucket": pa.array(bucket), "n": pa.array(n.astype(np.int32)), "pieces": pa.array(many.astype(np.int32))})
 
     return task
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted batches as tables that hold all rows of their keys, the first column."""
+    """Sorted batches as tables of some ROWS rows that hold all rows of their keys, the first column."""
     held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         key = batch.column(0).to_numpy()
-        if held and held[-1].column(0)[-1].as_py() != key[0]:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
+        if rows >= ROWS and (key[0] != key[-1] or held[-1].column(0)[-1].as_py() != key[0]):
+            last = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
             yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
-            held = []
-        held.append(batch.slice(last))
+            held, rows, batch = [], 0, batch.slice(last)
+        held.append(batch)
+        rows += batch.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _shared_task(hot: int):
-    """Sorted (gram, bucket, n) to (bucket, value, kind) of the grams in two documents or more: their kind is hot or not."""
+    """Sorted (gram, bucket, n, pieces) to (bucket, value, kind) of the grams in two documents or more: their kind is hot or not."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches):
-            gram, bucket, n = (table.column(k).to_numpy() for k in range(3))
+            gram, bucket, n, pieces = (table.column(k).to_numpy() for k in range(4))
             begin = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-            docs = np.repeat(np.add.reduceat(n.astype(np.int64), begin), np.diff(np.append(begin, len(gram))))
+            docs, many = (np.repeat(np.add.reduceat(c.astype(np.int64), begin), np.diff(np.append(begin, len(gram)))) for c in (n, pieces))
             keep = docs > 1
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(gram[keep]), pa.array((docs[keep] > hot).astype(np.int8))], ["bucket", "value", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(gram[keep]), pa.array((many[keep] > hot).astype(np.int8))], ["bucket", "value", "kind"])
 
     return task
 
@@ -216,7 +226,6 @@ def _pieces_task(length: int):
 
     What an earlier document of the bucket has, and copies, come without bytes, neighbouring pieces as one: they go anyway.
     """
-    powers = np.array([pow(_ODD, k, 1 << 64) for k in range(length)], dtype=np.uint64)
 
     def task(table: pa.Table, marks: pa.Table) -> pa.Table:
         value, kind = marks.column("value").to_numpy(), marks.column("kind").to_numpy()
@@ -234,11 +243,7 @@ def _pieces_task(length: int):
         many = np.where(hot, n, 1)
         part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         h, at, n, hot = np.repeat(h, many), np.repeat(at, many) + part, np.repeat(np.where(hot, 1, n), many), np.repeat(hot, many)
-        for a in range(0, len(h), CHUNK):
-            own = a + np.flatnonzero(hot[a : a + CHUNK])
-            if len(own):
-                key = ((data[at[own][:, None] + np.arange(length)].astype(np.uint64) + np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64)
-                h[own] = key ^ (key >> np.uint64(32))
+        h[hot] = _window_hashes(data, at[hot], length)
         inner = np.searchsorted(ends, at, side="right")
         start, ids = at - np.concatenate([[0], ends[:-1]])[inner], doc[inner]
         raw, first, pieces = data.tobytes(), {}, []
@@ -279,6 +284,25 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin, np.flatnonzero(flags & ~set_after) + 1
 
 
+def _repeated(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Whether the longest previous factor of the suffixes at places of data is `length` bytes.
+
+    More suffixes than SORTED are taken in parts, by a hash of those bytes: equal ones are in one part.
+    """
+    if len(at) <= SORTED:
+        return longest_previous_factors(data[at[:, None] + np.arange(length)], doc, length) >= length
+    h = _window_hashes(data, at, length)
+    order = np.argsort(h)
+    edges, out, a = np.append(np.flatnonzero(np.diff(h[order])) + 1, len(h)), np.zeros(len(h), dtype=bool), 0
+    while a < len(h):
+        # up to the last edge within SORTED, or the first one
+        b = int(edges[max(np.searchsorted(edges, a + SORTED, side="right") - 1, np.searchsorted(edges, a, side="right"))])
+        part = order[a:b]
+        out[part] = longest_previous_factors(data[at[part][:, None] + np.arange(length)], doc[part], length) >= length
+        a = b
+    return out
+
+
 def _previous_task(length: int):
     """PIECES sorted by key, piece and doc to what goes: (bucket, row, start, stop), in bytes of a text."""
 
@@ -311,9 +335,7 @@ def _previous_task(length: int):
             part = rows[a:b]
             windows = np.repeat(part, n[part])
             within = np.arange(len(windows)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-            suffixes = data[(offsets[windows] + within)[:, None] + np.arange(length)]
-            factor = longest_previous_factors(suffixes, doc[windows], length)
-            begin, stop = _runs(factor >= length, windows)
+            begin, stop = _runs(_repeated(data, offsets[windows] + within, doc[windows], length), windows)
             # the same for all rows of the piece's least document
             lo, hi = np.searchsorted(of[least], of[windows[begin]]), np.searchsorted(of[least], of[windows[begin]], side="right")
             each = np.repeat(np.arange(len(begin)), hi - lo)
@@ -388,7 +410,7 @@ def _cut(docs: DataFrame, length: int, hot: int, task, schema: str) -> DataFrame
     hashed = wide.where("doc_id IS NOT NULL").select("bucket", "own", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     first = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = written(hashed.join(first, ["h1", "h2"]).where("doc_id > first").select("bucket", "own"), "whole-copies")
-    grams = dealt.groupBy("bucket").cogroup(copies.groupBy("bucket")).applyInArrow(_grams_task(length), "gram long, bucket int, n int")
+    grams = dealt.groupBy("bucket").cogroup(copies.groupBy("bucket")).applyInArrow(_grams_task(length), "gram long, bucket int, n int, pieces int")
     shared = mapped(grams.repartition("gram").sortWithinPartitions("gram"), _shared_task(hot), "bucket int, value long, kind tinyint")
     marks = shared.union(copies.select("bucket", "own", F.lit(COPY).cast("tinyint")))
     pieces = dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_pieces_task(length), PIECES)
