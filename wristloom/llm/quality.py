@@ -7,6 +7,9 @@ adding their counts, so they are built with map-side partial sums, and the sketc
 all rows are sums of those of its sources.  They hold whole data and no sample, and the same rows give the
 same thresholds in any order.
 
+A small group knows little of its own: to its sketch is added that of its language, scaled to PRIOR documents, and to the
+language's, before, that of all rows.  So limits move smoothly from the language's to the group's as the group grows.
+
 A document fails where a statistic lies more than so many interquartile ranges of its group beyond the group's quartile.
 Few words scatter more: in a document shorter than the group's median the room grows with the square root of
 that ratio, as a mean's error does.  No fixed number enters a threshold but these multiples.
@@ -22,15 +25,18 @@ from .common import words, written
 #: rule: (statistic, direction, multiple of the interquartile range)
 RULES = {
     "marks": ("marks", "above", 6),  # what is no letter, per 1000 characters of words
+    "symbols": ("symbols", "above", 8),  # signs of markup and code, per 1000 characters of words
     "long_words": ("mean", "above", 5),  # 100 * mean word length
     "short_words": ("mean", "below", 3),
 }
 #: What is sketched: the statistics of RULES, and the words of a document.
-SKETCHED = ("marks", "mean", "n_words")
+SKETCHED = ("marks", "symbols", "mean", "n_words")
+#: Those that have limits on their values.
+JUDGED = ("marks", "symbols", "mean")
 #: A group's limits: quartiles as bucket edges, the range between them from edge to edge, and the median of words.
-LIMITS = ("marks_q1", "marks_q3", "marks_range", "mean_q1", "mean_q3", "mean_range", "median_words")
-#: A sketch of fewer documents gives way to that of its language, and then of all.
-LEAST_DOCUMENTS = 200
+LIMITS = (*(f"{s}_{c}" for s in JUDGED for c in ("q1", "q3", "range")), "median_words")
+#: Documents that a language's sketch counts for in that of each of its sources, and that of all rows in a language's.
+PRIOR = 200
 #: Bits of a value that its bucket keeps.
 BITS = 8
 WINDOW = 5
@@ -91,6 +97,7 @@ def _values(q: str = "_llm_q") -> dict[str, Column]:
     """Whole-number values of what is sketched."""
     return {
         "marks": F.expr(f"1000 * ({q}.word_chars - {q}.letters) div greatest({q}.word_chars, 1)"),
+        "symbols": F.expr(f"1000 * {q}.n_symbols div greatest({q}.word_chars, 1)"),
         "mean": F.expr(f"100 * {q}.word_chars div greatest({q}.n_words, 1)"),
         "n_words": F.col(f"{q}.n_words"),
     }
@@ -113,26 +120,34 @@ def sketches(stats: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "p.stat", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(lang, source) and LIMITS, from the finest sketch of at least `least` documents."""
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source) and LIMITS, from sketches that are filled up with `prior` documents of the level above.
+
+    Counts are whole numbers, scaled so that no division is needed: those of all rows as they are; of a language by the number of
+    all rows; and of a source by the total of its language.
+    """
     fine = written(sketch, "sketches")
-    levels = {"g_source": ["lang", "source"], "g_lang": ["lang"], "g_all": []}
-    found = None
-    for level, keys in levels.items():
-        merged = fine.groupBy(*keys, "stat", "bucket").agg(F.sum("n").alias("n"))
-        by = Window.partitionBy(*keys, "stat")
-        run = merged.withColumn("total", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy("bucket")))
-        part = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
-        cuts = run.groupBy(*keys, "stat").agg(F.max("total").alias("total"), part(25).alias("q1"), part(50).alias("q2"), part(75).alias("q3"))
-        cuts = cuts.withColumn("range", F.col("q3") + _width(F.col("q3")) - F.col("q1"))
-        of = lambda stat, c: F.max(F.when(F.col("stat") == stat, F.col(c)))
-        limits = [of(s, c).alias(f"{s}_{c}") for s in ("marks", "mean") for c in ("q1", "q3", "range")] + [of("n_words", "q2").alias("median_words")]
-        row = cuts.groupBy(*keys).agg(F.max("total").alias("n"), *limits)
-        row = row.select(*keys, F.when(F.col("n") >= least if keys else F.lit(True), F.struct(*LIMITS)).alias(level))
-        # the last level is one row, whose limits stand on a constant key
-        found = row if found is None else found.join(row, keys) if keys else found.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one")
-    best = F.coalesce(*levels)
-    return found.select("lang", "source", *(best[c].alias(c) for c in LIMITS))
+    whole = lambda c: (F.col(c) if isinstance(c, str) else c).cast("decimal(38,0)")
+    # at most some 128 buckets for each power of two
+    every = fine.groupBy("stat", "bucket").agg(whole(F.sum("n")).alias("n_all"))
+    total = fine.where(F.col("stat") == SKETCHED[0]).agg(whole(F.sum("n")).alias("docs"))
+    every = every.crossJoin(F.broadcast(total))
+    in_lang = fine.groupBy("lang", "stat", "bucket").agg(F.sum("n").alias("n"))
+    langs = fine.where(F.col("stat") == SKETCHED[0]).groupBy("lang").agg(whole(F.sum("n")).alias("n_lang"))
+    lang = langs.join(F.broadcast(every)).join(in_lang, ["lang", "stat", "bucket"], "left")
+    own = whole(F.coalesce("n", F.lit(0)))
+    lang = lang.select("lang", "stat", "bucket", (own * F.col("docs") + prior * F.col("n_all")).cast("decimal(38,0)").alias("l"), ((F.col("n_lang") + prior) * F.col("docs")).cast("decimal(38,0)").alias("l_total"))
+    groups = fine.where(F.col("stat") == SKETCHED[0]).groupBy("lang", "source").agg(whole(F.sum("n")).alias("n_group"))
+    cells = groups.join(lang, "lang").join(fine, ["lang", "source", "stat", "bucket"], "left")
+    cells = cells.withColumns({"g": (own * F.col("l_total") + prior * F.col("l")).cast("decimal(38,0)"), "total": ((F.col("n_group") + prior) * F.col("l_total")).cast("decimal(38,0)")})
+    by = Window.partitionBy("lang", "source", "stat").orderBy("bucket")
+    run = cells.withColumn("upto", whole(F.sum("g").over(by)))
+    part = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
+    cuts = run.groupBy("lang", "source", "stat").agg(part(25).alias("q1"), part(50).alias("q2"), part(75).alias("q3"))
+    cuts = cuts.withColumn("range", F.col("q3") + _width(F.col("q3")) - F.col("q1"))
+    of = lambda stat, c: F.max(F.when(F.col("stat") == stat, F.col(c)))
+    limits = [of(s, c).alias(f"{s}_{c}") for s in JUDGED for c in ("q1", "q3", "range")] + [of("n_words", "q2").alias("median_words")]
+    return cuts.groupBy("lang", "source").agg(*limits)
 
 
 def _passes(value: str, n_words: str, rule: str, limit: str = "") -> str:
@@ -180,28 +195,13 @@ def keep_good(docs: DataFrame) -> DataFrame:
     return judged(stats).where("_llm_kept").select("_llm_row.*")
 
 
-def quality_sql(least: int = LEAST_DOCUMENTS) -> str:
+def quality_sql(prior: int = PRIOR) -> str:
     """The same in DuckDB SQL."""
     space = r"[\x20\x09-\x0D]"
     width = lambda v: f"(1::BIGINT << greatest(length(bin({v})) - {BITS}, 0))"
     of = lambda stat, c: f"max({c}) FILTER (WHERE stat = '{stat}')"
-    limits = ", ".join([f"{of(s, c)} AS {s}_{c}" for s in ("marks", "mean") for c in ("q1", "q3", "range")] + [f"{of('n_words', 'q2')} AS median_words"])
-    pick = ", ".join(f"CASE WHEN a.n >= {least} THEN a.{c} WHEN b.n >= {least} THEN b.{c} ELSE c.{c} END AS {c}" for c in LIMITS)
+    limits = ", ".join([f"{of(s, c)} AS {s}_{c}" for s in JUDGED for c in ("q1", "q3", "range")] + [f"{of('n_words', 'q2')} AS median_words"])
     fine = " AND ".join(_passes(f"v_{stat}", "n_words", rule) for rule, (stat, _, _) in RULES.items())
-
-    def level(name: str, keys: str) -> str:
-        group = f"{keys}, " if keys else ""
-        return f"""
-    {name}_run AS (
-      SELECT {group}stat, bucket, sum(n) OVER (PARTITION BY {group}stat) AS total, sum(n) OVER (PARTITION BY {group}stat ORDER BY bucket) AS upto
-      FROM (SELECT {group}stat, bucket, sum(n) AS n FROM sketch GROUP BY ALL)),
-    {name} AS (
-      SELECT {group}max(total) AS n, {limits} FROM (
-        SELECT *, q3 + {width("q3")} - q1 AS range FROM (
-          SELECT {group}stat, max(total) AS total, min(bucket) FILTER (WHERE 100 * upto >= 25 * total) AS q1,
-                 min(bucket) FILTER (WHERE 100 * upto >= 50 * total) AS q2, min(bucket) FILTER (WHERE 100 * upto >= 75 * total) AS q3 FROM {name}_run GROUP BY ALL))
-      {"GROUP BY ALL" if keys else ""})"""
-
     return f"""
     WITH cut AS (
       SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
@@ -219,11 +219,25 @@ def quality_sql(least: int = LEAST_DOCUMENTS) -> str:
     stats AS (
       SELECT p.*, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words FROM parts p LEFT JOIN covered USING (rid)),
     vals AS (
-      SELECT *, 1000 * (word_chars - letters) // greatest(word_chars, 1) AS v_marks, 100 * word_chars // greatest(n_words, 1) AS v_mean, n_words AS v_n_words,
+      SELECT *, 1000 * (word_chars - letters) // greatest(word_chars, 1) AS v_marks, 1000 * n_symbols // greatest(word_chars, 1) AS v_symbols, 100 * word_chars // greatest(n_words, 1) AS v_mean, n_words AS v_n_words,
              (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM stats),
     long AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS stat, v_{s} AS v FROM vals" for s in SKETCHED)}),
     sketch AS (SELECT lang, source, stat, v - v % {width("v")} AS bucket, count(*) AS n FROM long GROUP BY ALL),
-    {level("a", "lang, source")}, {level("b", "lang")}, {level("c", "")},
-    lim AS (SELECT a.lang, a.source, {pick} FROM a JOIN b USING (lang), c)
+    every AS (SELECT stat, bucket, sum(n)::HUGEINT AS n_all, (SELECT sum(n) FROM sketch WHERE stat = '{SKETCHED[0]}')::HUGEINT AS docs FROM sketch GROUP BY stat, bucket),
+    langs AS (SELECT lang, sum(n)::HUGEINT AS n_lang FROM sketch WHERE stat = '{SKETCHED[0]}' GROUP BY lang),
+    in_lang AS (SELECT lang, stat, bucket, sum(n)::HUGEINT AS n FROM sketch GROUP BY ALL),
+    filled AS (
+      SELECT lang, stat, bucket, coalesce(n, 0) * docs + {prior} * n_all AS l, (n_lang + {prior}) * docs AS l_total
+      FROM langs CROSS JOIN every LEFT JOIN in_lang USING (lang, stat, bucket)),
+    groups AS (SELECT lang, source, sum(n)::HUGEINT AS n_group FROM sketch WHERE stat = '{SKETCHED[0]}' GROUP BY ALL),
+    cells AS (
+      SELECT lang, source, stat, bucket, coalesce(n, 0)::HUGEINT * l_total + {prior} * l AS g, (n_group + {prior}) * l_total AS total
+      FROM groups JOIN filled USING (lang) LEFT JOIN sketch USING (lang, source, stat, bucket)),
+    run AS (SELECT *, sum(g) OVER (PARTITION BY lang, source, stat ORDER BY bucket) AS upto FROM cells),
+    cuts AS (
+      SELECT *, q3 + {width("q3")} - q1 AS range FROM (
+        SELECT lang, source, stat, min(bucket) FILTER (WHERE 100 * upto >= 25 * total) AS q1, min(bucket) FILTER (WHERE 100 * upto >= 50 * total) AS q2,
+               min(bucket) FILTER (WHERE 100 * upto >= 75 * total) AS q3 FROM run GROUP BY ALL)),
+    lim AS (SELECT lang, source, {limits} FROM cuts GROUP BY ALL)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {fine}) AS kept
     FROM vals JOIN lim USING (lang, source)"""
