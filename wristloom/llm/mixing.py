@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Token counts are summed to cells (source, language, topic).  The cells' weights are raked: scaled to
-the target of each source, then of each language, then of each topic, and again, until a fixed number of
-rounds is done.  A document is kept with the probability that turns its cell's tokens into the cell's raked
+the target of each source, then of each language, then of each topic, and again, for ROUNDS at least and until
+all margins are within TOLERANCE of their targets.  Targets are given as shares, or are tempered present shares.  A document is kept with the probability that turns its cell's tokens into the cell's raked
 weight: a common rate times weight over present share.  The rate is the largest, up to RATE, for which no
 probability is above 1, so none is cut and the expected margins are the raked ones.  Chance comes from a
 hash of the doc_id, so a rerun keeps the same documents.
@@ -19,6 +19,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Targets: a value's share is its present share to this power, normalised; below 1, large values give way.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS = 12
+#: Largest distance of a margin from its target that is left, and rounds after which raking ends all the same: targets may contradict each other where cells are empty.
+TOLERANCE, MOST_ROUNDS = 1e-6, 300
 #: The share of tokens that is kept, if no cell would have to give more than it has.
 RATE = 0.6
 #: What a topic is known by, first match first; others are prose.
@@ -39,26 +41,43 @@ def _keyed(docs: DataFrame, keep: list) -> DataFrame:
     )
 
 
-def rake(cells: DataFrame, temper: dict[str, float] | None = None, rounds: int = ROUNDS, at_once: int = 3) -> DataFrame:
-    """cells (source, lang, topic, tokens) with a weight whose margins are the tempered targets.
+def rake(cells: DataFrame, temper: dict[str, float] | None = None, rounds: int = ROUNDS, at_once: int = 3, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (source, lang, topic, tokens) with a weight whose margins are the targets.
 
-    Weights sum to 1 over all cells.  Cells without tokens keep weight 0.
+    targets has, for each dimension that it names, a table (that dimension, share): shares are normalised over the values that have
+    tokens, and values without a share get weight 0.  Other dimensions have tempered present shares.  Weights sum to 1 over all cells.
+    Cells without tokens keep weight 0.
     """
-    temper = temper or TEMPER
+    temper, targets = temper or TEMPER, targets or {}
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
-        values = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").withColumn("t", F.pow(F.col("t").cast("double"), F.lit(temper[d])))
+        values = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0")
+        if d in targets:
+            given = targets[d].where("share > 0").groupBy(F.coalesce(d, F.lit("")).alias(d)).agg(F.sum("share").cast("double").alias("share"))
+            values = values.join(given, d).withColumn("t", F.col("share")).drop("share")
+        else:
+            values = values.withColumn("t", F.pow(F.col("t").cast("double"), F.lit(temper[d])))
         values = values.withColumn(f"target_{d}", F.col("t") / F.sum("t").over(Window.partitionBy(F.lit(0)))).drop("t")
         now = now.join(values, d, "left")
-    for k in range(rounds):
+    # a value without a target gives nothing
+    now = now.withColumns({f"target_{d}": F.coalesce(f"target_{d}", F.lit(0.0)) for d in DIMENSIONS})
+    for k in range(max(rounds, MOST_ROUNDS)):
         for d in DIMENSIONS:
             total = F.sum("weight").over(Window.partitionBy(d))
             now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{d}") / total).otherwise(0.0))
         if k % at_once == at_once - 1 or k == rounds - 1:
             now = written(now, "raked")
+            if k >= rounds - 1 and _distance(now) <= tolerance:
+                break
     return now.drop(*(f"target_{d}" for d in DIMENSIONS))
 
 
+def _distance(cells: DataFrame) -> float:
+    """The largest distance of a margin from its target."""
+    far = [cells.groupBy(d).agg(F.abs(F.sum("weight") - F.max(f"target_{d}")).alias("far")).select("far") for d in DIMENSIONS]
+    return far[0].union(far[1]).union(far[2]).agg(F.max("far")).first()[0] or 0.0
+
+
 def _sampled(rows: DataFrame, rate: float, **how) -> DataFrame:
     """rows, as _keyed gives them, with _llm_weight, _llm_p and _llm_kept; rows must be cheap to read twice."""
     names = {f"_llm_{d}": d for d in DIMENSIONS}
@@ -84,7 +103,7 @@ def chance(doc_id: Column) -> Column:
 def mix(docs: DataFrame, rate: float = RATE, **how) -> DataFrame:
     """One row per row of docs (doc_id, text, source, lang): its cell, tokens, weight, probability and sampled.
 
-    The expected tokens of every source, language and topic are in proportion to its target.
+    The expected tokens of every source, language and topic are in proportion to its target (how: what rake() takes).
     Tokens are words at ASCII white space.  A null source or lang is the empty string's; a null text is prose of
     no tokens and is kept, as are all cells without tokens.  Rows of one doc_id share their fate in a cell;
     no rows give none; other columns are not read.
