@@ -4,7 +4,7 @@ The patterns find emails, IPv4 addresses, payment cards (Luhn) and international
 field labels the tokens of a text (runs without white space) with B-/I- tags of the same four kinds from
 their shapes, their neighbours' shapes and checks that a shape cannot make (Luhn, octets).  It adds
 spans where no base span is: emails spelled with [at] and [dot], national phone numbers, cards with
-dots between their groups, IPv6 addresses.
+dots between their groups, IPv6 addresses.  Account numbers are no cards, and bare numbers no phones without a word that says so.
 
 Every token of every text is decoded.  A token's scores are its own, which are kept for each distinct token, and those of
 its neighbours' kinds, which are tables over few kinds; so a batch of texts is scored and decoded by array operations.
@@ -86,7 +86,7 @@ _RUNS = re.compile(r"[A-Z]+|[^\W\d_A-Z]+|[0-9]+")
 #: Ends of host names that a spelled-out address has.
 _TOPS = frozenset(("com", "org", "net", "edu", "gov", "info"))
 _CUES = {
-    "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone",
+    "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "ring": "phone", "telefon": "phone", "mobil": "phone", "dial": "phone",
     "email": "email", "mail": "email", "contact": "email", "card": "card", "visa": "card", "ip": "ip", "host": "ip",
 }
 
@@ -166,6 +166,8 @@ TEMPLATES = (
     "please write to {email} for more of it", "{email} is where we read it", "my address is {email}, thanks",
     "the server {ip} was down again", "ping {ip} and wait", "we saw {ip} in the log of that day",
     "paid by {card} on that day", "card {card} was declined", "she gave {card} to the clerk",
+    "tel. {phone} or by mail", "ring me on {phone} at noon", "phone: {phone}", "Telefon {phone} und so", "my mobile is {phone} now", "dial {phone} for help", "ring {phone} or come by", "Tel: {phone} {phone}",
+    "contact: {email}", "mail {email} or tel. {phone}", "account {no} was used", "tel. is out and so is {no}", "call at {no} or so", "the {no} {no} {no} of them",
     "call {phone} after lunch", "tel {phone} or come by", "you reach us at {phone} until noon", "{phone} is my number",
     "use {phone} {ip} for that", "{card} {email} and so on", "{ip} {email} in the log", "write {email} {card} or call {phone} {email} of",
     "take {phone} {phone} or {card} {card} with", "it was {no} when we came", "version {no} of the license", "under {no} and other terms", "see {no} for that",
@@ -210,6 +212,7 @@ def _entity(kind: str, r: _Draw) -> str:
             f"{r.name()} {at} {r.name()} {dot} {r.one('com', 'org', 'net')}",
             f"{r.name()}{at}{r.name()}{dot}{r.one('com', 'org', 'net')}",
             f"{r.name()} {at} {r.name()}.{r.one('com', 'org', 'net')}",
+            f"{r.name()}{at}{r.name()}.{r.one('com', 'de', 'fr', 'es', 'co.uk', 'io', 'eu')}",
             f"{r.name()} {at.upper()} {r.name()} {dot.upper()} {r.one('com', 'org', 'net')}",
             f"{r.name()} at {r.name()} dot {r.one('com', 'org', 'net')}",
         )
@@ -220,6 +223,10 @@ def _entity(kind: str, r: _Draw) -> str:
         d = _card_digits(r)
         return r.one("", " ", "-", ".").join((d[:4], d[4:8], d[8:12], d[12:]))
     a, b, c = r.digits(3), r.digits(3), r.digits(4)
+    if r.below(3) == 0:
+        # national numbers: an area code that begins with 0, and one or two groups
+        area = "0" + r.digits(2 + r.below(3))
+        return r.one(f"{area} {r.digits(6 + r.below(3))}", f"{area} {r.digits(3)} {r.digits(4)}", f"{area}/{r.digits(7)}", f"({area}) {r.digits(6)}", f"{area}-{r.digits(7)}", f"{area} {r.digits(2)} {r.digits(2)} {r.digits(2)}")
     return r.one(f"+{r.digits(1)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{r.digits(2)} {r.digits(2)} {r.digits(8)}", f"1-{a}-{b}-{c}")
 
 
@@ -230,6 +237,7 @@ def _decoy(r: _Draw) -> str:
         "".join(r.one(*"0123456789abcdef") for _ in range(40)), f"{r.digits(2)}:{r.digits(2)}", f"{r.digits(2)}:{r.digits(2)}:{r.digits(2)}",
         f"{r.digits(4)}-{r.digits(2)}-{r.digits(2)}", f"${r.digits(3)}.{r.digits(2)}", f"{r.below(100)}%", f"CC BY-NC {r.below(5)}.0",
         long if not luhn(long) else long[:-1] + str((int(long[-1]) + 1) % 10), f"{300 + r.below(600)}.{r.below(999)}.{r.below(999)}.{300 + r.below(600)}",
+        " ".join((f"{r.one('DE', 'GB', 'FR')}{r.digits(2)}", *(r.digits(4) for _ in range(4)), r.digits(2))), f"{r.one('DE', 'ES')}{r.digits(20)}",
         r.digits(8), f"{r.digits(1)},{r.digits(3)}", f"{r.name()}{r.digits(2)}", f"@{r.name()}", f"{r.digits(3)} {r.digits(3)}", f"{r.digits(2)}/{r.digits(2)}/{r.digits(4)}",
     )
 
