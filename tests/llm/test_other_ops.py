@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +320,41 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_no_word_underflows():
+    """Probabilities of single letters so small that a plain product of forty lies below the least double."""
+    trie = langid.Trie(["a", "b"])
+    p = np.array([[1e-9, 2e-9], [3e-9, 1e-9], [langid.UNKNOWN] * 2])
+    model = langid.Model(["x", "y"], ["a", "b"], p)
+    for n in (1, 30, 40, 41, 400):
+        got = langid.log_chances(["a" * n, "ab" * n], trie, p)
+        assert np.allclose(got, [n * np.log(p[0]), n * np.log(p[0] * p[1])])
+    tiny = langid.Model(["x", "y"], ["a", "b"], p * 1e-290)
+    for m in (model, tiny):
+        for lang, score in langid.Scorer(m).texts(["a" * 40, "b" * 40, "a" * 39 + " b" * 3, "ab" * 300]):
+            assert lang in ("x", "y") and 0 <= score <= 1
+    assert langid.Scorer(model).texts(["a" * 40])[0][0] == "y" and langid.Scorer(model).texts(["b" * 40])[0][0] == "x"
+
+
+def test_fitting_and_scoring_cut_the_same_words(spark):
+    text = "İstanbul ÇA Straße ǅ ΑΣ \u0130\u0307 naïve² x_y"
+    df = spark.createDataFrame([(k, text, "tr", "s", 0) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.fit(df)
+    assert model.languages == ["tr"]
+    counts = next(langid._word_counts(iter([pa.RecordBatch.from_arrays([pa.array(["tr"]), pa.array([text])], ["lang", "text"])])))
+    assert sorted(counts.column(1).to_pylist()) == sorted(set(langid.words_of(text)))
+
+
+def test_mixing_meets_given_targets(spark):
+    rows = [(k, "word " * (5 + k % 40), ("en", "de", "fr")[k % 3], ("web", "books", "code")[k % 7 % 3], 0) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    source = spark.createDataFrame([("web", 1.0), ("books", 3.0), ("none", 5.0)], "source string, share double")
+    lang = spark.createDataFrame([("en", 0.5), ("de", 0.3), ("fr", 0.2)], "lang string, share double")
+    got = mixing.mix(df, targets={"source": source, "lang": lang}).toPandas()
+    expected = (got["n_tokens"] * got["probability"]).groupby([got["source"], got["lang"]]).sum()
+    total = expected.sum()
+    by_source, by_lang = (expected.groupby(level=k).sum() / total for k in (0, 1))
+    assert by_source["web"] == pytest.approx(0.25, abs=1e-5) and by_source["books"] == pytest.approx(0.75, abs=1e-5) and by_source["code"] == 0
+    assert by_lang["en"] == pytest.approx(0.5, abs=1e-5) and by_lang["fr"] == pytest.approx(0.2, abs=1e-5)
+    assert not got[got["source"] == "code"]["sampled"].any()

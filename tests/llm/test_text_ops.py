@@ -466,7 +466,7 @@ def test_limits_come_from_sketches(spark):
         marks = int(r.integers(0, 3 if k % 2 else 9))
         rows.append((k, " ".join(["word"] * 30 + ["#" * (1 + int(x)) for x in r.integers(0, 3, marks)]), "en", "ab"[k % 2], 0))
     stats = quality.statistics(spark.createDataFrame(rows, SCHEMA), ["lang", "source"])
-    got = {r["source"]: r for r in quality.thresholds(quality.sketches(stats)).collect()}
+    got = {r["source"]: r for r in quality.thresholds(quality.sketches(stats), prior=0).collect()}
     for source in "ab":
         values = sorted(1000 * (len("".join(t.split())) - 120) // len("".join(t.split())) for _, t, _, s, _ in rows if s == source)
         for q, c in ((0.25, "marks_q1"), (0.75, "marks_q3")):
@@ -475,6 +475,50 @@ def test_limits_come_from_sketches(spark):
     assert got["a"]["marks_range"] > got["b"]["marks_range"]
 
 
+def test_small_groups_lean_on_their_language(spark):
+    """Limits are quartiles of a group's counts and those of the levels above, scaled to `prior` documents each."""
+    r = np.random.default_rng(8)
+    rows, values = [], defaultdict(Counter)
+    for k in range(900):
+        lang = ("en", "de")[k % 3 == 0]
+        source = ("big", "small")[k % 40 == 0]
+        n = int(r.integers(20, 60)) + 40 * (lang == "de") + 60 * (source == "small")
+        rows.append((k, " ".join(["word"] * n), lang, source, 0))
+        values[lang, source][n] += 1
+    stats = quality.statistics(spark.createDataFrame(rows, SCHEMA), ["lang", "source"])
+    sketch = quality.sketches(stats)
+    for prior in (0, 30, 200, 10**6):
+        got = {(x["lang"], x["source"]): x["median_words"] for x in quality.thresholds(sketch, prior).collect()}
+        every = sum(values.values(), Counter())
+        for (lang, source), own in values.items():
+            of_lang = sum((c for (x, _), c in values.items() if x == lang), Counter())
+            n_lang, n_all = sum(of_lang.values()), sum(every.values())
+            up = {v: (of_lang[v] + prior * every[v] / n_all) / (n_lang + prior) for v in every}
+            share = {v: (own[v] + prior * up[v]) / (sum(own.values()) + prior) for v in every}
+            upto, want = 0.0, None
+            for v in sorted(share):
+                upto += share[v]
+                if upto >= 0.5 - 1e-12:
+                    want = v
+                    break
+            assert got[lang, source] == want, (prior, lang, source)
+    tiny = {(x["lang"], x["source"]): x["median_words"] for x in quality.thresholds(sketch, 0).collect()}
+    assert tiny["en", "small"] > tiny["en", "big"] + 30
+
+
+def test_symbols_decide_by_themselves(spark):
+    """A text with signs of markup fails among prose of many other marks, which keeps its own."""
+    r = np.random.default_rng(3)
+
+    def prose(left, right):
+        names = ["".join(chr(97 + int(c)) for c in r.integers(0, 26, 6)) for _ in range(40)]
+        return " ".join(f"{left}{w}{right}" if k % 4 == 0 else w for k, w in enumerate(names))
+
+    rows = [(k, prose("(", ")"), "en", "a", 0) for k in range(300)] + [(900, prose("#", "|"), "en", "a", 0)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] and not got[900]
+
+
 def brute_lines(docs, least_chars=40, least_docs=5):
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)
@@ -498,3 +542,38 @@ def test_line_rows(odd, empty):
     assert cleaned.columns == odd.columns
     assert Counter((r["doc_id"], r["text"] or "") for r in cleaned.collect()) == Counter((x[0], x[4]) for x in want)
     assert linededup.line_dedup(empty).count() == 0
+
+
+def test_field_finds_what_the_patterns_miss(spark):
+    crf = pii.fit(pii.labelled_table(spark))
+    found = {
+        "tel. 030 1234567 bitte": ("phone", "030 1234567"), "ring me on 0207 946 0958 after six": ("phone", "0207 946 0958"), "contact: jane(at)corp.de now": ("email", "jane(at)corp.de"),
+        "Telefon 089/1234567.": ("phone", "089/1234567"), "write to bob [at] corp [dot] com today": ("email", "bob [at] corp [dot] com"),
+    }
+    for text, want in found.items():
+        assert [(k, text[a:b]) for k, a, b in pii.field_spans([text], crf)[0]] == [want]
+    for text in ("IBAN DE89 3704 0044 0532 0130 00 here", "we sold 120 4567 of them", "in 1998 or 2004 there were 300 400 500", "paid 1,234 for 5678 items on 2020-01-02", "the number 0312 was out"):
+        assert pii.field_spans([text], crf)[0] == []
+
+
+def test_field_on_sentences_it_has_not_seen(spark):
+    """Precision and recall of entities on sentences of another seed than the training table's."""
+    crf = pii.fit(pii.labelled_table(spark))
+    hits = made = real = 0
+    for tokens, tags in pii.labelled_sentences(per_template=6, seed=12345):
+        text = " ".join(tokens)
+        starts = np.cumsum([0, *(len(t) + 1 for t in tokens)])
+        want, k = set(), 0
+        while k < len(tags):
+            if tags[k].startswith("B-"):
+                end = k + 1
+                while end < len(tags) and tags[end] == f"I-{tags[k][2:]}":
+                    end += 1
+                a, b = pii.core(text[starts[k] : starts[end] - 1])
+                want.add((tags[k][2:], int(starts[k]) + a, int(starts[k]) + b))
+                k = end
+            else:
+                k += 1
+        got = set(pii.field_spans([text], crf)[0])
+        hits, made, real = hits + len(got & want), made + len(got), real + len(want)
+    assert real > 200 and hits / real > 0.9 and hits / made > 0.9
