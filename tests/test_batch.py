@@ -136,3 +136,25 @@ def test_leave_one_participant_out(spark):
 def test_forest_weights_are_shares(spark):
     df = spark.createDataFrame([("a",)] * 30 + [("b",)] * 10, "y string")
     assert {(r["y"], r["weight"]) for r in forest.balanced(df, "y").distinct().collect()} == {("a", 10 / 30), ("b", 1.0)}
+
+
+def test_trees_of_an_undersampled_forest_see_as_much_of_every_label(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, "rare" if k < 120 else "often", float(rng.normal(3.0 if k < 120 else 0.0, 1)), float(rng.normal())) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k int, y string, f0 double, f1 double")
+    shares = []
+    for tree in range(4):
+        own = {r["y"]: (r["n"], r["w"]) for r in forest.tree_weights(df, "y", tree, ["k"]).groupBy("y").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+        assert 80 < own["rare"][1] < 165 and 80 < own["often"][1] < 165 and own["rare"][0] < 100  # drawn with repeats
+        shares.append(own)
+    assert len({str(s) for s in shares}) == 4  # each tree draws its own
+    again = forest.tree_weights(df.repartition(7), "y", 0, ["k"]).groupBy("y").agg(F.sum("weight").alias("w")).collect()
+    assert {r["y"]: r["w"] for r in again} == {y: w for y, (_, w) in shares[0].items()}
+    model = forest.train_undersampled(df, "y", ["f0", "f1"], trees=9, depth=4, by=["k"])
+    got = forest.predict_undersampled(model, df)
+    both = got.select("k", "y", "prediction").join(forest.predict(forest.train(df, "y", ["f0", "f1"], trees=9, depth=4), df, ["f0", "f1"]).select("k", F.col("prediction").alias("weighted")), "k")
+    right, agree, caught = both.agg(F.avg((F.col("y") == F.col("prediction")).cast("double")), F.avg((F.col("prediction") == F.col("weighted")).cast("double")), F.avg(F.when(F.col("y") == "rare", (F.col("prediction") == "rare").cast("double")))).first()
+    assert right > 0.85 and agree > 0.9 and caught > 0.85
+    assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 for r in got.limit(50).collect())
+    odd = forest.predict_undersampled(model, df.limit(1).withColumn("f0", F.lit(float("nan")))).first()
+    assert odd["prediction"] is None and odd["probabilities"] is None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -49,6 +51,73 @@ def train(df: DataFrame, label: str, features: list[str], trees: int = 1000, dep
     ]).fit(rows)
 
 
+# ---------------------------------------------------------------- undersampling per tree
+
+
+def tree_weights(df: DataFrame, label: str, tree: int, by: list[str], seed: int = 42, most: int = 8) -> DataFrame:
+    """The rows of one tree, with weight: how often a bootstrap of the tree's own has drawn them.
+
+    Every label is drawn as often, on average, as the rarest one has rows.  A row's count is a Poisson number by a hash of the row
+    (by), the tree and the seed, so any executor that computes it again finds the same.
+    """
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    least = sizes.agg(F.min("_n")).first()[0]
+    u = (F.pmod(F.xxhash64(F.lit(tree), F.lit(seed), *by), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    rate = F.lit(float(least or 0)) / F.col("_n")
+    # a row per label
+    rows = df.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l"))).withColumns({"_u": u, "_term": F.exp(-rate)})
+    count, upto, term = F.lit(0), F.lit(0.0), F.col("_term")
+    for k in range(most):
+        upto = upto + term
+        count = count + (F.col("_u") >= upto).cast("int")
+        term = term * rate / (k + 1)
+    return rows.withColumn("weight", count.cast("double")).where("weight > 0").drop("_l", "_n", "_u", "_term")
+
+
+@dataclass
+class UndersampledForest:
+    """Trees that have each seen as much of every label."""
+
+    trees: list[PipelineModel]
+    labels: list[str]
+    features: list[str]
+
+
+def train_undersampled(df: DataFrame, label: str, features: list[str], trees: int = 100, depth: int = 12, seed: int = 42, by: list[str] | None = None) -> UndersampledForest:
+    """A forest whose trees are trained one by one, each on tree_weights of its own; by names the columns that tell rows apart.
+
+    Each tree is a distributed training over few rows: those of the rarest label, times the number of labels.
+    """
+    rows = df.where(finite(features) & F.col(label).isNotNull())
+    names = sorted(str(r[0]) for r in rows.select(label).distinct().collect())
+    found = []
+    for k in range(trees):
+        own = tree_weights(rows, label, k, by or features, seed)
+        found.append(Pipeline(stages=[
+            StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip"),
+            VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"),
+            RandomForestClassifier(labelCol="_label", featuresCol="_features", weightCol="weight", numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed + k, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_pred"),
+        ]).fit(own))
+    return UndersampledForest(found, names, features)
+
+
+def predict_undersampled(model: UndersampledForest, df: DataFrame) -> DataFrame:
+    """Adds prediction and the array probabilities, the mean over the trees, in the order of model.labels; null where a feature is not finite."""
+    ok = finite(model.features)
+    rows = df.withColumn("_ok", ok).withColumns({f"_f_{c}": F.when(ok, F.col(c)).otherwise(0.0).cast("double") for c in model.features})
+    rows = VectorAssembler(inputCols=[f"_f_{c}" for c in model.features], outputCol="_features").transform(rows)
+    rows = rows.drop(*(f"_f_{c}" for c in model.features)).withColumn("_sum", F.array(*(F.lit(0.0) for _ in model.labels)))
+    for tree in model.trees:
+        rows = tree.stages[2].transform(rows).withColumn("_own", vector_to_array("_p"))
+        rows = rows.withColumn("_sum", F.zip_with("_sum", aligned("_own", labels_of(tree), model.labels), lambda a, b: a + b)).drop("_own", "_raw", "_p", "_pred")
+    share = F.transform("_sum", lambda v: v / F.lit(float(len(model.trees))))
+    best = F.get(F.array(*map(F.lit, model.labels)), (F.array_position("_sum", F.array_max("_sum")) - 1).cast("int"))
+    return rows.withColumns({"prediction": F.when(F.col("_ok"), best), "probabilities": F.when(F.col("_ok"), share)}).drop("_ok", "_features", "_sum")
+
+
+# ---------------------------------------------------------------- predictions and folds
+
+
 def labels_of(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
