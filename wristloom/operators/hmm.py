@@ -8,10 +8,13 @@ last chunk back, give every chunk's last state, and each chunk its path.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +121,60 @@ def decode(observed: np.ndarray, hmm: Hmm) -> np.ndarray:
     return _path(back, int(best.argmax()))
 
 
+#: Rows times states of recordings that are decoded side by side.
+CELLS = 1 << 22
+
+
+def decode_many(series: list[np.ndarray], hmm: Hmm) -> list[np.ndarray]:
+    """decode() of many series, row by row of all of them at once: the same sums in the same order, so the same paths."""
+    prior, e, t = hmm.logs()
+    states, out = len(hmm.labels), [np.zeros(0, dtype=int)] * len(series)
+    order, at = sorted((k for k, s in enumerate(series) if len(s)), key=lambda k: -len(series[k])), 0
+    while at < len(order):
+        longest = len(series[order[at]])
+        part = order[at : at + max(1, CELLS // (longest * states))]
+        at += len(part)
+        lengths = np.array([len(series[k]) for k in part])
+        seen = np.zeros((longest, len(part)), dtype=np.int64)
+        for j, k in enumerate(part):
+            seen[: lengths[j], j] = series[k]
+        back = np.zeros((longest, len(part), states), dtype=np.int32)
+        best = prior + e[:, seen[0]].T
+        for k in range(1, longest):
+            live = int(np.searchsorted(-lengths, -k))  # longer than k: the first ones
+            through = best[:live, :, None] + t
+            back[k, :live] = through.argmax(axis=1)
+            best[:live] = through.max(axis=1) + e[:, seen[k, :live]].T
+        path, now = np.zeros((longest, len(part)), dtype=int), best.argmax(axis=1)
+        column = np.arange(len(part))
+        for k in range(longest - 1, -1, -1):
+            inside = lengths > k
+            path[k, inside] = now[inside]
+            now = np.where(inside, back[k, column, now], now)
+        for j, k in enumerate(part):
+            out[k] = path[: lengths[j], j]
+    return out
+
+
+def _smooth_whole(df: DataFrame, key: str, order: str, label: str, hmm: Hmm) -> DataFrame:
+    """smooth() of recordings that are one chunk each: a task decodes many of them side by side."""
+    labels = pa.array(hmm.labels, pa.string())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in scan.whole_keys(batches, key):
+            codes = pc.index_in(table.column(label).combine_chunks(), value_set=labels).fill_null(-1)
+            codes = np.asarray(codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes)
+            known = codes >= 0
+            series = [codes[a:b][known[a:b]] for a, b in zip(edges, edges[1:], strict=False)]
+            found = np.full(len(codes), -1, dtype=np.int64)
+            found[known] = np.concatenate([np.zeros(0, dtype=np.int64), *decode_many(series, hmm)])
+            smoothed = labels.take(pa.array(found, mask=found < 0))
+            yield from table.append_column("smoothed", smoothed).combine_chunks().to_batches()
+
+    rows = df.repartition(key).sortWithinPartitions(key, order, label)
+    return rows.mapInArrow(task, f"{scan.kinds(df, *df.columns)}, smoothed string")
+
+
 def _identity(n: int) -> np.ndarray:
     return np.where(np.eye(n, dtype=bool), 0.0, -np.inf)
 
@@ -163,11 +220,7 @@ def smooth(df: DataFrame, key: str, order: str, label: str, hmm: Hmm, width: flo
     width = width or scan.width_of(df, key, order)
     if width >= scan.ALL:
         # no recording has more than a chunk: nothing is before or after it
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf, known, seen = observed(pdf)
-            return labelled(pdf, known, decode(numbers(seen), hmm))
-
-        return df.groupBy(key).applyInPandas(whole, f"{fields}, smoothed string")
+        return _smooth_whole(df, key, order, label, hmm)
     rows = scan.dealt(df, order, width)
 
     def summary(pdf: pd.DataFrame) -> dict:

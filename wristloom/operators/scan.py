@@ -12,9 +12,11 @@ a chunk, or a row for each of its chunks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +84,35 @@ def onward(rows: DataFrame, begin: DataFrame, key: str, run: Callable[[pd.DataFr
     return rows.groupBy(key, CHUNK).cogroup(begin.groupBy(key, CHUNK)).applyInPandas(one, schema)
 
 
+def numbers_of(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value of a column; -1 for null."""
+    found = column.combine_chunks()
+    found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+    return found.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, edges) of sorted batches: tables of some `rows` rows that hold all rows of their keys, and where each key begins."""
+
+    def given(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts)
+        own = numbers_of(table.column(key))
+        return table, np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held, size = [*held, batch] if batch.num_rows else held, size + batch.num_rows
+        if size >= rows:
+            table, edges = given(held)
+            if len(edges) > 2:
+                last = int(edges[-2])
+                yield table.slice(0, last), edges[:-1]
+                held, size = table.slice(last).to_batches(), len(table) - last
+    if held:
+        yield given(held)
+
+
 # ---------------------------------------------------------------- last values
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables as table_functions
 from ..operators import circadian, epochs as ep, impute, labels, runs, summarise
 from .tables import EPOCHS, PERIOD, epochs, table, tidy
 
@@ -250,6 +251,36 @@ def nearest_resample(spark, sf_dir):
     return ep.interpolate(_samples(spark, sf_dir), _points(spark, sf_dir), "user_id", "ts", "value", nearest=True)
 
 
+#: Five days: a recording's month is cut into chunks that a task each may hold.
+CHUNK_MICROS = 5.0 * DAY * 1_000_000
+
+
+@query(SQL["linear_resample"])
+def linear_resample_chunks(spark, sf_dir):
+    """The same over recordings cut into chunks, with neighbours carried from chunk to chunk."""
+    return ep.interpolate(_samples(spark, sf_dir), _points(spark, sf_dir), "user_id", "ts", "value", width=CHUNK_MICROS)
+
+
+@query(SQL["nearest_resample"])
+def nearest_resample_chunks(spark, sf_dir):
+    return ep.interpolate(_samples(spark, sf_dir), _points(spark, sf_dir), "user_id", "ts", "value", nearest=True, width=CHUNK_MICROS)
+
+
+@query(SQL["late_samples"])
+def late_samples_chunks(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kept = ep.in_order(e, "user_id", "ts", "event_id", width=10_000.0).groupBy("user_id").agg(F.count("*").alias("n_kept"))
+    return e.groupBy("user_id").agg(F.count("*").alias("n")).join(kept, "user_id")
+
+
+@query(SQL["epoch_aggregate"])
+def epoch_table_function(spark, sf_dir):
+    """Epochs in SQL: the table function over partitioned, ordered rows."""
+    table_functions.register(spark)
+    table(spark, sf_dir, "events").select("user_id", "ts", "value").createOrReplaceTempView("epoch_table_function_input")
+    return spark.sql(f"SELECT * FROM epochs(TABLE(epoch_table_function_input), 'user_id', 'ts', 'value', {DAY}, 1)")
+
+
 SERIES = "series AS (SELECT user_id, acc AS s, row_number() OVER (PARTITION BY user_id ORDER BY time) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM known)"
 KNOWN = "known AS (SELECT user_id, time, coalesce(acc, 0) AS acc FROM imputed)"
 
