@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import mapped, written
 
-#: Bytes of a gram; documents of a bucket; pieces above which a gram's windows are dealt one by one.
-GRAM, BUCKET, HOT = 16, 2048, 1 << 16
+#: Bytes of a gram; documents and bytes of texts of a bucket, on average; pieces above which a gram's windows are dealt one by one.
+GRAM, BUCKET, BUCKET_BYTES, HOT = 16, 2048, 1 << 24, 1 << 16
 #: Positions that are hashed at once (below 2 ** PLACE), most windows of a piece, suffixes that are sorted at once, and rows of sorted keys taken at once.
 CHUNK, PLACE, PIECE, SORTED, ROWS = 1 << 17, 18, 4096, 1 << 17, 1 << 14
 _ODD = 0x9E3779B97F4A7C15
@@ -402,7 +402,8 @@ def _cut(docs: DataFrame, length: int, hot: int, task, schema: str) -> DataFrame
     if length < GRAM:
         raise ValueError(f"a length of {GRAM} bytes at least")
     # rows without a doc_id, and those that share one, are dealt by their texts too
-    buckets = max(1, -(-docs.count() // BUCKET))
+    size = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    buckets = max(1, -(-size["docs"] // BUCKET), -(-size["bytes"] // BUCKET_BYTES))
     text = F.coalesce("text", F.lit(""))
     wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("own", F.xxhash64("doc_id", "text"))
     wide = wide.withColumn("bucket", F.pmod("own", F.lit(buckets)).cast("int"))
