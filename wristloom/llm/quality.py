@@ -129,16 +129,14 @@ def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     fine = written(sketch, "sketches")
     whole = lambda c: (F.col(c) if isinstance(c, str) else c).cast("decimal(38,0)")
     # at most some 128 buckets for each power of two
-    every = fine.groupBy("stat", "bucket").agg(whole(F.sum("n")).alias("n_all"))
-    total = fine.where(F.col("stat") == SKETCHED[0]).agg(whole(F.sum("n")).alias("docs"))
-    every = every.crossJoin(F.broadcast(total))
+    every = fine.groupBy("stat", "bucket").agg(whole(F.sum("n")).alias("n_all")).withColumn("docs", whole(F.sum("n_all").over(Window.partitionBy("stat"))))
     in_lang = fine.groupBy("lang", "stat", "bucket").agg(F.sum("n").alias("n"))
-    langs = fine.where(F.col("stat") == SKETCHED[0]).groupBy("lang").agg(whole(F.sum("n")).alias("n_lang"))
-    lang = langs.join(F.broadcast(every)).join(in_lang, ["lang", "stat", "bucket"], "left")
+    langs = fine.groupBy("lang", "stat").agg(whole(F.sum("n")).alias("n_lang"))
+    lang = langs.join(F.broadcast(every), "stat").join(in_lang, ["lang", "stat", "bucket"], "left")
     own = whole(F.coalesce("n", F.lit(0)))
     lang = lang.select("lang", "stat", "bucket", (own * F.col("docs") + prior * F.col("n_all")).cast("decimal(38,0)").alias("l"), ((F.col("n_lang") + prior) * F.col("docs")).cast("decimal(38,0)").alias("l_total"))
-    groups = fine.where(F.col("stat") == SKETCHED[0]).groupBy("lang", "source").agg(whole(F.sum("n")).alias("n_group"))
-    cells = groups.join(lang, "lang").join(fine, ["lang", "source", "stat", "bucket"], "left")
+    groups = fine.groupBy("lang", "source", "stat").agg(whole(F.sum("n")).alias("n_group"))
+    cells = groups.join(lang, ["lang", "stat"]).join(fine, ["lang", "source", "stat", "bucket"], "left")
     cells = cells.withColumns({"g": (own * F.col("l_total") + prior * F.col("l")).cast("decimal(38,0)"), "total": ((F.col("n_group") + prior) * F.col("l_total")).cast("decimal(38,0)")})
     by = Window.partitionBy("lang", "source", "stat").orderBy("bucket")
     run = cells.withColumn("upto", whole(F.sum("g").over(by)))
