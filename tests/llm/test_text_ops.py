@@ -17,6 +17,7 @@ from wristloom.llm import bitpack, linededup, packing, pii, quality, simhash
 from wristloom.llm.tokens import WORD_BPE, CachedEncoder, encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SF001 = "/root/testdata/sf0.001"
 LINE = "This line is long enough to count and stands in many documents."
 
 
@@ -82,6 +83,28 @@ def field(spark):
     return pii.fit(pii.labelled_table(spark))
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names, and no rows, through all stages."""
+    import corpus_pipeline
+    from wristloom.llm.common import written
+
+    long = " ".join(f"word{k} of text{k % 97}" for k in range(4000))
+    more = [(100 + k, f"{long[k * 20 : k * 20 + 900]} {LINE}\nand so on it went with number {k}", ("en", None)[k % 2], ("a", None)[k % 3 == 0], None) for k in range(30)]
+    more += [(200, long, None, None, None), (None, f"{long[:700]} without a number", None, "a", 5)]
+    rows = odd.unionByName(spark.createDataFrame(more * 2, SCHEMA), allowMissingColumns=True)
+    for docs in (rows, rows.limit(0), empty):
+        names, n = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, SF001), "odd-stage")
+            assert docs.columns == names, name
+        kept = docs.select("doc_id", "text").collect()
+        assert len(kept) <= n and (not n or {None} <= {r["doc_id"] for r in kept} | {None})
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF001)
+        assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in kept}
+        if n:
+            assert len(kept) > 5 and all(r["text"] for r in kept)
+
+
 def test_field_finds_what_patterns_miss(field):
     held_out = pii.labelled_sentences(8, seed=4242)
     hits = sum(map(_same, held_out, itertools.repeat(field)))
