@@ -158,3 +158,15 @@ def test_trees_of_an_undersampled_forest_see_as_much_of_every_label(spark):
     assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 for r in got.limit(50).collect())
     odd = forest.predict_undersampled(model, df.limit(1).withColumn("f0", F.lit(float("nan")))).first()
     assert odd["prediction"] is None and odd["probabilities"] is None
+
+
+def test_csv_recordings_between_two_times(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    for name in ("a", "b"):
+        lines = ["time,x,y,z"] + [f"{(START + timedelta(milliseconds=20 * k)).isoformat(sep=' ', timespec='milliseconds')}+0000 [UTC],{v[0]:.4f},{v[1]:.4f},{v[2]:.4f}" for k, v in enumerate(rng.normal(size=(4000, 3)))]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines))
+    config = Config(sample_rate=50, epoch_period=10, calibrate=False, features=False, start="2020-06-14 10:00:20", end="2020-06-14 10:01:00")
+    run = batch.process_files(spark, str(tmp_path), config)
+    assert [r["ok"] for r in run.status.collect()] == [True, True]
+    times = sorted({r["time"] for r in run.results["epochs"].collect()})
+    assert times == [START + timedelta(seconds=20 + 10 * k) for k in range(4)]

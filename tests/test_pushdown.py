@@ -111,6 +111,9 @@ def test_broken_files_are_rows_and_others_go_on(spark, tmp_path):
             (folder / "bad.cwa.gz").write_bytes(gzip.compress(good)[:-20])
             rows = spark.read.format(name).load(str(folder))
             assert rows.where("kind = 'data' AND path NOT LIKE '%bad%'").count() == 9
+            # no page lies there; a reader that may stop before the broken end does not see it
+            assert [r["kind"] for r in rows.where(F.col("time_us") > axivity.micros(START) + 10**12).collect()] == ["failed"]
+            assert rows.where(F.col("time_us") < 5).count() == 0
         else:
             gt3x(folder / "a.gt3x", info_txt=INFO, lux_bin=b"", activity_bin=bits12([1, 2, 3] * 4))
             (folder / "bad.gt3x").write_bytes(broken)

@@ -49,7 +49,7 @@ def samples_of(spark: SparkSession, folder: str, config: Config, **csv) -> tuple
             SOURCES[name].register(spark)
             pages = spark.read.format(name).load(folder)
             if name == "axivity" and config.start and config.end:
-                pages = axivity.between(pages, config.start, config.end).unionByName(pages.where("kind = 'failed'"))
+                pages = axivity.between(pages, config.start, config.end)
             pages = written(pages, f"{name}-pages")
             failures = failures.unionByName(pages.where(F.col("error").startswith(FAILED)).select("path", F.substring("error", len(FAILED) + 1, 1 << 20).alias("error")))
             part = SOURCES[name].samples(pages)

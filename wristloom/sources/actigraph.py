@@ -103,7 +103,8 @@ class ActigraphReader(DataSourceReader):
         except Exception as e:
             if self.strict:
                 raise
-            yield part.path, None, None, None, [], [], [], None, f"{FAILED}{e}"
+            # timed within a pushed range, so that its filters keep the row
+            yield part.path, None, self.range.inside(1), None, [], [], [], None, f"{FAILED}{e}"
 
     def _rows(self, part: File) -> Iterator[tuple]:
         files, name = file_system(part.path)

@@ -122,7 +122,8 @@ class AxivityReader(DataSourceReader):
                     return
                 yield row
         except Exception as e:
-            yield part.path, None, "failed", None, None, 0, None, None, [], [], [], None, f"{FAILED}{e}"
+            # stamped within a pushed range, so that its filters keep the row
+            yield part.path, None, "failed", self.range.inside(1), None, 0, None, None, [], [], [], None, f"{FAILED}{e}"
 
     def _in_range(self, part: Range) -> Range:
         """The pages of part from the first that is not before the range to the last that is not after it."""

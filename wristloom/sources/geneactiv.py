@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +56,8 @@ class GeneactivReader(DataSourceReader):
         try:
             yield from self._pages(part)
         except Exception as e:
-            yield part.path, None, None, None, None, None, [], [], None, f"{FAILED}{e}"
+            # timed within a pushed range, so that its filters keep the row
+            yield part.path, None, self.range.inside(timedelta(microseconds=1)), None, None, None, [], [], None, f"{FAILED}{e}"
 
     def _pages(self, part: File) -> Iterator[tuple]:
         files, name = file_system(part.path)

@@ -31,6 +31,12 @@ class TimeRange:
     def after(self, value) -> bool:
         return value is not None and self.high is not None and value > self.high
 
+    def inside(self, least):
+        """A value that the pushed filters let pass, a least step from an end that they may leave out; None without a range."""
+        if self.low is None:
+            return None if self.high is None else self.high - least
+        return self.low if self.low == self.high else self.low + least
+
     def holds(self, value) -> bool:
         return not self.before(value) and not self.after(value)
 
