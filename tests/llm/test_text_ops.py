@@ -102,7 +102,7 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty):
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF001)
         assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in kept}
         if n:
-            assert len(kept) > 5 and all(r["text"] for r in kept)
+            assert kept and all(r["text"] for r in kept)
 
 
 def test_field_finds_what_patterns_miss(field):
