@@ -135,3 +135,61 @@ def test_all_columns(seed, rate, n):
     assert set(got) == set(want) == {*signal.BASIC, *signal.FEATURES}
     wrong = {k: (got[k], want[k]) for k in want if got[k] != pytest.approx(want[k], rel=1e-9, abs=1e-9)}
     assert not wrong
+
+
+def test_epochs_side_by_side_are_each_alone():
+    """One of them flat, one stuck, one with a NaN."""
+    rng = np.random.default_rng(5)
+    xyz = rng.normal(0, 0.4, (5, 300, 3))
+    xyz[1] = 0.25
+    xyz[2, :, 1] = 1.75
+    xyz[3, 17, 0] = np.nan
+    enmo = np.sqrt((xyz**2).sum(axis=2)) - 1
+    got = signal.basic_statistics_many(xyz, enmo) | signal.features_many(xyz, np.maximum(enmo, 0), 30)
+    for k in range(5):
+        one = signal.basic_statistics(xyz[k], enmo[k]) | signal.features(xyz[k], np.maximum(enmo[k], 0), 30)
+        for name, v in one.items():
+            assert got[name][k] == pytest.approx(v, rel=1e-9, abs=1e-12, nan_ok=True), (k, name)
+    assert np.isnan(got["mean"][3]) and np.isfinite(got["mean"][[0, 1, 2, 4]]).all()
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 200])
+def test_series_side_by_side_are_the_recurrence(n):
+    b, a = signal.butterworth(4, 20.0, 100.0)
+    rng = np.random.default_rng(n)
+    x, z = rng.normal(size=(6, n)), rng.normal(size=(6, 4))
+    x[2, n // 2] = np.nan
+    out, state = signal.iir_many(b, a, x, z)
+    for k in range(6):
+        want, end = signal._steps(b, a, x[k], z[k])
+        assert np.allclose(out[k], want, rtol=0, atol=1e-12, equal_nan=True) and np.allclose(state[k], end, rtol=0, atol=1e-12, equal_nan=True)
+
+
+@pytest.mark.parametrize("resample", ["linear", "nearest"])
+def test_a_task_takes_many_epochs(spark, monkeypatch, resample):
+    """Ragged epochs, a NaN, gaps and a key of null, some at a time, against one epoch at a time; no group is a frame of its own."""
+    from datetime import datetime, timedelta
+
+    from tests.test_scan import exchanges
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for user in ("a", "b", None, "c"):
+        at = np.cumsum(rng.exponential(0.25, 400)) + (40 if user == "b" else 0)
+        at[200:] += 33
+        rows += [(user, datetime(2020, 1, 1) + timedelta(seconds=round(float(t), 6)), *map(float, rng.normal(size=3)), None if k % 5 else 20.0, k % 3 == 0, None) for k, t in enumerate(at)]
+    rows[30] = (*rows[30][:2], float("nan"), *rows[30][3:])
+    df = spark.createDataFrame(rows, "id string, t timestamp_ntz, x double, y double, z double, temp double, clip_before boolean, clip_after boolean")
+    run = lambda: signal.epoch_features(df, "id", 10, 10, low_pass=2.0, least=3, resample=resample)
+    plan = exchanges(run())
+    assert "MapInArrow" in plan and "ReusedExchange" in plan and "InPandas" not in plan
+    got = run().toPandas().sort_values(["id", "time"])
+    monkeypatch.setattr(signal, "CELLS", 1)
+    want = run().toPandas().sort_values(["id", "time"])
+    assert len(got) > 20 and set(got["id"]) == {"a", "b", "c"}
+    for c in got.columns[2:]:
+        assert np.allclose(got[c].to_numpy(), want[c].to_numpy(), rtol=1e-9, atol=1e-9, equal_nan=True), c
+    first = min(r[1] for r in rows if r[0] == "c")
+    for r in got[got["id"] == "c"].itertuples():
+        inside = [q for q in rows if q[0] == "c" and 0 <= (q[1] - first).total_seconds() - (r.time - first).total_seconds() < 10]
+        assert r.rawSamples == len(inside) and r.clipsBeforeCalibr == sum(q[6] for q in inside) and r.clipsAfterCalibr == 0

@@ -91,13 +91,20 @@ def numbers_of(column: pa.ChunkedArray) -> np.ndarray:
     return found.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def whole_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(table, edges) of sorted batches: tables of some `rows` rows that hold all rows of their keys, and where each key begins."""
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str | list[str], rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, edges) of sorted batches: tables of some `rows` rows that hold all rows of their keys, and where each key begins.
+
+    A key may be of several columns.
+    """
+    names = [key] if isinstance(key, str) else key
 
     def given(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
         table = pa.Table.from_batches(parts)
-        own = numbers_of(table.column(key))
-        return table, np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
+        begins = np.append(True, np.zeros(len(table) - 1, dtype=bool))
+        for name in names:
+            own = numbers_of(table.column(name))
+            begins[1:] |= own[1:] != own[:-1]
+        return table, np.append(np.flatnonzero(begins), len(table))
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -113,6 +120,22 @@ def whole_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int = CHUNK_RO
         yield given(held)
 
 
+def doubles(column: pa.ChunkedArray) -> np.ndarray:
+    """A column's numbers; NaN for null."""
+    return column.cast(pa.float64()).to_numpy()
+
+
+def arrays(values: np.ndarray) -> pa.ListArray:
+    """A column of arrays, the rows of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.reshape(-1), pa.float64()))
+
+
+def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The matrix of a column of arrays of that length."""
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+    return np.concatenate([np.zeros(0), *parts]).reshape(-1, width)
+
+
 # ---------------------------------------------------------------- last values
 
 

@@ -1,16 +1,18 @@
 """Epoch features of raw samples: calibrate, clamp, resample, filter and describe each epoch.
 
 Groups are epochs, not recordings: each gets, besides its own samples, the neighbours that interpolation needs, so a week
-of samples spreads over as many tasks as there are.  A filter runs on through a recording all the same: its state at
+of samples spreads over as many tasks as there are.  A task takes many epochs, or series, side by side.  A filter runs on through a recording all the same: its state at
 the start of every epoch comes from a scan of affine maps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ FEATURES = (
 )
 TAIL = ("temp", "samples", "dataErrors", "clipsBeforeCalibr", "clipsAfterCalibr", "rawSamples")
 EPS = 1e-8
+#: Resampled samples of epochs that are described side by side.
+CELLS = 1 << 18
 EDGE_SAMPLES = 66  # of the epoch before, within which the sample for interpolation at the start is looked for
 
 
@@ -95,25 +99,80 @@ def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None =
     return out, z
 
 
+def _steps_many(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_steps() of the rows of x side by side."""
+    z, out = z.copy(), np.empty(x.shape)
+    for k, v in enumerate(x.T):
+        y = b[0] * v + z[:, 0]
+        z[:, :-1] = z[:, 1:] + np.outer(v, b[1:-1]) - np.outer(y, a[1:-1])
+        z[:, -1] = b[-1] * v - a[-1] * y
+        out[:, k] = y
+    return out, z
+
+
+def iir_many(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """iir() of the rows of x side by side, each from its row of state.  Rows that are not finite go sample by sample: a block would spread a NaN back."""
+    b, a = b / a[0], a / a[0]
+    z = np.zeros((len(x), len(a) - 1)) if state is None else np.array(state, dtype=float)
+    odd = ~np.isfinite(x).all(axis=1)
+    if odd.any():
+        out = np.empty(x.shape)
+        out[odd], z[odd] = _steps_many(b, a, x[odd], z[odd])
+        out[~odd], z[~odd] = iir_many(b, a, x[~odd], z[~odd])
+        return out, z
+    series, full = len(x), x.shape[1] // BLOCK
+    out = np.empty(x.shape)
+    if full:
+        out_x, end_x, out_z, end_z = _responses(tuple(b), tuple(a))
+        blocks = x[:, : full * BLOCK].reshape(series, full, BLOCK)
+        ends, before = blocks @ end_x, np.empty((series, full, z.shape[1]))
+        for k in range(full):
+            before[:, k] = z
+            z = z @ end_z + ends[:, k]
+        out[:, : full * BLOCK] = (blocks @ out_x + before @ out_z).reshape(series, full * BLOCK)
+    out[:, full * BLOCK :], z = _steps_many(b, a, x[:, full * BLOCK :], z)
+    return out, z
+
+
 def step_matrix(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """What one sample of 0 makes of the filter's state: state @ step_matrix."""
     return np.array([_steps(np.asarray(b) / a[0], np.asarray(a) / a[0], np.zeros(1), z)[1] for z in np.eye(len(a) - 1)])
 
 
-def filter_starts(ends: pd.DataFrame, step: np.ndarray) -> list[np.ndarray]:
-    """The filter's state at the start of chunks (n, end) in order: n samples turn a state z into z step^n + end.
+def filter_starts(n: np.ndarray, end: np.ndarray, step: np.ndarray, powers: dict[int, np.ndarray]) -> np.ndarray:
+    """The filter's state at the start of chunks in order: n samples turn a state z into z step^n + end.
 
-    end is the state after the chunk from a state of zero.
+    end is the state after the chunk from a state of zero.  powers keeps those of step.
     """
-    z, out, powers = np.zeros(len(step)), [], {}
-    for n, end in zip(ends["n"], ends["end"], strict=True):
-        out.append(z)
-        if n not in powers:
-            powers[n] = np.linalg.matrix_power(step, int(n))
-        z = z @ powers[n] + np.asarray(end)
+    z, out = np.zeros(len(step)), np.empty(end.shape)
+    for k, m in enumerate(n.tolist()):
+        out[k] = z
+        if k + 1 < len(n):
+            if m not in powers:
+                powers[m] = np.linalg.matrix_power(step, m)
+            z = z @ powers[m] + end[k]
     return out
 
 
+def starts(ends: DataFrame, key: str, order: str, step: np.ndarray) -> DataFrame:
+    """(key, order, start, before) of ends (key, order, n, end): the filter's state at the start of each chunk, and the samples until there.
+
+    A task goes through many recordings, and holds a row for each chunk of one.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers: dict[int, np.ndarray] = {}
+        for table, edges in scan.whole_keys(batches, key):
+            n, end = table.column("n").to_numpy(), scan.matrix(table.column("end"), len(step))
+            parts = list(zip(edges[:-1], edges[1:], strict=True))
+            found = np.concatenate([filter_starts(n[i:j], end[i:j], step, powers) for i, j in parts])
+            before = np.concatenate([np.cumsum(n[i:j]) - n[i:j] for i, j in parts])
+            out = table.select([key, order]).append_column("start", scan.arrays(found)).append_column("before", pa.array(before, pa.int64()))
+            yield from out.combine_chunks().to_batches()
+
+    return ends.repartition(key).sortWithinPartitions(key, order).mapInArrow(task, f"{scan.kinds(ends, key, order)}, start array<double>, before long")
+
+
 def filtered(df: DataFrame, key: str, order: str, value: str, b: np.ndarray, a: np.ndarray, width: float | None = None) -> DataFrame:
     """df with filtered: value of each recording through an IIR filter from rest, in the order given.
 
@@ -124,6 +183,7 @@ def filtered(df: DataFrame, key: str, order: str, value: str, b: np.ndarray, a:
     """
     rows = scan.dealt(df, order, width or scan.width_of(df, key, order))
     step = step_matrix(b, a)
+    powers_: dict[int, np.ndarray] = {}
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.sort_values([order, value], kind="stable")
@@ -133,7 +193,7 @@ def filtered(df: DataFrame, key: str, order: str, value: str, b: np.ndarray, a:
 
     def compose(ends: pd.DataFrame) -> list[np.ndarray]:
         before = ends["n"].cumsum() - ends["n"]
-        return [np.append(z, n) for z, n in zip(filter_starts(ends, step), before, strict=True)]
+        return [np.append(z, n) for z, n in zip(filter_starts(ends["n"].to_numpy(), np.stack(ends["end"]), step, powers_), before, strict=True)]
 
     def run(pdf: pd.DataFrame, start: np.ndarray) -> pd.DataFrame:
         pdf, z = ordered(pdf), np.asarray(start[:-1], dtype=float)
@@ -143,105 +203,117 @@ def filtered(df: DataFrame, key: str, order: str, value: str, b: np.ndarray, a:
     return scan.onward(rows, begin, key, run, f"{scan.kinds(df, *df.columns)}, filtered double, place long")
 
 
-def gravity(signal: np.ndarray, rate: int, keep: float = 0.9) -> np.ndarray:
-    """The mean of an exponential moving average of each column, without its first second."""
+def gravity(signals: np.ndarray, rate: int, keep: float = 0.9) -> np.ndarray:
+    """The means of exponential moving averages of (epoch, sample, axis), without their first second."""
     b, a = np.array([1 - keep, 0.0]), np.array([1.0, -keep])
-    smooth = np.stack([iir(b, a, c)[0] for c in signal.T], axis=1)
-    return smooth[max(rate - 1, 0) :].mean(axis=0)
-
-
-def _hann(x: np.ndarray) -> np.ndarray:
-    return x * np.hanning(len(x))
+    epochs, n, axes = signals.shape
+    smooth = iir_many(b, a, signals.transpose(0, 2, 1).reshape(-1, n))[0].reshape(epochs, axes, n)
+    return smooth[:, :, max(rate - 1, 0) :].mean(axis=2)
 
 
 def powers(v: np.ndarray) -> np.ndarray:
-    """Squared FFT magnitudes over n squared, of the Hann-windowed signal without its mean; the Nyquist bin is left out."""
-    n = len(v)
-    return np.abs(np.fft.rfft(_hann(v - v.mean()))[: -(-n // 2)]) ** 2 / float(n) ** 2
+    """Squared FFT magnitudes over n squared, of each row's Hann-windowed signal without its mean; the Nyquist bin is left out."""
+    n = v.shape[1]
+    return np.abs(np.fft.rfft((v - v.mean(axis=1, keepdims=True)) * np.hanning(n), axis=1)[:, : -(-n // 2)]) ** 2 / float(n) ** 2
 
 
-def correlation(x: np.ndarray, y: np.ndarray, lag: int = 0) -> float:
-    """Correlation of x with y lag samples later; 0 where it is not finite."""
-    a, b = (x[: len(x) - lag], y[lag:]) if lag else (x, y)
-    if len(a) < 1:
-        return 0.0
-    da, db = a - a.mean(), b - b.mean()
+def correlation(x: np.ndarray, y: np.ndarray, lag: int = 0) -> np.ndarray:
+    """Correlation of each row of x with that of y lag samples later; 0 where it is not finite."""
+    a, b = (x[:, : max(x.shape[1] - lag, 0)], y[:, lag:]) if lag else (x, y)
+    if a.shape[1] < 1:
+        return np.zeros(len(x))
+    da, db = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
     with np.errstate(all="ignore"):
-        r = (da * db).mean() / np.sqrt((da**2).mean()) / np.sqrt((db**2).mean())
-    return float(r) if np.isfinite(r) else 0.0
+        r = (da * db).mean(axis=1) / np.sqrt((da**2).mean(axis=1)) / np.sqrt((db**2).mean(axis=1))
+    return np.where(np.isfinite(r), r, 0.0)
 
 
 def rolling_median(x: np.ndarray, k: int) -> np.ndarray:
-    """The medians of all full windows of k samples."""
-    return pd.Series(x).rolling(k).median().to_numpy()[k - 1 :]
+    """The medians of all full windows of k samples within each row."""
+    return pd.Series(x.reshape(-1)).rolling(k).median().to_numpy().reshape(x.shape)[:, k - 1 :]
 
 
-def arm_angles(xyz: np.ndarray, rate: int) -> tuple[float, float]:
-    """Mean five-second arm angle, and mean absolute change between five-second means."""
-    n, k = len(xyz), 5 * rate
+def arm_angles(xyz: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean five-second arm angle of each epoch, and mean absolute change between five-second means."""
+    n, k, zero = xyz.shape[1], 5 * rate, np.zeros(len(xyz))
     if n // rate < 5:
-        return 0.0, 0.0
-    x, y, z = (rolling_median(c, k) for c in xyz.T)
+        return zero, zero
+    x, y, z = (rolling_median(xyz[:, :, c], k) for c in range(3))
     with np.errstate(all="ignore"):
         angle = np.degrees(np.arctan(z / (x**2 + y**2)))
-    blocks = [angle[s : s + k].mean() for s in range(0, len(angle), k)]
-    change = float(np.mean(np.abs(np.diff(blocks)))) if n // rate >= 10 and len(blocks) > 1 else 0.0
-    return float(np.mean(blocks)), change
+    blocks = np.stack([angle[:, s : s + k].mean(axis=1) for s in range(0, angle.shape[1], k)], axis=1)
+    change = np.abs(np.diff(blocks, axis=1)).mean(axis=1) if n // rate >= 10 and blocks.shape[1] > 1 else zero
+    return blocks.mean(axis=1), change
+
+
+def basic_statistics_many(xyz: np.ndarray, enmo: np.ndarray) -> dict[str, np.ndarray]:
+    n, mean = xyz.shape[1], xyz.mean(axis=1)
+    d = xyz - mean[:, None]
+    cov = lambda i, j: (d[:, :, i] * d[:, :, j]).sum(axis=1) / (n + 1)  # noqa: E731  the divisor that models were trained with
+    values = [np.maximum(enmo, 0).mean(axis=1), np.abs(enmo).mean(axis=1), *mean.T, *np.ptp(xyz, axis=1).T, *xyz.std(axis=1).T, cov(0, 1), cov(0, 2), cov(1, 2)]
+    return dict(zip(BASIC, values, strict=True))
 
 
 def basic_statistics(xyz: np.ndarray, enmo: np.ndarray) -> dict[str, float]:
-    n, mean = len(xyz), xyz.mean(axis=0)
-    d = xyz - mean
-    cov = lambda i, j: float((d[:, i] * d[:, j]).sum() / (n + 1))  # noqa: E731  the divisor that models were trained with
-    values = [np.maximum(enmo, 0).mean(), np.abs(enmo).mean(), *mean, *np.ptp(xyz, axis=0), *xyz.std(axis=0), cov(0, 1), cov(0, 2), cov(1, 2)]
-    return dict(zip(BASIC, map(float, values), strict=True))
+    return {k: float(v[0]) for k, v in basic_statistics_many(xyz[None], enmo[None]).items()}
 
 
-def _peak(p: np.ndarray, f: np.ndarray, inside: np.ndarray) -> tuple[float, float]:
-    """Frequency and power of the first largest positive bin; -1 and 0 without one."""
+def _peak(p: np.ndarray, f: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frequency and power of each row's first largest positive bin; -1 and 0 without one."""
+    if not p.shape[1]:
+        return np.full(len(p), -1.0), np.zeros(len(p))
     q = np.where(inside, p, 0.0)
-    k = int(q.argmax()) if len(q) else 0
-    return (float(f[k]), float(q[k])) if len(q) and q[k] > 0 else (-1.0, 0.0)
+    k = q.argmax(axis=1)
+    top = q[np.arange(len(q)), k]
+    return np.where(top > 0, f[k], -1.0), np.where(top > 0, top, 0.0)
 
 
-def features(xyz: np.ndarray, enmo_trunc: np.ndarray, rate: int) -> dict[str, float]:
-    """The model features of one resampled epoch."""
-    n = len(xyz)
+def features_many(xyz: np.ndarray, enmo_trunc: np.ndarray, rate: int) -> dict[str, np.ndarray]:
+    """The model features of resampled epochs (epoch, sample, axis), all of one length."""
+    n = xyz.shape[1]
     g = gravity(xyz, rate)
-    w = xyz - g
-    v = np.sqrt((w**2).sum(axis=1))
-    sd = v.std(ddof=1)
-    q = np.quantile(v, [0.5, 0, 1, 0.25, 0.75])
-    angles = [np.arctan2(w[:, a], w[:, b]) for a, b in ((1, 2), (2, 0), (1, 0))]
-    out = [v.mean(), sd, sd / v.mean() if v.mean() else 0.0, *q, correlation(v, v, rate), correlation(w[:, 0], w[:, 1]), correlation(w[:, 0], w[:, 2]), correlation(w[:, 1], w[:, 2])]
-    out += [a.mean() for a in angles] + [a.std(ddof=1) for a in angles] + [np.arctan2(g[a], g[b]) for a, b in ((1, 2), (2, 0), (1, 0))]
+    w = xyz - g[:, None]
+    v = np.sqrt((w**2).sum(axis=2))
+    mean, sd = v.mean(axis=1), v.std(axis=1, ddof=1)
+    q = np.quantile(v, [0.5, 0, 1, 0.25, 0.75], axis=1)
+    angles = [np.arctan2(w[:, :, a], w[:, :, b]) for a, b in ((1, 2), (2, 0), (1, 0))]
+    out = [mean, sd, np.divide(sd, mean, out=np.zeros(len(v)), where=mean != 0), *q, correlation(v, v, rate), *(correlation(w[:, :, i], w[:, :, j]) for i, j in ((0, 1), (0, 2), (1, 2)))]
+    out += [a.mean(axis=1) for a in angles] + [a.std(axis=1, ddof=1) for a in angles] + [np.arctan2(g[:, a], g[:, b]) for a, b in ((1, 2), (2, 0), (1, 0))]
 
     p, f = powers(v), np.arange(-(-n // 2)) * rate / n
-    share = p / (p.sum() + EPS)
-    entropy = -(share[share > 0] * np.log(share[share > 0] + EPS)).sum() / np.log(len(p))
-    top, band = _peak(p, f, np.ones(len(p), bool)), _peak(p, f, (f > 0.3) & (f < 3))
+    share = p / (p.sum(axis=1, keepdims=True) + EPS)
+    positive = np.where(share > 0, share, 0.0)
+    entropy = -(positive * np.log(positive + EPS)).sum(axis=1) / np.log(p.shape[1])
+    top, band = _peak(p, f, np.ones(p.shape[1], bool)), _peak(p, f, (f > 0.3) & (f < 3))
     out += [top[0], np.log(top[1] + EPS), band[0], np.log(band[1] + EPS), entropy]
     hop = rate // 2
-    welch = np.lib.stride_tricks.sliding_window_view(v, rate)[::hop][: n // hop - 1]
-    size = np.abs(np.fft.rfft(welch * np.hanning(rate), axis=1))[:, :10].mean(axis=0) / rate
-    out += list(np.log(np.pad(size, (0, 10 - len(size))) + EPS))
+    welch = np.lib.stride_tricks.sliding_window_view(v, rate, axis=1)[:, ::hop][:, : n // hop - 1]
+    size = np.abs(np.fft.rfft(welch * np.hanning(rate), axis=2))[:, :, :10].mean(axis=1) / rate
+    out += list(np.log(np.pad(size, ((0, 0), (0, 10 - size.shape[1]))) + EPS).T)
 
-    m = np.sqrt((xyz**2).sum(axis=1)) - 1
-    d = m - m.mean()
-    unit = d / (m.std() + EPS)
+    m = np.sqrt((xyz**2).sum(axis=2)) - 1
+    d = m - m.mean(axis=1, keepdims=True)
+    unit = d / (m.std(axis=1, keepdims=True) + EPS)
     N = float(n)
-    out += [np.abs(d).mean(), (np.abs(d) ** 1.5).sum() / N**1.5, (unit**3).sum() * N / ((N - 1) * (N - 2))]
-    out.append((unit**4).sum() * N * (N + 1) / ((N - 1) * (N - 2) * (N - 3) * (N - 4)) - 3 * (N - 1) ** 2 / ((N - 2) * (N - 3)))
+    out += [np.abs(d).mean(axis=1), (np.abs(d) ** 1.5).sum(axis=1) / N**1.5, (unit**3).sum(axis=1) * N / ((N - 1) * (N - 2))]
+    out.append((unit**4).sum(axis=1) * N * (N + 1) / ((N - 1) * (N - 2) * (N - 3) * (N - 4)) - 3 * (N - 1) ** 2 / ((N - 2) * (N - 3)))
     out += arm_angles(xyz, rate)
 
     p = powers(enmo_trunc)
     inside = (f >= 0.3) & (f <= 15)
-    order = [k for k in np.argsort(-p, kind="stable") if inside[k] and p[k] > 0][:2]
-    for k in range(2):
-        out += [f[order[k]], np.log(p[order[k]] + EPS)] if k < len(order) else [-1.0, np.log(EPS)]
+    left = np.array(inside & np.ones(p.shape, bool))
+    for _ in range(2):
+        one = _peak(p, f, left)
+        out += [one[0], np.log(one[1] + EPS)]
+        left &= f != one[0][:, None]
     mid = _peak(p, f, inside & (f > 0.6) & (f < 2.5))
-    out += [mid[0], np.log(mid[1] + EPS), np.log(p[inside].sum() + EPS)]
-    return dict(zip(FEATURES, map(float, out), strict=True))
+    out += [mid[0], np.log(mid[1] + EPS), np.log(p[:, inside].sum(axis=1) + EPS)]
+    return dict(zip(FEATURES, out, strict=True))
+
+
+def features(xyz: np.ndarray, enmo_trunc: np.ndarray, rate: int) -> dict[str, float]:
+    """The model features of one resampled epoch."""
+    return {k: float(v[0]) for k, v in features_many(xyz[None], enmo_trunc[None], rate).items()}
 
 
 def calibrate_samples(samples: DataFrame, coefficients: DataFrame | None, key: str, limit: float, keep: list[str] | None = None) -> DataFrame:
@@ -295,54 +367,70 @@ def epoch_features(samples: DataFrame, key: str, period: int = 30, rate: int = 1
     b, a = butterworth(4, low_pass, rate) if low_pass and rate > 2 * low_pass else (None, None)
     at = np.round(np.arange(count) * 1000 / rate) * 1000.0
 
-    def resampled(pdf: pd.DataFrame) -> np.ndarray:
-        pdf = pdf.sort_values("u")
-        u = pdf["u"].to_numpy(dtype=float)
-        raw = pdf[["x", "y", "z"]].to_numpy(dtype=float)
+    def resampled(table: pa.Table, edges: np.ndarray) -> np.ndarray:
+        """(epoch, sample, axis) of whole epochs, which lie one after the other on one axis."""
+        first, last = edges[:-1], edges[1:] - 1
+        apart = np.arange(len(first)) * float(step + edge + 2_000_000)
+        u = scan.doubles(table.column("u")) + np.repeat(apart, np.diff(edges))
+        points = at + apart[:, None]
+        raw = [scan.doubles(table.column(c)) for c in "xyz"]
         if resample == "nearest":
-            right = np.clip(np.searchsorted(u, at), 0, len(u) - 1)
-            left = np.maximum(right - 1, 0)
-            return raw[np.where(np.abs(at - u[left]) <= np.abs(u[right] - at), left, right)]
-        return np.stack([np.interp(at, u, c) for c in raw.T], axis=1)
-
-    def end_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["own"].sum() <= least:
-            return pd.DataFrame(columns=[key, "epoch", "n", "end"])
-        enmo = np.sqrt((resampled(pdf) ** 2).sum(axis=1)) - 1
-        return pd.DataFrame([{key: pdf[key].iloc[0], "epoch": pdf["epoch"].iloc[0], "n": count, "end": iir(b, a, enmo)[1].tolist()}])
-
-    def starts_of(ends: pd.DataFrame) -> pd.DataFrame:
-        ends = ends.sort_values("epoch")
-        return ends[[key, "epoch"]].assign(start=filter_starts(ends, step_matrix(b, a)))
-
-    def one(pdf: pd.DataFrame, state: pd.DataFrame | None = None) -> pd.DataFrame:
-        own = pdf[pdf["own"]]
-        if len(own) <= least:
-            return pd.DataFrame(columns=[key, "time", *names])
-        xyz = resampled(pdf)
-        enmo = np.sqrt((xyz**2).sum(axis=1)) - 1
-        if state is not None:
-            enmo = iir(b, a, enmo, np.asarray(state["start"].iloc[0], dtype=float))[0]
-        row = {key: pdf[key].iloc[0], "time": pdf["time"].iloc[0]} | basic_statistics(xyz, enmo)
-        if with_features:
-            row |= features(xyz, np.maximum(enmo, 0), rate)
-        stuck = sum(int(c.std() == 0 and abs(c.mean()) > 1.5) for c in xyz.T) * count
-        row |= {"temp": own["temp"].mean(), "samples": count, "dataErrors": stuck, "clipsBeforeCalibr": int(own["clip_before"].sum()), "clipsAfterCalibr": int(own["clip_after"].sum()), "rawSamples": len(own)}
-        return pd.DataFrame([row])
+            right = np.clip(np.searchsorted(u, points), first[:, None], last[:, None])
+            left = np.maximum(right - 1, first[:, None])
+            near = np.where(np.abs(points - u[left]) <= np.abs(u[right] - points), left, right)
+            return np.stack([c[near] for c in raw], axis=2)
+        before, after = points <= u[first][:, None], points >= u[last][:, None]
+        between = [np.interp(points, u, c) for c in raw]
+        return np.stack([np.where(after, c[last][:, None], np.where(before, c[first][:, None], v)) for c, v in zip(raw, between, strict=True)], axis=2)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """Tables of some whole epochs with more than `least` samples, and where each begins."""
+        for table, edges in scan.whole_keys(batches, [key, "epoch"]):
+            own, size = table.column("own").to_numpy().astype(np.int64), np.diff(edges)
+            live = np.add.reduceat(own, edges[:-1]) > least
+            table, ends = table.filter(pa.array(np.repeat(live, size))).combine_chunks(), np.append(0, np.cumsum(size[live]))
+            some = max(1, CELLS // count)
+            for k in range(0, len(ends) - 1, some):
+                inner = ends[k : k + some + 1]
+                yield table.slice(inner[0], inner[-1] - inner[0]), inner - inner[0]
+
+    def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in parts(batches):
+            enmo = np.sqrt((resampled(table, edges) ** 2).sum(axis=2)) - 1
+            out = table.select([key, "epoch"]).take(edges[:-1]).append_column("n", pa.array(np.full(len(enmo), count), pa.int64()))
+            yield from out.append_column("end", scan.arrays(iir_many(b, a, enmo)[1])).combine_chunks().to_batches()
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in parts(batches):
+            xyz = resampled(table, edges)
+            enmo = np.sqrt((xyz**2).sum(axis=2)) - 1
+            firsts = table.take(edges[:-1])
+            if b is not None:
+                enmo = iir_many(b, a, enmo, scan.matrix(firsts.column("start"), len(a) - 1))[0]
+            found = basic_statistics_many(xyz, enmo)
+            if with_features:
+                found |= features_many(xyz, np.maximum(enmo, 0), rate)
+            epoch_of, own = np.repeat(np.arange(len(enmo)), np.diff(edges)), table.column("own").to_numpy()
+            total = lambda v: np.bincount(epoch_of[own], np.asarray(v, dtype=float)[own], len(enmo))  # noqa: B023, E731
+            temp = scan.doubles(table.column("temp"))
+            known = ~np.isnan(temp)
+            with np.errstate(all="ignore"):
+                found["temp"] = total(np.where(known, temp, 0.0)) / total(known)
+            stuck = ((xyz.std(axis=1) == 0) & (np.abs(xyz.mean(axis=1)) > 1.5)).sum(axis=1) * count
+            found |= {"samples": np.full(len(enmo), count), "dataErrors": stuck + firsts.column("_errors").to_numpy()}
+            found |= {f"clips{n}Calibr": total(table.column(c).to_numpy() == True) for n, c in (("Before", "clip_before"), ("After", "clip_after"))}  # noqa: E712  null is none
+            found["rawSamples"] = total(own)
+            out = firsts.select([key, "time"])
+            for n in names:
+                # NaN becomes null, as in frames
+                out = out.append_column(n, pa.array(found[n].astype(np.int64)) if n in TAIL[1:] else pa.array(found[n], pa.float64(), from_pandas=True))
+            yield from out.combine_chunks().to_batches()
 
     kinds = {n: "double" for n in names} | {n: "long" for n in TAIL[1:]}
     schema = f"{key} {samples.schema[key].dataType.simpleString()}, time {samples.schema['t'].dataType.simpleString()}, " + ", ".join(f"`{n}` {k}" for n, k in kinds.items())
-    if b is None:
-        out = rows.groupBy(key, "epoch").applyInPandas(lambda pdf: one(pdf), schema)
-    else:
-        # both passes over the samples read one exchange; the scan between them has a row per epoch
-        named = scan.kinds(rows, key, "epoch")
-        ends = rows.groupBy(key, "epoch").applyInPandas(end_of, f"{named}, n long, end array<double>")
-        states = ends.groupBy(key).applyInPandas(starts_of, f"{named}, start array<double>")
-        out = rows.groupBy(key, "epoch").cogroup(states.groupBy(key, "epoch")).applyInPandas(one, schema)
     # a recording's last epoch is open: no later sample has closed it
-    at = micros("epoch_start") + F.col("_u")
-    spans = cut.groupBy(key, F.col("epoch_start").alias("time")).agg(F.min(at).alias("_from"), F.max(at).alias("_to"))
+    when = micros("epoch_start") + F.col("_u")
+    spans = cut.groupBy(key, "epoch", F.col("epoch_start").alias("time")).agg(F.min(when).alias("_from"), F.max(when).alias("_to"))
     following = F.lead("_from").over(Window.partitionBy(key).orderBy("time"))
     spans = spans.withColumn("_gap", following - F.col("_to")).where("_gap IS NOT NULL")
     errors = (F.col("_gap") >= 2 * step).cast("long")
@@ -353,5 +441,11 @@ def epoch_features(samples: DataFrame, key: str, period: int = 30, rate: int = 1
         opened = late.join(firsts, F.col("_late").eqNullSafe(F.col("_key"))).groupBy("_key", begin.alias("_time")).agg(F.sum("n").alias("_n_late"))
         spans = spans.join(opened, F.col(key).eqNullSafe(F.col("_key")) & (F.col("time") == F.col("_time")), "left").drop("_key", "_time")
         errors = errors + F.coalesce("_n_late", F.lit(0))
-    joined = out.join(spans.select(key, "time", errors.alias("_errors")), [key, "time"])
-    return joined.withColumn("dataErrors", F.col("dataErrors") + F.col("_errors")).select(out.columns)
+    closed = spans.select(key, "epoch", errors.alias("_errors"))
+    # all passes over the samples read one exchange, by the columns that the join is by too; the scan between them has a row per epoch
+    rows = rows.where(F.col(key).isNotNull() & F.col("epoch").isNotNull()).repartition(key, "epoch")
+    inner = [key, "epoch", "u", "x", "y", "z"]
+    if b is not None:
+        ends = rows.sortWithinPartitions(*inner).mapInArrow(ends_of, f"{scan.kinds(rows, key, 'epoch')}, n long, end array<double>")
+        closed = closed.join(starts(ends, key, "epoch", step_matrix(b, a)).drop("before"), [key, "epoch"])
+    return rows.join(closed, [key, "epoch"]).sortWithinPartitions(*inner).mapInArrow(described, schema)
