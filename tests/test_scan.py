@@ -60,6 +60,27 @@ def test_both_passes_read_one_exchange(spark):
     assert "ReusedExchange" in exchanges(signal.filtered(df, "id", "k", "v", B, A, 7.0))
 
 
+@pytest.mark.parametrize("width", [None, 90.0])
+def test_a_task_filters_many_recordings(spark, width):
+    """Recordings of many lengths, some with a null or an infinite value, one of null, whole and in chunks; no group is a frame of its own."""
+    rng = np.random.default_rng(4)
+    rows = [(None if i == 7 else i, 3 * k, float(v)) for i in range(60) for k, v in enumerate(rng.normal(size=int(rng.integers(1, 260))))]
+    rows = [(i, k, None if i in (3, 7) and k == 240 else float("inf") if i == 5 and k == 60 else v) for i, k, v in rows]
+    df = spark.createDataFrame(rows, "id long, k long, v double").repartition(5)
+    out = signal.filtered(df, "id", "k", "v", B, A, width)
+    plan = exchanges(out)
+    assert "InPandas" not in plan and plan.count("MapInArrow") >= 1
+    got = {(r["id"], r["k"]): (r["filtered"], r["place"], r["v"]) for r in out.collect()}
+    assert len(got) == len(rows)
+    frame = pd.DataFrame(rows, columns=["id", "k", "v"]).sort_values(["id", "k"])
+    with np.errstate(all="ignore"):
+        for i, g in frame.groupby("id", dropna=False):
+            name = None if np.isnan(i) else int(i)
+            for place, (k, w) in enumerate(zip(g["k"], signal._steps(B, A, g["v"].to_numpy(dtype=float), np.zeros(4))[0], strict=True), 1):
+                v, at, _ = got[(name, k)]
+                assert at == place and (v is None if np.isnan(w) else v == pytest.approx(w, abs=1e-9)), (name, k)
+
+
 def test_epochs_filter_on_from_epoch_to_epoch(spark):
     """enmoAbs of each epoch, with a gap and an epoch of too few samples, against one filter over all its epochs."""
     rate, period = 50, 10

@@ -134,6 +134,26 @@ def iir_many(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | No
     return out, z
 
 
+def iir_series(b: np.ndarray, a: np.ndarray, x: np.ndarray, edges: np.ndarray, state: np.ndarray | None = None, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """iir() of series that lie one after the other and begin at edges, each from its row of state; those of like lengths go side by side.
+
+    They are filled up with zeros at the end; with back at the beginning, where from rest zeros change nothing: then the states are those after them.
+    """
+    out, states = np.empty(len(x)), np.zeros((len(edges) - 1, len(a) - 1))
+    sizes = -(-np.diff(edges) // BLOCK)
+    for size in np.unique(sizes):
+        n = int(size) * BLOCK
+        alike, some = np.flatnonzero(sizes == size), max(1, CELLS // n)
+        for k in range(0, len(alike), some):
+            own = alike[k : k + some]
+            first, last = edges[own][:, None], edges[own + 1][:, None]
+            at = (last - n if back else first) + np.arange(n)
+            inside = (at >= first) & (at < last)
+            found, states[own] = iir_many(b, a, np.where(inside, x[np.clip(at, 0, len(x) - 1)], 0.0), None if state is None else state[own])
+            out[at[inside]] = found[inside]
+    return out, states
+
+
 def step_matrix(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """What one sample of 0 makes of the filter's state: state @ step_matrix."""
     return np.array([_steps(np.asarray(b) / a[0], np.asarray(a) / a[0], np.zeros(1), z)[1] for z in np.eye(len(a) - 1)])
@@ -176,31 +196,41 @@ def starts(ends: DataFrame, key: str, order: str, step: np.ndarray) -> DataFrame
 def filtered(df: DataFrame, key: str, order: str, value: str, b: np.ndarray, a: np.ndarray, width: float | None = None) -> DataFrame:
     """df with filtered: value of each recording through an IIR filter from rest, in the order given.
 
-    Equal to the recurrence over the whole recording but for rounding; where rows are missing, it goes on with the
-    next one.  Rows of equal order go by value.  A null or NaN value makes the rest of its recording NaN, as the recurrence does.
+    Tasks filter many recordings, or chunks, side by side.  Equal to the recurrence over the whole recording but for rounding; where
+    rows are missing, it goes on with the next one.  Rows of equal order go by value.  A null or NaN value makes the rest of its recording NaN, as the recurrence does.
     width is that of a chunk in units of the order column (microseconds of times); by default what scan.width_of finds.  A row's
     number in its recording, from 1, is beside it as place.
     """
-    rows = scan.dealt(df, order, width or scan.width_of(df, key, order))
-    step = step_matrix(b, a)
-    powers_: dict[int, np.ndarray] = {}
-
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values([order, value], kind="stable")
-
-    def summary(pdf: pd.DataFrame) -> dict:
-        return {"n": len(pdf), "end": iir(b, a, ordered(pdf)[value].to_numpy(dtype=float))[1].tolist()}
-
-    def compose(ends: pd.DataFrame) -> list[np.ndarray]:
-        before = ends["n"].cumsum() - ends["n"]
-        return [np.append(z, n) for z, n in zip(filter_starts(ends["n"].to_numpy(), np.stack(ends["end"]), step, powers_), before, strict=True)]
-
-    def run(pdf: pd.DataFrame, start: np.ndarray) -> pd.DataFrame:
-        pdf, z = ordered(pdf), np.asarray(start[:-1], dtype=float)
-        return pdf.drop(columns=scan.CHUNK).assign(filtered=iir(b, a, pdf[value].to_numpy(dtype=float), z)[0], place=int(start[-1]) + 1 + np.arange(len(pdf)))
-
-    begin = scan.starts(rows, key, summary, "n long, end array<double>", compose, "array<double>")
-    return scan.onward(rows, begin, key, run, f"{scan.kinds(df, *df.columns)}, filtered double, place long")
+    width = width or scan.width_of(df, key, order)
+    # a struct is never null, so keys of null find their states too
+    rows = scan.dealt(df, order, width).withColumn("_key", F.struct(key)).repartition("_key", scan.CHUNK)
+    columns, inner = df.columns, [key, scan.CHUNK, F.asc_nulls_last(order), F.asc_nulls_last(value)]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in scan.whole_keys(batches, [key, scan.CHUNK]):
+            end = iir_series(b, a, scan.doubles(table.column(value)), edges, back=True)[1]
+            out = table.select([key, scan.CHUNK]).take(edges[:-1]).append_column("n", pa.array(np.diff(edges), pa.int64()))
+            yield from out.append_column("end", scan.arrays(end)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in scan.whole_keys(batches, [key, scan.CHUNK]):
+            start, before = None, np.zeros(len(edges) - 1, dtype=np.int64)
+            if "start" in table.column_names:
+                firsts = table.select(["start", "before"]).take(edges[:-1])
+                start, before = scan.matrix(firsts.column("start"), len(a) - 1), firsts.column("before").to_numpy()
+            out = iir_series(b, a, scan.doubles(table.column(value)), edges, start)[0]
+            place = np.arange(1, len(out) + 1) + np.repeat(before - edges[:-1], np.diff(edges))
+            # NaN becomes null, as in frames
+            table = table.select(columns).append_column("filtered", pa.array(out, from_pandas=True)).append_column("place", pa.array(place))
+            yield from table.combine_chunks().to_batches()
+
+    given = rows
+    if width < scan.ALL:
+        # both passes over the rows read one exchange
+        ends = rows.sortWithinPartitions(*inner).mapInArrow(summed, f"{scan.kinds(rows, key, scan.CHUNK)}, n long, end array<double>")
+        begin = starts(ends, key, scan.CHUNK, step_matrix(b, a))
+        given = rows.join(begin.select(F.struct(key).alias("_key"), scan.CHUNK, "start", "before"), ["_key", scan.CHUNK])
+    return given.sortWithinPartitions(*inner).mapInArrow(run, f"{scan.kinds(df, *df.columns)}, filtered double, place long")
 
 
 def gravity(signals: np.ndarray, rate: int, keep: float = 0.9) -> np.ndarray:
