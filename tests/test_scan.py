@@ -2,12 +2,15 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.duck import rows as normal_rows
 from wristloom.operators import hmm, scan, signal
+from wristloom.plans import signal_queries
 
 T0 = datetime(2020, 3, 1)
 B, A = signal.butterworth(4, 20.0, 100.0)
@@ -81,6 +84,17 @@ def test_a_task_filters_many_recordings(spark, width):
                 assert at == place and (v is None if np.isnan(w) else v == pytest.approx(w, abs=1e-9)), (name, k)
 
 
+def test_filters_with_a_null_value_are_their_sql(spark, tmp_path):
+    """Rows before the null keep their values, as in the recurrence that the SQL is."""
+    events = [(k, u, None if (u, k % 150) == (2, 100) else float(k * 37 % 101)) for u in range(4) for k in range(u * 150, u * 150 + 150)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("ewma_gravity", "butterworth_lowpass"):
+        got, want = signal_queries.QUERIES[name](spark, str(tmp_path)).toArrow(), con.sql(signal_queries.SQL[name]).to_arrow_table()
+        assert normal_rows(got) == normal_rows(want), name
+
+
 def test_epochs_filter_on_from_epoch_to_epoch(spark):
     """enmoAbs of each epoch, with a gap and an epoch of too few samples, against one filter over all its epochs."""
     rate, period = 50, 10
