@@ -1,5 +1,7 @@
 """Every query with SQL gives DuckDB's rows; every other one runs."""
 
+import duckdb
+import numpy as np
 import pytest
 
 from tests.duck import connected, rows
@@ -28,6 +30,26 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_deviations_of_exactly_a_limit(spark, tmp_path):
+    """Pairs 25 lines of quantity apart deviate by 0.5 exactly, or by a bit less in doubles: as values come in the table's order."""
+    rng = np.random.default_rng(0)
+    lines = []
+    for device in range(400):
+        low = int(rng.integers(1, 26))
+        some = [low, low + 25] * int(rng.integers(1, 4))
+        lines += [(1000 * device + k, device, k, float(q), 0.05, 0.04) for k, q in enumerate(rng.permutation(some).tolist())]
+    lines += [(500_000, 1, 1, None, 0.05, 0.04), (501_000, 1, 1, 5.0, 0.05, 0.04), (501_001, 1, 1, None, 0.05, 0.04)]
+    lines = [lines[k] for k in rng.permutation(len(lines))]
+    path = tmp_path / "lineitem.parquet"
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").coalesce(1).write.parquet(str(path))
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # on more the SQL adds in an order of its own, too
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/*.parquet'")
+    got, want = QUERIES["stuck_and_still"](spark, str(tmp_path)).toArrow(), con.sql(SQL["stuck_and_still"]).to_arrow_table()
+    assert rows(got) == rows(want)
+    assert {True, False} <= set(got.column("still").to_pylist())
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -53,3 +53,18 @@ def unit(*axes: Column) -> list[Column]:
     """The axes divided by the vector's length."""
     length = F.sqrt(sum((a * a for a in axes[1:]), axes[0] * axes[0]))
     return [a / length for a in axes]
+
+
+def running_deviation(values: Column) -> Column:
+    """Population deviation of an array's numbers, updated value by value in its order; nulls are passed over.
+
+    Aggregates over rows sum in an order of their own; where a limit equals a deviation that values can have, the last bit decides.
+    """
+    none = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "mean", "squares")))
+
+    def add(a: Column, v: Column) -> Column:
+        n = a["n"] + 1
+        mean = a["mean"] + (v - a["mean"]) / n
+        return F.when(v.isNull(), a).otherwise(F.struct(n.alias("n"), mean.alias("mean"), (a["squares"] + (v - mean) * (v - a["mean"])).alias("squares")))
+
+    return F.aggregate(values, none, add, lambda a: F.when(a["n"] > 0, F.sqrt(a["squares"] / a["n"])))
