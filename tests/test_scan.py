@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,49 @@ def test_filters_with_a_null_value_are_their_sql(spark, tmp_path):
         assert normal_rows(got) == normal_rows(want), name
 
 
+@pytest.mark.parametrize("width", [None, 50.0])
+def test_rows_without_an_order_are_last(spark, width):
+    """In chunks as in one: as row_number() over the order column has them in the SQL."""
+    rows = [(u, k, float(k * 37 % 101)) for u in range(3) for k in range(200 + u)] + [(1, None, 5.0), (1, None, 3.0), (None, None, 2.0)]
+    got = signal.filtered(spark.createDataFrame(rows, "u long, k long, v double"), "u", "k", "v", B, A, width).where("k IS NULL").orderBy("u", "place").collect()
+    want = signal._steps(B, A, np.array([float(k * 37 % 101) for k in range(201)] + [3.0, 5.0]), np.zeros(4))[0]
+    assert [(r["u"], r["place"], r["v"]) for r in got] == [(None, 1, 2.0), (1, 202, 3.0), (1, 203, 5.0)]
+    assert [r["filtered"] for r in got] == pytest.approx([B[0] * 2.0, *want[-2:]], abs=1e-9)
+
+
+def test_long_keys_come_in_parts():
+    """No table holds more than `rows` and two batches, keys up to `rows` come whole, and a row is given once, in order."""
+    rng = np.random.default_rng(1)
+    for case in range(40):
+        lengths = rng.choice([1, 2, 7, 30, 31, 100, 450], size=int(rng.integers(1, 12)))
+        keys = np.repeat(np.arange(len(lengths)), lengths)
+        table = pa.table({"a": pa.array([None if k == 0 else int(k) // 2 for k in keys], pa.int64()), "b": (keys % 2).tolist(), "i": np.arange(len(keys))})
+        batches = table.to_batches(max_chunksize=int(rng.integers(1, 40)))
+        at, known = 0, set()
+        for part, edges, on in scan.keys_in_parts(iter(batches), ["a", "b"], 30):
+            own = keys[at : at + len(part)]
+            assert part.column("i").to_pylist() == list(range(at, at + len(part))) and len(part) < 30 + 2 * 40, case
+            assert edges.tolist() == [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)], case
+            assert on == (int(own[0]) in known) and (not on or len(edges) == 2), case
+            short = [k for k in set(own.tolist()) if lengths[k] < 30]
+            assert all((own == k).sum() == lengths[k] for k in short), case
+            at, known = at + len(part), known | set(own.tolist())
+        assert at == len(keys), case
+    assert not list(scan.keys_in_parts(iter([]), ["a"]))
+
+
+def test_a_dense_chunk_is_filtered_in_parts(spark):
+    """Recordings that lie in a short stretch of a long span: all of each is one chunk but for a last sample far away."""
+    n = 250_000
+    df = spark.range(0, n, 1, 4).select(F.col("id").alias("k"), (F.pmod(F.col("id") * 7919, F.lit(1009)) / 1009).alias("v"))
+    df = df.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("u"), "k", (F.col("v") * F.col("u")).alias("v"))
+    df = df.union(spark.createDataFrame([(u, 10**12, 1.0) for u in (1, 2, 3)], "u int, k long, v double"))
+    out = signal.filtered(df, "u", "k", "v", B, A).toPandas().sort_values(["u", "k"])
+    for u, g in out.groupby("u"):
+        assert np.abs(g["filtered"].to_numpy() - signal.iir(B, A, g["v"].to_numpy())[0]).max() < 1e-9
+        assert g["place"].tolist() == list(range(1, (n if u < 3 else 0) + 2))
+
+
 def test_epochs_filter_on_from_epoch_to_epoch(spark):
     """enmoAbs of each epoch, with a gap and an epoch of too few samples, against one filter over all its epochs."""
     rate, period = 50, 10

@@ -7,12 +7,13 @@ A recording's rows are dealt by (key, chunk); a chunk is a stretch of the order
 3. Each chunk runs over its rows from that state.
 
 The rows are shuffled once: both passes over them read the same exchange.  A task never holds more of a recording than
-a chunk, or a row for each of its chunks.
+a chunk (a filter: than a part of one, however dense the chunk), or a row for each of its chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,11 +47,11 @@ def width_of(df: DataFrame, key: str, order: str, rows: int = CHUNK_ROWS) -> flo
     return float(least) if least else ALL
 
 
-def dealt(df: DataFrame, order: str, width: float) -> DataFrame:
-    """df with the number of each row's chunk; rows without an order are in the first."""
+def dealt(df: DataFrame, order: str, width: float, nulls_last: bool = False) -> DataFrame:
+    """df with the number of each row's chunk; rows without an order are in the first, with nulls_last in one after all others."""
     if width >= ALL:
         return df.withColumn(CHUNK, F.lit(0).cast("long"))
-    return df.withColumn(CHUNK, F.coalesce(F.floor(position(df, order).cast("double") / F.lit(float(width))), F.lit(-(1 << 62))).cast("long"))
+    return df.withColumn(CHUNK, F.coalesce(F.floor(position(df, order).cast("double") / F.lit(float(width))), F.lit((1 << 63) - 1 if nulls_last else -(1 << 62))).cast("long"))
 
 
 def kinds(df: DataFrame, *names: str) -> str:
@@ -91,33 +92,64 @@ def numbers_of(column: pa.ChunkedArray) -> np.ndarray:
     return found.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
+def edges_of(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Where each key of a sorted table begins, and the table's length."""
+    begins = np.append(True, np.zeros(len(table) - 1, dtype=bool))
+    for name in names:
+        own = numbers_of(table.column(name))
+        begins[1:] |= own[1:] != own[:-1]
+    return np.append(np.flatnonzero(begins), len(table))
+
+
 def whole_keys(batches: Iterator[pa.RecordBatch], key: str | list[str], rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """(table, edges) of sorted batches: tables of some `rows` rows that hold all rows of their keys, and where each key begins.
 
     A key may be of several columns.
     """
     names = [key] if isinstance(key, str) else key
-
-    def given(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
-        table = pa.Table.from_batches(parts)
-        begins = np.append(True, np.zeros(len(table) - 1, dtype=bool))
-        for name in names:
-            own = numbers_of(table.column(name))
-            begins[1:] |= own[1:] != own[:-1]
-        return table, np.append(np.flatnonzero(begins), len(table))
-
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         held, size = [*held, batch] if batch.num_rows else held, size + batch.num_rows
         if size >= rows:
-            table, edges = given(held)
+            table = pa.Table.from_batches(held)
+            edges = edges_of(table, names)
             if len(edges) > 2:
                 last = int(edges[-2])
                 yield table.slice(0, last), edges[:-1]
                 held, size = table.slice(last).to_batches(), len(table) - last
     if held:
-        yield given(held)
+        table = pa.Table.from_batches(held)
+        yield table, edges_of(table, names)
+
+
+def keys_in_parts(batches: Iterator[pa.RecordBatch], names: list[str], rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:
+    """whole_keys() of keys of any length: one of more than some `rows` rows comes as several tables, each of it alone.
+
+    The flag says that a table goes on with the key of the one before.
+    """
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held, size = [*held, batch] if batch.num_rows else held, size + batch.num_rows
+        if not size or batch is not None and size < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        edges = edges_of(table, names)
+        if last is not None and len(edges_of(pa.concat_tables([last, table.slice(0, 1)]), names)) == 2:
+            own = int(edges[1])
+            yield table.slice(0, own), edges[:2], True
+            table, edges = table.slice(own), edges[1:] - own
+        if len(edges) > 2 or len(table) and batch is None:
+            # all keys but the last one are whole; at the end that one is, too
+            edges = edges if batch is None else edges[:-1]
+            yield table.slice(0, int(edges[-1])), edges, False
+            table = table.slice(int(edges[-1]))
+        elif len(table) >= rows:
+            yield table, edges, False
+            last, table = table.slice(len(table) - 1), table.slice(len(table))
+        held, size = table.to_batches(), len(table)
 
 
 def doubles(column: pa.ChunkedArray) -> np.ndarray:

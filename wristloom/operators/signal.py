@@ -138,7 +138,11 @@ def iir_series(b: np.ndarray, a: np.ndarray, x: np.ndarray, edges: np.ndarray, s
     """iir() of series that lie one after the other and begin at edges, each from its row of state; those of like lengths go side by side.
 
     They are filled up with zeros at the end; with back at the beginning, where from rest zeros change nothing: then the states are those after them.
+    One series alone is not filled up, and its state is the one after it.
     """
+    if len(edges) == 2:
+        found, z = iir_many(b, a, x[None, :], state)
+        return found[0], z
     out, states = np.empty(len(x)), np.zeros((len(edges) - 1, len(a) - 1))
     sizes = -(-np.diff(edges) // BLOCK)
     for size in np.unique(sizes):
@@ -199,27 +203,36 @@ def filtered(df: DataFrame, key: str, order: str, value: str, b: np.ndarray, a:
     Tasks filter many recordings, or chunks, side by side.  Equal to the recurrence over the whole recording but for rounding; where
     rows are missing, it goes on with the next one.  Rows of equal order go by value.  A null or NaN value makes the rest of its recording NaN, as the recurrence does.
     width is that of a chunk in units of the order column (microseconds of times); by default what scan.width_of finds.  A row's
-    number in its recording, from 1, is beside it as place.
+    number in its recording, from 1, is beside it as place.  Rows without an order are a recording's last.
     """
     width = width or scan.width_of(df, key, order)
     # a struct is never null, so keys of null find their states too
-    rows = scan.dealt(df, order, width).withColumn("_key", F.struct(key)).repartition("_key", scan.CHUNK)
+    rows = scan.dealt(df, order, width, nulls_last=True).withColumn("_key", F.struct(key)).repartition("_key", scan.CHUNK)
     columns, inner = df.columns, [key, scan.CHUNK, F.asc_nulls_last(order), F.asc_nulls_last(value)]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, edges in scan.whole_keys(batches, [key, scan.CHUNK]):
-            end = iir_series(b, a, scan.doubles(table.column(value)), edges, back=True)[1]
-            out = table.select([key, scan.CHUNK]).take(edges[:-1]).append_column("n", pa.array(np.diff(edges), pa.int64()))
-            yield from out.append_column("end", scan.arrays(end)).combine_chunks().to_batches()
+        held, n, end = None, None, None  # of a chunk that may go on
+        for table, edges, on in scan.keys_in_parts(batches, [key, scan.CHUNK]):
+            if held is not None and not on:
+                yield from held.to_batches()
+            n = np.diff(edges) + (n if on else 0)
+            end = iir_series(b, a, scan.doubles(table.column(value)), edges, end if on else None, back=True)[1]
+            out = table.select([key, scan.CHUNK]).take(edges[:-1]).append_column("n", pa.array(n, pa.int64()))
+            held = out.append_column("end", scan.arrays(end)).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, edges in scan.whole_keys(batches, [key, scan.CHUNK]):
-            start, before = None, np.zeros(len(edges) - 1, dtype=np.int64)
-            if "start" in table.column_names:
-                firsts = table.select(["start", "before"]).take(edges[:-1])
-                start, before = scan.matrix(firsts.column("start"), len(a) - 1), firsts.column("before").to_numpy()
-            out = iir_series(b, a, scan.doubles(table.column(value)), edges, start)[0]
+        state, before = None, None
+        for table, edges, on in scan.keys_in_parts(batches, [key, scan.CHUNK]):
+            if not on:
+                state, before = None, np.zeros(len(edges) - 1, dtype=np.int64)
+                if "start" in table.column_names:
+                    firsts = table.select(["start", "before"]).take(edges[:-1])
+                    state, before = scan.matrix(firsts.column("start"), len(a) - 1), firsts.column("before").to_numpy()
+            out, state = iir_series(b, a, scan.doubles(table.column(value)), edges, state)
             place = np.arange(1, len(out) + 1) + np.repeat(before - edges[:-1], np.diff(edges))
+            before = place[-1:]
             # NaN becomes null, as in frames
             table = table.select(columns).append_column("filtered", pa.array(out, from_pandas=True)).append_column("place", pa.array(place))
             yield from table.combine_chunks().to_batches()
