@@ -324,6 +324,26 @@ def test_multi_index_hashing_finds_all(spark, radius, segments):
     assert got == {signed(fp): c for (_, fp), c in zip(nodes, brute_components(nodes, radius), strict=True)}
 
 
+@pytest.mark.parametrize("find, joins", [
+    (simhash.near_duplicates, {"buckets": "bucket", "mixed-buckets": "fp", "links": "bucket"}), (simhash.similar_duplicates, {"similar-buckets": "bucket", "similar-wanted": "node"}),
+])
+def test_buckets_are_never_broadcast(spark, monkeypatch, find, joins):
+    """Spark takes exploded rows for a table of their documents' size, which it would broadcast at any number of rows below 10 MB of those."""
+    plans, written, components = defaultdict(str), simhash.written, simhash.components
+
+    def noted(df, label):
+        plans[label] += df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(simhash, "written", lambda df, label: written(noted(df, label), label))
+    monkeypatch.setattr(simhash, "components", lambda edges: components(noted(edges, "links")))
+    monkeypatch.setattr(simhash, "CELL", 4)
+    base = [f"w{k}" for k in range(300)]
+    docs = [(k, " ".join([*base[: k % 7], f"e{k}", *base[k % 7 + 1 :]])) for k in range(40)]
+    assert find(spark.createDataFrame(docs, "doc_id long, text string")).count() == 40
+    assert {label: set(re.findall(rf"(\w+)Join \[{column}#", plans[label])) for label, column in joins.items()} == {label: {"SortMerge"} for label in joins}
+
+
 def test_edited_copies(spark):
     """Copies at a shingle similarity of 0.8 and more are found, other texts of the same words are not."""
     r = np.random.default_rng(8)

@@ -127,18 +127,19 @@ def near_components(fps: DataFrame, radius: int = 4, segments: int = 4) -> DataF
     entries = known.select("fp", F.explode(stored).alias("bucket"), F.lit(True).alias("stored")).union(known.select("fp", F.explode(probes).alias("bucket"), F.lit(False).alias("stored")))
     # a bucket matters if somebody else than its only member meets it
     heads = entries.groupBy("bucket").agg(F.min(F.when(F.col("stored"), F.col("fp"))).alias("head"), F.min("fp").alias("low"), F.max("fp").alias("high"))
-    met = written(entries.join(heads.where("head IS NOT NULL AND low <> high").select("bucket", "head"), "bucket"), "buckets")
+    # what comes of explode is many times what Spark takes it for, and sorted buckets are many times their files: never broadcast
+    met = written(entries.hint("merge").join(heads.where("head IS NOT NULL AND low <> high").select("bucket", "head"), "bucket"), "buckets")
     linked = met.where((F.col("fp") != F.col("head")) & near(F.col("fp"), F.col("head"), radius))
     first = components(linked.select(F.col("fp").alias("a"), F.col("head").alias("b")))
 
     label = written(known.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("label")), "labels")
-    members = met.join(label.select("fp", "label"), "fp").select("bucket", "fp", "label", "stored")
+    members = met.hint("merge").join(label.select("fp", "label"), "fp").select("bucket", "fp", "label", "stored")
     sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
     rest = written(members.join(mixed.select("bucket", "main"), "bucket"), "mixed-buckets")
     left = rest.where("label <> main").select("bucket", F.col("fp").alias("fp_a"), F.col("label").alias("a"), F.col("stored").alias("stored_a"))
     right = rest.select("bucket", F.col("fp").alias("fp_b"), F.col("label").alias("b"), F.col("stored").alias("stored_b"))
-    across = left.join(right, [
+    across = left.hint("merge").join(right, [
         left.bucket == right.bucket, F.col("a") != F.col("b"), F.col("stored_a") | F.col("stored_b"), near(F.col("fp_a"), F.col("fp_b"), radius),
     ])
     second = components(across.select("a", "b"))
@@ -395,16 +396,16 @@ def similar_components(known: DataFrame, sets_of) -> DataFrame:
     traits = known.drop("buckets")
     entries = known.select("node", F.explode("buckets").alias("bucket"))
     heads = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size_of_bucket")).where("low <> high")
-    met = written(entries.join(heads, "bucket"), "similar-buckets")
+    met = written(entries.hint("merge").join(heads, "bucket"), "similar-buckets")  # as in near_components
     label = traits.withColumn("label", F.col("node"))
     large = met.where(F.col("size_of_bucket") > CELL)
     crowded = not large.isEmpty()
     if crowded:
         label = written(_labelled(large, traits, sets_of), "similar-labels")
-        members = large.select("bucket", "node").join(label.select("node", "label"), "node")
+        members = large.select("bucket", "node").hint("merge").join(label.select("node", "label"), "node")
         done = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least = most").select("bucket")
         met = met.join(done, "bucket", "left_anti")
-    rows = _cells(met.select("bucket", "size_of_bucket", "node").join(label, "node"))
+    rows = _cells(met.select("bucket", "size_of_bucket", "node").hint("merge").join(label, "node"))
     wanted = written(_with_company(rows), "similar-wanted")
     sets = sets_of(wanted.select("node").distinct())
     found = _links_in_cells(wanted.join(label.join(sets, "node"), "node"))
